@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from sacbe.storage import materialize, table
 
-TRIGRAMS, BIGRAMS, AFTER = 1 << 17, 1 << 17, 1 << 16
+TRIGRAMS, BIGRAMS, AFTER = 1 << 20, 1 << 18, 1 << 16
 ROUNDS = 2
 #: Weights with which less specific counts enter more specific ones.
 BACK_OFF = 3.0
@@ -46,6 +46,7 @@ _PARAGRAPH = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 #: A run of marks and what closes with it, then a gap: spaces, or none before a capital, an opening mark or in scripts without spaces.
 _GAP = re.compile(rf"[{_MARKS}]+(?:[^\S\n]?[{_CLOSE}]|[{_MARKS}])*(?P<space>\s*)(?=(?P<next>\S))|(?<=[{_UNMARKED}\d])(?P<bare>\s+)(?=\S)")
 _TOKEN_BEFORE = re.compile(r"\S+$")
+_LOST_SPACE = re.compile(r"[.!?…](?=[^\W\d_a-z][^\W\d_]+$)")
 _QUOTES = re.compile(r"[“”„«»「」『』（）()\[\]\"]")
 _PAIR = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]"}
 _TRIM = re.compile(r"^[\s​﻿]+|[\s​﻿]+$")
@@ -125,12 +126,20 @@ def _contexts(text: str, start: int, mark: int, end: int) -> tuple[int, int, int
     head = text[max(start, mark - 48) : mark]
     m = _TOKEN_BEFORE.search(head)
     word = m[0] if m else ""
+    if m and (joined := _LOST_SPACE.search(word)):  # the word before lost its space
+        head = f"{head[: m.start()]}{word[: joined.start() + 1]} {word[joined.start() + 1 :]}"
+        m = _TOKEN_BEFORE.search(head)
+        word = m[0]
     shape = SHAPES.index(_shape(word))
     if SHAPES[shape] == "other" and len(word) > 6:
         word = word[-2:]
     rest = head[: m.start()] if m else head
     p = _TOKEN_BEFORE.search(rest.rstrip())
     prior = p[0].lower()[-12:] if p else "^"
+    if prior[-1].isdigit():
+        prior = "9"
+    elif ord(prior[-1]) > 0x2E7F:
+        prior = prior[-2:]
     last = "9" if SHAPES[shape] == "number" else word.lower().lstrip("¿¡" + _OPEN.replace("\\", ""))[-16:]
     ending = _ending(run)
     return _h("3", prior, last, run) % TRIGRAMS, _h("2", last, run) % BIGRAMS, shape * len(ENDINGS) + ending
@@ -228,7 +237,6 @@ class Model:
     inner: np.ndarray  # what follows a gap without one
     chain: np.ndarray  # (words since the gap before, boundary there, boundary here)
     sure: float = 0.4  # part of all boundaries that are sure
-    memo: dict = field(default_factory=dict, repr=False)
 
     def before(self, g: Gap) -> float:
         """P(<S> | words before) with back-off from shape to word to two words."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sacbe.llm import grouped_splits, mixing, packing, quality, reading, repetition, split_overlap, subjects
+from sacbe.llm import boundaries, grouped_splits, mixing, packing, quality, reading, repetition, scan_repair, split_overlap, subjects
 from sacbe.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES = {
@@ -10,9 +10,13 @@ QUERIES = {
     "p1_statistics": quality.p1_statistics,
     "p2_found": reading.p2_found,
     "p2_levels": reading.p2_levels,
+    "p3_found": boundaries.p3_found,
+    "p3_sentences": boundaries.p3_sentences,
     "p4_found": split_overlap.p4_found,
     "p4_links": split_overlap.p4_links,
     "p4_report": split_overlap.p4_report,
+    "p5_found": scan_repair.p5_found,
+    "p5_paragraphs": scan_repair.p5_paragraphs,
     "p6_found": subjects.p6_found,
     "p6_shares": subjects.p6_shares,
     "p7_found": grouped_splits.p7_found,
