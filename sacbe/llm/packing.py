@@ -9,7 +9,9 @@ block wastes at most part of one container more than the whole would.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -21,8 +23,8 @@ from sacbe.storage import materialize, table
 
 BLOCK = 2000
 NODES = 6000
-#: Fillings tried per container, and the waste above the fullest one that is still looked for.
-WIDTH = 3
+#: Fillings tried per container, and the most waste in one container that fillings are looked for.
+WIDTH, WASTE = 3, 64
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -78,37 +80,57 @@ class _Stock:
         s = both.bit_length() - 1
         return s, total - s
 
-    def fillings(self, room: int) -> list[tuple[int, ...]]:
-        """Undominated fillings of ``room``, fullest first: at most WIDTH of them, of one to three items and then greedily more."""
+    def fillings(self, room: int, waste: int) -> Iterator[tuple[int, ...]]:
+        """Undominated fillings of ``room`` that waste at most ``waste``, fullest first, at most WIDTH of them.
+
+        They are found one by one as the search asks for them: most are never needed.
+        """
         one = self.largest(room)
         if not one:
-            return [()]
+            if room <= waste:
+                yield ()
+            return
         if one == room:
-            return [(one,)]  # dominates all others
-        out: list[tuple[int, ...]] = []
-        for total in range(room, max(one - 1, room - 64), -1):
-            if total == one:
-                out.append((one,))
-            elif p := self.pair(total):
-                out.append(p)
-            if total == room or not out:
-                if t := self._three(total):
-                    out.append(t)
-            if len(out) >= WIDTH:
-                break
-        return out[:WIDTH] if out else [self._greedy(room)]
+            yield (one,)  # dominates all others
+            return
+        given = 0
+        for total in range(room, max(one - 1, room - min(waste, WASTE) - 1), -1):
+            p = (one,) if total == one else self.pair(total) or (self._three(total) if not given else None)
+            if p:
+                yield p
+                given += 1
+                if given == WIDTH:
+                    return
+        if not given:
+            g = self._greedy(room)
+            if room - sum(g) <= waste:
+                yield g
 
     def _three(self, total: int) -> tuple[int, ...] | None:
-        first = self.largest(total - 2)
+        """Three sizes left with this sum, among the six largest for the first."""
+        bits, mirror, capacity, count = self.bits, self.mirror, self.capacity, self.count
+        smallest = (bits & -bits).bit_length() - 1
+        if smallest < 1 or 3 * smallest > total:
+            return None
+        below = bits & ((2 << (total - 2 * smallest)) - 1)
         for _ in range(6):
-            if not first:
+            first = below.bit_length() - 1
+            if first < 1:
                 return None
-            self.take(first)
-            p = self.pair(total - first) if total - first > 1 else None
-            self.add(first)
-            if p:
-                return (first, *p)
-            first = self.largest(first - 1)
+            rest = total - first
+            shift = capacity - rest
+            if count[first] > 1:
+                both = bits & (mirror >> shift)
+            else:  # the only one of its size is taken
+                both = bits & ~(1 << first) & ((mirror & ~(1 << (capacity - first))) >> shift)
+            if both:
+                half = rest // 2
+                if rest == 2 * half and count[half] - (half == first) < 2:
+                    both &= ~(1 << half)
+                if both:
+                    second = both.bit_length() - 1
+                    return first, second, rest - second
+            below &= (1 << first) - 1
         return None
 
     def _greedy(self, room: int) -> tuple[int, ...]:
@@ -122,12 +144,27 @@ class _Stock:
         return tuple(out)
 
 
+def fewest(sizes: list[int], capacity: int) -> int:
+    """Lower bound of containers: for each k, items above capacity - k stand alone, items above half each need one, and those from k on must fit beside them."""
+    up = sorted(sizes)
+    sums = [0, *accumulate(up)]
+    best = -(-sums[-1] // capacity)
+    half = bisect_right(up, capacity // 2)
+    for k in sorted(set(up[:half])):
+        a, b = bisect_left(up, k), bisect_right(up, capacity - k)
+        room = (b - half) * capacity - (sums[b] - sums[half]) if b > half else 0
+        small = sums[half] - sums[a]
+        best = max(best, len(up) - max(b, half) + max(b - half, 0) + max(0, -(-(small - room) // capacity)))
+    return best
+
+
 def bin_completion(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
     """Containers as lists of sizes, for sizes of 1 to ``capacity``."""
     ordered = sorted(sizes, reverse=True)
     best = [[ordered[i] for i in b] for b in best_fit(ordered, capacity)]
     total = sum(ordered)
-    while nodes > 0 and len(best) > -(-total // capacity):
+    least = fewest(ordered, capacity)
+    while nodes > 0 and len(best) > least:
         found, used = _search(ordered, capacity, (len(best) - 1) * capacity - total, nodes)
         nodes -= used
         if found is None:
@@ -140,39 +177,36 @@ def _search(ordered: list[int], capacity: int, waste: int, nodes: int) -> tuple[
     """Depth-first search for a packing that wastes at most ``waste``; None if there's none or the nodes are used up."""
     stock = _Stock(ordered, capacity)
     left = len(ordered)
-    path: list[tuple[list[int], int, list[tuple[int, ...]]]] = []  # container, waste before it, fillings not tried
+    path: list[tuple[list[int], int, Iterator[tuple[int, ...]]]] = []  # container, waste allowed before it, fillings not tried
     used = 0
 
-    def opened() -> tuple[int, list[tuple[int, ...]]]:
+    def opened() -> tuple[int, Iterator[tuple[int, ...]]]:
         top = stock.largest(capacity)
         stock.take(top)
-        return top, stock.fillings(capacity - top)
+        return top, stock.fillings(capacity - top, waste)
 
     top, options = opened()
-    while True:
+    while used < nodes:
         used += 1
-        if options and used <= nodes:
-            fill = options.pop(0)
-            lost = capacity - top - sum(fill)
-            if lost <= waste:
-                for s in fill:
-                    stock.take(s)
-                left -= 1 + len(fill)
-                path.append(([top, *fill], waste, options))
-                waste -= lost
-                if not left:
-                    return [p[0] for p in path], used
-                top, options = opened()
-                continue
-            options = []  # the others waste as much or more
-        if used > nodes or not path:
-            return None, used
-        if not options:
-            stock.add(top)
-            (top, *fill), waste, options = path.pop()
+        fill = next(options, None)
+        if fill is not None:
             for s in fill:
-                stock.add(s)
-            left += 1 + len(fill)
+                stock.take(s)
+            left -= 1 + len(fill)
+            path.append(([top, *fill], waste, options))
+            waste -= capacity - top - sum(fill)
+            if not left:
+                return [p[0] for p in path], used
+            top, options = opened()
+            continue
+        if not path:
+            break
+        stock.add(top)
+        (top, *fill), waste, options = path.pop()
+        for s in fill:
+            stock.add(s)
+        left += 1 + len(fill)
+    return None, used
 
 
 def pack(ids: np.ndarray, tokens: np.ndarray, capacity: int, first: int = 0) -> pd.DataFrame:
