@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,6 +39,7 @@ LONGEST_TITLE = 75
 
 HYPHENS = "-‐‑­¬"
 _HYPHEN = re.compile(rf"(\S*[^\W\d_]\S*)[{HYPHENS}]\s*$")
+_HYPHEN_SET = frozenset(HYPHENS)
 _EDGE = "¿?¡!.,;:()«»“”\"'…—–[]‹›*_~=|^·" + HYPHENS
 _ALNUM = re.compile(r"[^\W_]")
 _EXERCISE = re.compile(r"\s*(?:=\s*\S{1,6}|\S{1,4}\s*[+×x÷*-]\s*\S{1,4}|\S{1,3}\.?\s*_+)\s*$")
@@ -163,13 +165,14 @@ class Vocabulary:
 
     def __post_init__(self):
         self._memo: dict[str, bool] = {}
+        self._good: set[str] = set()
 
     def __getstate__(self):
         return {"known": self.known, "compounds": self.compounds}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self._memo = {}
+        self.__post_init__()
 
     def has(self, f: str) -> bool:
         got = self._memo.get(f)
@@ -191,6 +194,22 @@ class Vocabulary:
         parts = re.split(r"[-/–]", f)
         return len(parts) > 1 and all(p and self.has(p) for p in parts)
 
+    def all_right(self, tokens: list[str]) -> bool:
+        """Whether all tokens are right; tokens found right are remembered as they stand."""
+        good = self._good
+        if good.issuperset(tokens):
+            return True
+        if len(good) > 500_000:
+            good.clear()
+        out = True
+        for t in tokens:
+            if t not in good:
+                if self.right(t):
+                    good.add(t)
+                else:
+                    out = False
+        return out
+
     def compound(self, f: str) -> bool:
         h = np.uint64(_hash(skeleton(f)))
         i = int(np.searchsorted(self.compounds, h))
@@ -213,6 +232,20 @@ class Vocabulary:
         return None
 
 
+def _without_cut_words(text: str) -> str:
+    """A text without the two halves of each word cut at a line's end."""
+    lines = text.split("\n")
+    for i, x in enumerate(lines):
+        if x and (x[-1] in _HYPHEN_SET or x[-1] == " " and x.rstrip()[-1:] in _HYPHEN_SET) and _HYPHEN.search(x):
+            lines[i] = x.rstrip().rpartition(" ")[0]
+            k = i + 1
+            while k < len(lines) and not lines[k].strip():
+                k += 1
+            if k < len(lines):
+                lines[k] = lines[k].lstrip().partition(" ")[2]
+    return "\n".join(lines)
+
+
 def token_forms(rows: DataFrame) -> DataFrame:
     """form, nativo, leido: how often each form occurs in native and in scanned texts (columns texto, leido).
 
@@ -221,24 +254,17 @@ def token_forms(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            tokens, scanned = [], []
-            for text, read in zip(b["texto"], b["leido"]):
-                cut = False
-                for _, x in text_lines(text):
-                    t = x.split()
-                    if cut:
-                        t = t[1:]
-                    cut = bool(read) and _HYPHEN.search(x) is not None
-                    if cut:
-                        t = t[:-1]
-                    tokens += t
-                    scanned += [bool(read)] * len(t)
-            if tokens:
-                code, unique = pd.factorize(np.array(tokens, dtype=object))
-                was = np.array(scanned)
-                n = len(unique)
-                got = pd.DataFrame({"forma": [form(u) for u in unique], "nativo": np.bincount(code[~was], minlength=n), "leido": np.bincount(code[was], minlength=n)})
-                yield got.groupby("forma", as_index=False).sum()
+            read = b["leido"].to_numpy(dtype=bool)
+            texts = b["texto"].fillna("").to_numpy(dtype=object)
+            got: dict[str, list[int]] = {}
+            for k, own in enumerate((texts[~read], texts[read])):
+                whole = "\n\n".join(own)
+                if k:
+                    whole = _without_cut_words(whole)
+                for token, n in Counter(whole.split()).items():
+                    got.setdefault(form(token), [0, 0])[k] += n
+            if got:
+                yield pd.DataFrame([(f, *n) for f, n in got.items()], columns=["forma", "nativo", "leido"])
 
     return rows.select("texto", "leido").mapInPandas(run, "forma string, nativo bigint, leido bigint").filter("forma <> ''").groupBy("forma").agg(F.sum("nativo").alias("nativo"), F.sum("leido").alias("leido"))
 
@@ -270,7 +296,7 @@ def page_faults(text: str | None, page: int | None, v: Vocabulary) -> list[tuple
     for i, x in text_lines(text):
         if is_specks(x):
             out.append((i, "mancha"))
-        elif not _EXERCISE.match(x):
+        elif len(x) > 24 or not _EXERCISE.match(x):
             rows.append((i, x))
     wrong: set[int] = set()
     skip = False  # the first token of the line was judged with the line before
@@ -279,8 +305,7 @@ def page_faults(text: str | None, page: int | None, v: Vocabulary) -> list[tuple
         if skip:
             tokens = tokens[1:]
         skip = False
-        m = _HYPHEN.search(x)
-        if m and tokens and k + 1 < len(rows):
+        if tokens and tokens[-1][-1] in _HYPHEN_SET and k + 1 < len(rows) and _HYPHEN.search(x):
             after = rows[k + 1][1].split()[0]
             head, tail = form(tokens[-1]), form(after)
             tokens = tokens[:-1]
@@ -301,7 +326,7 @@ def page_faults(text: str | None, page: int | None, v: Vocabulary) -> list[tuple
                 fixed = v.corrected(core(x.split()[-1]) + core(after))
                 at = fixed[1] < len(head) if fixed else bool(re.search(r"[^a-záéíóúüñ]", head)) or not re.search(r"[^a-záéíóúüñ]", tail) and len(head) >= len(tail)
                 wrong.add(i if at else rows[k + 1][0])
-        if any(not v.right(t) for t in tokens):
+        if not v.all_right(tokens):
             wrong.add(i)
     return out + [(i, "caracter") for i in sorted(wrong)]
 
@@ -338,7 +363,7 @@ def p5_found(spark, folder: str) -> DataFrame:
     """Furniture, specks, vanishing hyphens and wrong characters of every scanned page."""
     pages = scanned_pages(spark, folder)
     heads = materialize(furniture(materialize(edge_lines(pages), "edges")).distinct(), "furniture")
-    inner = faults(pages, page_vocabulary(spark, folder)).distinct()
+    inner = materialize(faults(pages, page_vocabulary(spark, folder)).distinct(), "faults")
     text = inner.filter("hallazgo in ('guion', 'caracter')").join(heads.select("tabla", "registro", "renglon"), ["tabla", "registro", "renglon"], "left_anti")
     return heads.select("tabla", "registro", "renglon", "hallazgo").unionByName(text.select("tabla", "registro", "renglon", "hallazgo")).unionByName(inner.filter("hallazgo = 'mancha'").select("tabla", "registro", "renglon", "hallazgo"))
 
