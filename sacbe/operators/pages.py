@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sacbe.functions.text import fold, text, tokens
+from sacbe.storage import materialize
 
 #: Defaults of each kind of study material.
 DEFAULT_COUNT = {"summary": 8, "glossary": 12, "flashcards": 10, "quiz": 5, "timeline": 14}
@@ -78,6 +79,9 @@ def _without(df: DataFrame, phrases: DataFrame, last: bool) -> DataFrame:
 
 
 def without_headers(df: DataFrame) -> DataFrame:
-    """Pages without the header and footer their book repeats, with the folios beside them; line breaks stay."""
-    first = _without(df, repeated_border(df), False)
-    return _without(first, repeated_border(first, last=True), True)
+    """Pages without the header and footer their book repeats, with the folios beside them; line breaks stay.
+
+    The footer is looked for once the header is gone, so the pages are written in between.
+    """
+    first = materialize(_without(df, materialize(repeated_border(df), "headers"), False), "pages")
+    return _without(first, materialize(repeated_border(first, last=True), "footers"), True)
