@@ -105,7 +105,7 @@ def textrank_by_joins(sentences: DataFrame, rounds: int = ROUNDS, cut_every: int
     nodes = materialize(sentences.select("libro", "orden").join(size, "libro").join(total.select("libro", F.col("a").alias("orden"), F.lit(True).alias("con")), ["libro", "orden"], "left").select("libro", "orden", "n", F.coalesce("con", F.lit(False)).alias("con")), "nodes")
     score = nodes.select("libro", "orden", (1 / F.col("n")).alias("s"))
     for k in range(rounds):
-        given = score.join(step, (score["libro"] == step["libro"]) & (score["orden"] == step["a"])).groupBy(step["libro"], step["b"].alias("orden")).agg(F.sum(score["s"] * step["p"]).alias("g"))
+        given = score.withColumnRenamed("orden", "a").join(step, ["libro", "a"]).groupBy("libro", F.col("b").alias("orden")).agg(F.sum(F.col("s") * F.col("p")).alias("g"))
         loose = score.join(nodes.filter(~F.col("con")).select("libro", "orden"), ["libro", "orden"], "left_semi").groupBy("libro").agg(F.sum("s").alias("l"))
         score = nodes.join(given, ["libro", "orden"], "left").join(loose, "libro", "left").select("libro", "orden", ((1 - DAMPING) / F.col("n") + DAMPING * (F.coalesce("g", F.lit(0.0)) + F.coalesce("l", F.lit(0.0)) / F.col("n"))).alias("s"))
         if (k + 1) % cut_every == 0:

@@ -23,7 +23,7 @@ def manifest_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """archivo, texto: one row per file, trimmed; bytes that are no UTF-8 become replacement characters."""
-    return spark.read.option("wholetext", True).text(path).select(F.regexp_replace(F.input_file_name(), r"^.*/", "").alias("archivo"), strip(F.col("value")).alias("texto"))
+    return spark.read.text(path, wholetext=True).select(F.regexp_replace(F.input_file_name(), r"^.*/", "").alias("archivo"), strip(F.col("value")).alias("texto"))
 
 
 def with_texts(manifest: DataFrame, texts: DataFrame) -> DataFrame:
@@ -37,10 +37,10 @@ def pages_json(df: DataFrame, column: str = "paginas", book: str = "libro") -> D
 
 
 def document_bytes(spark: SparkSession, path: str) -> DataFrame:
-    """ruta, bytes, motivo: files with the reason they are refused, null if none."""
+    """ruta, bytes, motivo: files with the reason they are refused, null if none. Empty files don't show: the source skips them."""
     b = spark.read.format("binaryFile").load(path)
     head = F.decode(F.substring("content", 1, 4), "ISO-8859-1")
-    reason = F.when(F.col("length") == 0, "vacio").when(F.col("length") > MOST_BYTES, "demasiado grande").when(head != "%PDF", "no es PDF")
+    reason = F.when(F.col("length") > MOST_BYTES, "demasiado grande").when(head != "%PDF", "no es PDF")
     return b.select(F.col("path").alias("ruta"), F.col("length").alias("bytes"), reason.alias("motivo"))
 
 
