@@ -44,8 +44,8 @@ def vectors(texts: list[str]) -> np.ndarray:
     return out / np.where(size > 0, size, 1)
 
 
-def textrank(similarity: np.ndarray) -> np.ndarray:
-    """Scores after ROUNDS of power iteration; weak links don't count, sentences without links vote for all alike."""
+def textrank(similarity: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Scores after some rounds of power iteration; weak links don't count, sentences without links vote for all alike."""
     n = len(similarity)
     w = np.where(similarity < SAME_SENTENCE, 0.0, similarity)
     np.fill_diagonal(w, 0.0)
@@ -53,7 +53,7 @@ def textrank(similarity: np.ndarray) -> np.ndarray:
     linked = total > 0
     w[linked] /= total[linked, None]
     score = np.full(n, 1.0 / n) if n else np.zeros(0)
-    for _ in range(ROUNDS if n else 0):
+    for _ in range(rounds if n else 0):
         score = (1 - DAMPING) / n + DAMPING * (score[linked] @ w[linked] + score[~linked].sum() / n)
     return score
 
@@ -92,10 +92,10 @@ def prior(c: Column) -> Column:
     return F.when(content < CONTENT, 0.02).otherwise(length * F.when(is_dialogue(c), 0.6).otherwise(1.0) * F.when(is_capitals(c), 0.05).otherwise(1.0) * F.when(is_task(c), 0.2).otherwise(1.0))
 
 
-def textrank_by_joins(sentences: DataFrame, rounds: int = ROUNDS, cut_every: int = 10) -> DataFrame:
+def textrank_by_joins(sentences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """libro, orden, puntos by joins over the links alone, for books too long for a matrix.
 
-    The lineage is cut into the shared folder every ``cut_every`` rounds.
+    A round uses the scores twice, so each is written to the shared folder: the plan would double otherwise.
     """
     links = similar_sentences(tfidf(sentences))
     both = links.select("libro", "a", "b", "similitud").unionByName(links.select("libro", F.col("b").alias("a"), F.col("a").alias("b"), "similitud"))
@@ -104,12 +104,11 @@ def textrank_by_joins(sentences: DataFrame, rounds: int = ROUNDS, cut_every: int
     size = sentences.groupBy("libro").agg(F.count("*").alias("n"))
     nodes = materialize(sentences.select("libro", "orden").join(size, "libro").join(total.select("libro", F.col("a").alias("orden"), F.lit(True).alias("con")), ["libro", "orden"], "left").select("libro", "orden", "n", F.coalesce("con", F.lit(False)).alias("con")), "nodes")
     score = nodes.select("libro", "orden", (1 / F.col("n")).alias("s"))
-    for k in range(rounds):
+    for _ in range(rounds):
         given = score.withColumnRenamed("orden", "a").join(step, ["libro", "a"]).groupBy("libro", F.col("b").alias("orden")).agg(F.sum(F.col("s") * F.col("p")).alias("g"))
         loose = score.join(nodes.filter(~F.col("con")).select("libro", "orden"), ["libro", "orden"], "left_semi").groupBy("libro").agg(F.sum("s").alias("l"))
-        score = nodes.join(given, ["libro", "orden"], "left").join(loose, "libro", "left").select("libro", "orden", ((1 - DAMPING) / F.col("n") + DAMPING * (F.coalesce("g", F.lit(0.0)) + F.coalesce("l", F.lit(0.0)) / F.col("n"))).alias("s"))
-        if (k + 1) % cut_every == 0:
-            score = materialize(score, "scores")
+        new = nodes.join(given, ["libro", "orden"], "left").join(loose, "libro", "left")
+        score = materialize(new.select("libro", "orden", ((1 - DAMPING) / F.col("n") + DAMPING * (F.coalesce("g", F.lit(0.0)) + F.coalesce("l", F.lit(0.0)) / F.col("n"))).alias("s")), "scores")
     return score.select("libro", "orden", F.col("s").alias("puntos"))
 
 

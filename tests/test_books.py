@@ -46,8 +46,8 @@ def test_textrank_matrix_equals_joins(spark):
     texts = ["El agua del río corre limpia", "El agua del mar es salada siempre", "El río cruza la ciudad vieja", "Nada parecido queda fuera", "La ciudad vieja mira el mar"]
     s = spark.createDataFrame([(1, k, 1, t) for k, t in enumerate(texts)], "libro bigint, orden int, pagina int, texto string")
     v = ranking.vectors(texts)
-    want = ranking.textrank(v @ v.T)
-    got = [r["puntos"] for r in ranking.textrank_by_joins(s).orderBy("orden").collect()]
+    want = ranking.textrank(v @ v.T, 6)
+    got = [r["puntos"] for r in ranking.textrank_by_joins(s, 6).orderBy("orden").collect()]
     assert np.allclose(got, want, atol=1e-9) and abs(want.sum() - 1) < 1e-9
 
 
