@@ -34,6 +34,8 @@ TRIGRAMS, BIGRAMS, AFTER = 1 << 20, 1 << 18, 1 << 16
 ROUNDS = 2
 #: Weights with which less specific counts enter more specific ones.
 BACK_OFF = 3.0
+#: Weight of the prior that a bare space of a script without marks is a boundary.
+BARE = 100.0
 
 _CLOSE = "\"'”’»）)\\]】」』›"
 _OPEN = "“«„「『（(\\[【‹‘"
@@ -240,7 +242,10 @@ class Model:
 
     def before(self, g: Gap) -> float:
         """P(<S> | words before) with back-off from shape to word to two words."""
-        p = (self.s1[g.shape] + 0.5) / (self.n1[g.shape] + 1.0)
+        if g.shape % len(ENDINGS):
+            p = (self.s1[g.shape] + 0.5) / (self.n1[g.shape] + 1.0)
+        else:  # no mark: a space of a script without marks, which ends a sentence by the rule of the problem
+            p = (self.s1[g.shape] + BARE) / (self.n1[g.shape] + BARE + 0.01)
         p = (self.s2[g.before2] + BACK_OFF * p) / (self.n2[g.before2] + BACK_OFF)
         p = (self.s3[g.before3] + BACK_OFF * p) / (self.n3[g.before3] + BACK_OFF)
         return min(max(p, 1e-5), 1 - 1e-5)

@@ -16,7 +16,6 @@ vocabulary or its hyphenated form is not.
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sacbe.llm.words import fold, print_shape
 from sacbe.storage import materialize, table
 
 NATIVE_SHARE, SCANNED_SHARE = 1e-6, 3e-5
@@ -52,16 +52,10 @@ CONFUSED = (
     ("rn", "m"), ("ri", "n"), ("cl", "d"), ("ii", "u"), ("li", "h"), ("m", "rn"), ("fi", "ﬁ"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("0", "o"), ("0", "ó"), ("1", "l"), ("1", "i"), ("5", "s"), ("6", "ó"), ("6", "b"), ("8", "b"), ("9", "g"), ("@", "a"), ("(", "c"), ("!", "i"), ("!", "í"), ("|", "l"),
     ("i", "l"), ("l", "i"), ("í", "i"), ("i", "í"), ("f", "t"), ("t", "f"), ("y", "v"), ("v", "y"), ("c", "e"), ("e", "c"), ("é", "e"), ("e", "é"), ("á", "a"), ("a", "á"), ("ó", "o"), ("o", "ó"), ("n", "ñ"), ("u", "ú"), ("h", "b"), ("b", "h"), ("j", "i"), ("o", "c"), ("q", "g"), ("$", "s"),
 )
-_JOINED = re.compile(r"rn|ri|cl|ii|li")
-_JOINED_TO = {"rn": "m", "ri": "n", "cl": "d", "ii": "u", "li": "h"}
-_ALIKE = str.maketrans("l1|!jI0569fyce@($ﬁ", "iiiiiiosbgtvccacst")
-
 
 def skeleton(text: str) -> str:
     """Letters of a text without case, accents and what scans confuse."""
-    t = unicodedata.normalize("NFKD", text.lower())
-    t = "".join(c for c in t if not unicodedata.combining(c))
-    return _JOINED.sub(lambda m: _JOINED_TO[m[0]], t).translate(_ALIKE)
+    return print_shape(fold(text))
 
 
 def line_key(line: str) -> str:

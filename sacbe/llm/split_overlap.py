@@ -13,7 +13,6 @@ pair that keeps 85 % of its words in stretches can come out near 0.4 (TESTDATA.m
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -23,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sacbe.llm.words import fold, print_shape
 from sacbe.storage import materialize, table
 
 SHINGLE = 5
@@ -36,19 +36,11 @@ LEAST_COMMON, STRETCH = 0.7, 3
 
 _BETWEEN = re.compile(r"(?<=\w)[@(](?=\w)|(?<=\w)@|@(?=\w)")
 _TOKEN = re.compile(r"[^\W_]+")
-_JOINED = re.compile(r"rn|ri|cl|ii|li")
-_JOINED_TO = {"rn": "m", "ri": "n", "cl": "d", "ii": "u", "li": "h"}
-#: Characters that scans confuse, each mapped to one of its set.
-_ALIKE = str.maketrans("l1|jI0569fyce", "iiiiiosbgtvcc")
-_MASK = (1 << 61) - 1
 
 
 def skeletons(text: str | None) -> list[str]:
     """The words of a text with case, accents, punctuation and common misreadings taken out."""
-    t = unicodedata.normalize("NFKD", (text or "").lower())
-    t = "".join(c for c in t if not unicodedata.combining(c))
-    t = _BETWEEN.sub(lambda m: "a" if m[0] == "@" else "c", t)
-    return [_JOINED.sub(lambda m: _JOINED_TO[m[0]], w).translate(_ALIKE) for w in _TOKEN.findall(t)]
+    return _TOKEN.findall(print_shape(_BETWEEN.sub(lambda m: "a" if m[0] == "@" else "c", fold(text or ""))))
 
 
 def shingles(words: list[str]) -> set[int]:
