@@ -28,6 +28,18 @@ def shared_folder(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables ``materialize`` wrote in this process; call it once the results built on them are saved."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
 def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     """Write ``df`` compressed into the shared folder and read it back.
 
@@ -37,18 +49,5 @@ def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/sacbe-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def default_parallelism(spark: SparkSession) -> int:
-    """Partitions worth making at least, so that every core of the cluster has work."""
-    return max(spark.sparkContext.defaultParallelism, 8)
-
-
-def spread(df: DataFrame, *by: str) -> DataFrame:
-    """Repartition ``df`` before heavy per-row work if its input splits are fewer than the cores.
-
-    Large inputs arrive in enough splits already and are not moved.
-    """
-    want = default_parallelism(df.sparkSession)
-    return df.repartition(want, *by) if df.rdd.getNumPartitions() < want else df
