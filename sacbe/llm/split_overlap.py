@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sacbe.llm.grouped_splits import source_key
 from sacbe.llm.words import fold, print_shape
 from sacbe.storage import materialize, table
 
@@ -196,9 +197,12 @@ def p4_links(spark, folder: str) -> DataFrame:
 
 
 def p4_report(spark, folder: str) -> DataFrame:
-    """Held-out examples per split and source, those found in training, and the pairs they form, counted without expanding classes."""
+    """Held-out examples per split and source, those found in training, and the pairs they form, counted without expanding classes.
+
+    Sources are compared by one spelling; rows that name none have a null source.
+    """
     links, members = overlaps(table(spark, folder, "ejemplos"))
-    members = materialize(members, "members")
+    members = materialize(members.withColumn("fuente", source_key("fuente")), "members")
     training = members.filter("particion = 'entrenamiento'").groupBy("rep").agg(F.count("*").alias("n"))
     per = links.join(training, links["a"] == training["rep"]).groupBy("b").agg(F.sum("n").alias("pares")).withColumnRenamed("b", "rep")
     held = members.filter("particion <> 'entrenamiento'").groupBy("rep", "particion", "fuente").agg(F.count("*").alias("n"))
