@@ -28,9 +28,21 @@ def shared_folder(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+#: Rows in memory take about so many times the bytes of their compressed columns.
+IN_MEMORY = "20.0"
 _written: list[str] = []
 
 
+def _careful(spark: SparkSession) -> None:
+    """Let the planner expect files to grow in memory, where the session leaves that open.
+
+    It chooses broadcasts by the size of files; tables of ids and short codes compress so well that
+    a side of some megabytes on disk can fill gigabytes.
+    """
+    if float(spark.conf.get("spark.sql.sources.fileCompressionFactor")) == 1.0:
+        spark.conf.set("spark.sql.sources.fileCompressionFactor", IN_MEMORY)
+
+
 def release(spark: SparkSession) -> int:
     """Delete all tables ``materialize`` wrote in this process; call it once the results built on them are saved."""
     jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
@@ -47,6 +59,7 @@ def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     compressed columns, so a later read takes only the columns it needs.
     """
     spark = df.sparkSession
+    _careful(spark)
     path = f"{shared_folder(spark)}/sacbe-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
