@@ -2,8 +2,8 @@
 
 A hidden-event n-gram model: a boundary token <S> may stand in each gap where a sentence could end (after a
 run of sentence marks with its closing quotes, or at a space of a script without marks). For each gap the
-model compares P(<S> | words before) x P(word after | <S>) with P(no <S> | words before) x P(word after |
-words before), where words before back off from the last two words to the last word to its shape. A
+model compares P(<S> | words before) x P(word after | <S>, kind of mark) with P(no <S> | words before) x P(word after | no <S>,
+kind of mark), where words before back off from the last two words to the last word to its shape. A
 two-state chain over the gaps of a paragraph (is there a boundary; how many words since the gap before)
 is solved by forward-backward, and a boundary stands where its posterior exceeds one half.
 
@@ -33,7 +33,9 @@ from sacbe.storage import materialize, table
 TRIGRAMS, BIGRAMS, AFTER = 1 << 20, 1 << 18, 1 << 16
 ROUNDS = 2
 #: Weights with which less specific counts enter more specific ones.
-BACK_OFF = 3.0
+BACK_OFF, KIND_BACK_OFF = 3.0, 300.0
+#: The first estimate leans more on the shape: a word seen few times may stand at no sure boundary by chance.
+FIRST_BACK_OFF = 15.0
 #: Weight of the prior that a bare space of a script without marks is a boundary.
 BARE = 100.0
 
@@ -235,10 +237,11 @@ class Model:
     s2: np.ndarray
     n1: np.ndarray
     s1: np.ndarray
-    first: np.ndarray  # what follows a boundary
-    inner: np.ndarray  # what follows a gap without one
+    first: np.ndarray  # what follows a boundary, by the kind of mark before it; in the last row what begins a paragraph
+    inner: np.ndarray  # what follows a gap without one, by what the run of marks ends with
     chain: np.ndarray  # (words since the gap before, boundary there, boundary here)
     sure: float = 0.4  # part of all boundaries that are sure
+    back_off: float = BACK_OFF
 
     def before(self, g: Gap) -> float:
         """P(<S> | words before) with back-off from shape to word to two words."""
@@ -246,21 +249,26 @@ class Model:
             p = (self.s1[g.shape] + 0.5) / (self.n1[g.shape] + 1.0)
         else:  # no mark: a space of a script without marks, which ends a sentence by the rule of the problem
             p = (self.s1[g.shape] + BARE) / (self.n1[g.shape] + BARE + 0.01)
-        p = (self.s2[g.before2] + BACK_OFF * p) / (self.n2[g.before2] + BACK_OFF)
-        p = (self.s3[g.before3] + BACK_OFF * p) / (self.n3[g.before3] + BACK_OFF)
+        p = (self.s2[g.before2] + self.back_off * p) / (self.n2[g.before2] + self.back_off)
+        p = (self.s3[g.before3] + self.back_off * p) / (self.n3[g.before3] + self.back_off)
         return min(max(p, 1e-5), 1 - 1e-5)
 
     def ratio(self, g: Gap) -> float:
         """P(word after | <S>) / P(word after | none)."""
-        yes = (self.first[g.after] + 0.1) / (self.first_total + 0.1 * 200)
-        no = (self.inner[g.after] + 0.1) / (self.inner_total + 0.1 * 200)
+        kind = g.shape % len(ENDINGS)
+        base = (self.first_all[g.after] + 0.1) / (self.first_all_total + 0.1 * 200)
+        yes = (self.first[kind, g.after] + KIND_BACK_OFF * base) / (self.first_total[kind] + KIND_BACK_OFF)
+        base = (self.inner_all[g.after] + 0.1) / (self.inner_all_total + 0.1 * 200)
+        no = (self.inner[kind, g.after] + KIND_BACK_OFF * base) / (self.inner_total[kind] + KIND_BACK_OFF)
         return yes / no
 
     def ready(self) -> Model:
-        self.first_total, self.inner_total = float(self.first.sum()), float(self.inner.sum())
+        self.first_total, self.inner_total = self.first.sum(axis=1), self.inner.sum(axis=1)
+        self.first_all, self.first_all_total = self.first.sum(axis=0), float(self.first.sum())
+        self.inner_all, self.inner_all_total = self.inner.sum(axis=0), float(self.inner.sum())
         t = self.chain + 5.0
         base = t.sum(axis=1)[:, 1] / t.sum(axis=(1, 2))
-        self.link = (t[:, :, 1] / t.sum(axis=2)) / base[:, None]  # factor on the odds of a boundary
+        self.link = (t[:, :, 1] / t[:, :, 0]) / (base / (1 - base))[:, None]  # factor on the odds of a boundary
         return self
 
     def posteriors(self, row: list[Gap]) -> list[float]:
@@ -275,7 +283,8 @@ class Model:
                 continue
             p, r = self.before(g), self.ratio(g)
             for e in (0, 1):
-                q = min(max(p * self.link[g.words - 1, e], 1e-6), 1 - 1e-6)
+                odds = p * self.link[g.words - 1, e]
+                q = odds / (odds + 1 - p)
                 step[i, e] = (1 - q, q * r)
         f = np.empty((n, 2))
         state = np.array([0.0, 1.0])  # a paragraph begins after a boundary
@@ -308,7 +317,7 @@ def first_counts(text: str, c: list[np.ndarray]) -> None:
 
 def _sure(text: str, a: int, b: int, c: list[np.ndarray]) -> None:
     n3, s3, n2, s2, n1, s1, first, _, _ = c
-    first[_after(text, a)[0]] += 1
+    first[-1, _after(text, a)[0]] += 1
     m = re.search(rf"[{_MARKS}]+(?:[^\S\n]?[{_CLOSE}]|[{_MARKS}])*$", text[max(a, b - 12) : b])
     if m:
         mark = max(a, b - 12) + m.start()
@@ -333,8 +342,8 @@ def expected_counts(text: str, model: Model, c: list[np.ndarray]) -> None:
                 for n, s, k in ((n3, s3, g.before3), (n2, s2, g.before2), (n1, s1, g.shape)):
                     n[k] += 1
                     s[k] += p
-                first[g.after] += p
-                inner[g.after] += 1 - p
+                first[g.shape % len(ENDINGS), g.after] += p
+                inner[g.shape % len(ENDINGS), g.after] += 1 - p
                 w = g.words - 1
                 for e, pe in ((0, 1 - was), (1, was)):
                     chain[w, e, 0] += pe * (1 - p)
@@ -344,7 +353,7 @@ def expected_counts(text: str, model: Model, c: list[np.ndarray]) -> None:
 
 
 def _empty() -> list[np.ndarray]:
-    return [np.zeros(TRIGRAMS), np.zeros(TRIGRAMS), np.zeros(BIGRAMS), np.zeros(BIGRAMS), np.zeros(N_SHAPES), np.zeros(N_SHAPES), np.zeros(AFTER), np.zeros(AFTER), np.zeros((3, 2, 2))]
+    return [np.zeros(TRIGRAMS), np.zeros(TRIGRAMS), np.zeros(BIGRAMS), np.zeros(BIGRAMS), np.zeros(N_SHAPES), np.zeros(N_SHAPES), np.zeros((len(ENDINGS) + 1, AFTER)), np.zeros((len(ENDINGS), AFTER)), np.zeros((3, 2, 2))]
 
 
 def _gather(texts: DataFrame, model: Model | None) -> list[np.ndarray]:
@@ -382,11 +391,12 @@ def train(texts: DataFrame) -> Model:
     # Long lower-case words before a single mark end sentences: how often they stand at sure boundaries tells which part of all boundaries is sure.
     plain = [SHAPES.index("lower") * len(ENDINGS) + ENDINGS.index(e) for e in ("stop", "call", "wide")]
     sure = min(max(float(s1[plain].sum() / max(1.0, n1[plain].sum())), 0.02), 1.0)
-    grown = [np.minimum(n, s / sure) for n, s in ((n3, s3), (n2, s2), (n1, s1))]
-    inner = np.full(AFTER, 0.0)
-    model = Model(n3, grown[0], n2, grown[1], n1, grown[2], first, inner, chain, sure).ready()
-    model.first_total = model.inner_total = 1.0
-    model.first, model.inner = np.zeros(AFTER), np.zeros(AFTER)  # the first round rests on the words before alone
+    # An upper bound of the rate: words that never stand at a sure boundary stay at none, few chance misses don't count.
+    grown = [np.minimum(n, (s + 2 * np.sqrt(s)) / sure) for n, s in ((n3, s3), (n2, s2), (n1, s1))]
+    inner = np.zeros((len(ENDINGS), AFTER))
+    model = Model(n3, grown[0], n2, grown[1], n1, grown[2], first, inner, chain, sure, FIRST_BACK_OFF).ready()
+    model.first, model.first_total = np.zeros_like(first), np.zeros(len(first))
+    model.first_all, model.first_all_total = np.zeros(AFTER), 0.0  # the first round rests on the words before alone
     for _ in range(ROUNDS):
         c = _gather(texts, model)
         model = Model(*c, sure=sure).ready()
