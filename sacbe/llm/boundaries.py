@@ -35,7 +35,7 @@ ROUNDS = 2
 #: Weights with which less specific counts enter more specific ones.
 BACK_OFF, KIND_BACK_OFF = 3.0, 300.0
 #: The first estimate leans more on the shape: a word seen few times may stand at no sure boundary by chance.
-FIRST_BACK_OFF = 15.0
+FIRST_BACK_OFF = 8.0
 #: Weight of the prior that a bare space of a script without marks is a boundary.
 BARE = 100.0
 
@@ -140,7 +140,7 @@ def _contexts(text: str, start: int, mark: int, end: int) -> tuple[int, int, int
     rest = head[: m.start()] if m else head
     p = _TOKEN_BEFORE.search(rest.rstrip())
     prior = p[0].lower()[-12:] if p else "^"
-    if prior[-1].isdigit():
+    if prior.rstrip(",;:)")[-1:].isdigit():
         prior = "9"
     elif ord(prior[-1]) > 0x2E7F:
         prior = prior[-2:]
