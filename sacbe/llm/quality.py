@@ -228,8 +228,8 @@ def labelled_statistics(examples: DataFrame, common: frozenset[str]) -> pd.DataF
 def examples_by_kind(spark, folder: str) -> DataFrame:
     """Statistics and kind of each row of ``ejemplos``: columns id, words, lines, MEASURES, clase, seguridad."""
     common = common_words(table(spark, folder, "palabras_comunes"))
-    rows = table(spark, folder, "ejemplos").select("ejemplo_id", "texto").dropDuplicates(["ejemplo_id"])
-    stats = materialize(text_statistics(rows, common, "ejemplo_id", "texto"), "stats")
+    # Repeated rows are measured like any other and dropped from the narrow result: texts are never shuffled.
+    stats = materialize(text_statistics(table(spark, folder, "ejemplos"), common, "ejemplo_id", "texto").dropDuplicates(["id"]), "stats")
     model = fit_mixture(stats, labelled_statistics(table(spark, folder, "muestra_etiquetada"), common))
     return name_kinds(stats, model)
 
