@@ -127,11 +127,10 @@ def grade_level(column: str) -> Column:
 def levels_of_examples(spark, folder: str, only_prose: bool = False) -> DataFrame:
     """Level of each example of the table ``ejemplos``."""
     labelled = table(spark, folder, "muestra_etiquetada").filter("nivel is not null").select("texto", "nivel").toPandas()
-    rows = table(spark, folder, "ejemplos").select("ejemplo_id", "texto").dropDuplicates(["ejemplo_id"])
-    if only_prose:
-        prose = examples_by_kind(spark, folder).filter("clase = 'prosa'").select(F.col("id").alias("ejemplo_id"))
-        rows = rows.join(prose, "ejemplo_id", "left_semi")
-    return reading_level(rows, "ejemplo_id", "texto", knots(labelled))
+    levels = reading_level(table(spark, folder, "ejemplos"), "ejemplo_id", "texto", knots(labelled)).dropDuplicates(["id"])
+    if only_prose:  # the narrow results meet, not the texts
+        levels = levels.join(examples_by_kind(spark, folder).filter("clase = 'prosa'").select("id"), "id", "left_semi")
+    return levels
 
 
 def p2_levels(spark, folder: str) -> DataFrame:
