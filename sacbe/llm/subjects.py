@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sacbe.llm.quality import examples_by_kind
 from sacbe.llm.words import PIECES, WORD
-from sacbe.storage import table
+from sacbe.storage import materialize, table
 
 SUBJECTS = ("matematicas", "ciencias_naturales", "ciencias_sociales", "comunicacion_lenguaje", "ingles", "otro")
 #: How subjects are spelt in file paths (a tag may stand for two) and in section metadata (folded, letters only).
@@ -148,12 +148,16 @@ def path_subjects(column: str) -> Column:
     return F.coalesce(*[F.when(name.rlike(f"[_-]{tag}[_-]"), F.array(*map(F.lit, codes))) for tag, codes in PATH_TAGS.items()])
 
 
-def weak_labels(examples: DataFrame, limit: int = TRAINING_ROWS) -> list[tuple[str, str]]:
-    """Texts and subjects of at most ``limit`` rows whose path names the subject they declare."""
-    agreed = examples.select("ejemplo_id", "texto", path_subjects("archivo").alias("por_ruta"), declared_subject("materia").alias("declarada"))
-    agreed = agreed.filter("texto is not null and array_contains(por_ruta, declarada)").dropDuplicates(["ejemplo_id"])
-    chosen = agreed.orderBy(F.xxhash64("ejemplo_id"), "ejemplo_id").limit(limit).select("texto", "declarada")
-    return [(r[0], r[1]) for r in chosen.collect()]
+def weak_labels(examples: DataFrame, prose: DataFrame, limit: int = TRAINING_ROWS) -> list[tuple[str, str]]:
+    """Texts and subjects of at most ``limit`` prose rows whose path names the subject they declare.
+
+    Rows are chosen by their narrow columns; only then the texts of the chosen ones, at most ``limit``, are read.
+    """
+    agreed = examples.filter("texto is not null").select("ejemplo_id", path_subjects("archivo").alias("por_ruta"), declared_subject("materia").alias("declarada"))
+    agreed = agreed.filter("array_contains(por_ruta, declarada)").dropDuplicates(["ejemplo_id"]).join(prose, "ejemplo_id", "left_semi")
+    chosen = agreed.orderBy(F.xxhash64("ejemplo_id"), "ejemplo_id").limit(limit).select(F.col("ejemplo_id").alias("_i"), "declarada")
+    rows = examples.join(F.broadcast(chosen), F.col("ejemplo_id") == F.col("_i")).select("ejemplo_id", "texto", "declarada").dropDuplicates(["ejemplo_id"]).collect()
+    return [(r[1], r[2]) for r in sorted(rows)]
 
 
 def subject_shares(df: DataFrame, id_col: str, text_col: str, w: np.ndarray, b: np.ndarray) -> DataFrame:
@@ -173,14 +177,14 @@ def subject_shares(df: DataFrame, id_col: str, text_col: str, w: np.ndarray, b:
 def prose_subjects(spark, folder: str) -> tuple[DataFrame, np.ndarray]:
     """Shares of each prose example, and the calibrated least share of each subject."""
     examples = table(spark, folder, "ejemplos")
-    prose = examples_by_kind(spark, folder).filter("clase = 'prosa'").select(F.col("id").alias("ejemplo_id"))
+    prose = materialize(examples_by_kind(spark, folder).filter("clase = 'prosa'").select(F.col("id").alias("ejemplo_id")), "prose")
     labelled = [(r[0], r[1]) for r in table(spark, folder, "muestra_etiquetada").filter("materia is not null").select("texto", "materia").collect()]
     known = [x for x in labelled if x[1] in SUBJECTS]
-    rows = weak_labels(examples.join(prose, "ejemplo_id", "left_semi"))
+    rows = weak_labels(examples, prose)
     w, b = train([x[0] for x in rows + known], [x[1] for x in rows + known])
     least = calibrate([x[0] for x in known], [x[1] for x in known], w, b)
-    texts = examples.select("ejemplo_id", "texto").dropDuplicates(["ejemplo_id"]).join(prose, "ejemplo_id", "left_semi")
-    return subject_shares(texts, "ejemplo_id", "texto", w, b), least
+    # All rows are scored where they are read; the narrow results meet the prose rows, not the texts.
+    return subject_shares(examples, "ejemplo_id", "texto", w, b).dropDuplicates(["id"]).join(prose.select(F.col("ejemplo_id").alias("id")), "id", "left_semi"), least
 
 
 def p6_shares(spark, folder: str) -> DataFrame:
