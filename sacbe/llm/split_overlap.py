@@ -113,39 +113,23 @@ def split_name(column: str) -> Column:
     return F.when(s.isin("entrenamiento", "validacion", "prueba"), s)
 
 
-def text_classes(rows: DataFrame) -> DataFrame:
-    """id, clase: rows with the same skeletons share a class, named by a 128-bit hash of them; texts without words have none."""
+def signatures(rows: DataFrame) -> DataFrame:
+    """id, particion, fuente, clase, buckets of each row with words, in one pass over the texts.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            names = []
-            for t in b["texto"]:
-                w = skeletons(t)
-                names.append(xxhash.xxh128_hexdigest(" ".join(w)) if w else None)
-            yield pd.DataFrame({"id": b["id"].to_numpy(), "clase": names})
-
-    return rows.select("id", "texto").mapInPandas(run, "id bigint, clase string").filter("clase is not null")
-
-
-def _buckets(rows: DataFrame) -> DataFrame:
-    """rep, band key and sides of each class representative."""
+    Rows with the same skeletons share a class, named by a 128-bit hash of them.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for at in range(0, len(b), 512):
-                part = b.iloc[at : at + 512]
-                keys = [bucket_keys(shingles(skeletons(t))) for t in part["texto"]]
-                n = len(part)
-                yield pd.DataFrame(
-                    {
-                        "rep": np.repeat(part["rep"].to_numpy(), BANDS),
-                        "bucket": np.array(keys, dtype=np.int64).reshape(n * BANDS),
-                        "train": np.repeat(part["train"].to_numpy(), BANDS),
-                        "held": np.repeat(part["held"].to_numpy(), BANDS),
-                    }
-                )
-
-    return rows.select("rep", "train", "held", "texto").mapInPandas(run, "rep bigint, bucket bigint, train boolean, held boolean")
+            words = [skeletons(t) for t in b["texto"]]
+            kept = np.array([bool(w) for w in words])
+            own = [w for w in words if w]
+            got = b.loc[kept, ["id", "particion", "fuente"]].reset_index(drop=True)
+            got["clase"] = [xxhash.xxh128_hexdigest(" ".join(w)) for w in own]
+            got["buckets"] = [bucket_keys(shingles(w)) for w in own]
+            yield got
+
+    return rows.select("id", "particion", "fuente", "texto").mapInPandas(run, "id bigint, particion string, fuente string, clase string, buckets array<bigint>")
 
 
 def overlaps(examples: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -156,21 +140,19 @@ def overlaps(examples: DataFrame) -> tuple[DataFrame, DataFrame]:
     unknown or whose text has no words take no part. Every class is linked by its own bucket rows; no
     bucket is capped.
     """
-    rows = examples.select(F.col("ejemplo_id").alias("id"), "texto", split_name("particion").alias("particion"), "fuente").filter("particion is not null and id is not null").dropDuplicates(["id"])
-    classes = materialize(text_classes(rows), "classes")
-    named = rows.select("id", "particion", "fuente").join(classes, "id")
-    per_class = named.groupBy("clase").agg(F.min("id").alias("rep"), F.bool_or(F.col("particion") == "entrenamiento").alias("train"), F.bool_or(F.col("particion") != "entrenamiento").alias("held"))
+    rows = examples.select(F.col("ejemplo_id").cast("bigint").alias("id"), "texto", split_name("particion").alias("particion"), "fuente").filter("particion is not null and id is not null")
+    signed = materialize(signatures(rows), "signed")
+    per_class = signed.groupBy("clase").agg(F.min("id").alias("rep"), F.bool_or(F.col("particion") == "entrenamiento").alias("train"), F.bool_or(F.col("particion") != "entrenamiento").alias("held"), F.any_value("buckets").alias("buckets"))
     reps = materialize(per_class, "reps")
-    members = named.join(reps.select("clase", "rep"), "clase").select("id", "rep", "particion", "fuente")
-    texts = rows.select(F.col("id").alias("rep"), "texto").join(reps, "rep")
-    buckets = materialize(_buckets(texts), "buckets")
+    members = signed.select("id", "particion", "fuente", "clase").dropDuplicates(["id"]).join(reps.select("clase", "rep"), "clase").select("id", "rep", "particion", "fuente")
+    buckets = reps.select("rep", "train", "held", F.explode("buckets").alias("bucket"))
     a = buckets.filter("train").select(F.col("rep").alias("a"), "bucket")
     b = buckets.filter("held").select(F.col("rep").alias("b"), "bucket")
     found = a.join(b, "bucket").filter("a <> b").select("a", "b").distinct()
     pairs = materialize(found, "pairs")
     own = reps.filter("train and held").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("jaccard"), F.lit(1.0).alias("comun"))
     needed = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    few = rows.select(F.col("id").alias("rep"), "texto").join(needed, "rep")
+    few = materialize(rows.select(F.col("id").alias("rep"), "texto").join(needed, "rep").dropDuplicates(["rep"]), "texts")
     left, right = few.select(F.col("rep").alias("a"), F.col("texto").alias("ta")), few.select(F.col("rep").alias("b"), F.col("texto").alias("tb"))
     # a pair that lies on both sides in both orders is verified once
     once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
