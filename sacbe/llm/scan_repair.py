@@ -103,7 +103,7 @@ def own_number(line: str, page: int | None) -> bool:
 
 
 def edge_lines(pages: DataFrame) -> DataFrame:
-    """The first and last two printed lines of each page: tabla, registro, libro, pagina, renglon, linea, lugar, clave, parecida, numero, valor.
+    """The first and last two printed lines of each page, once for repeated pages: tabla, registro, libro, pagina, renglon, lugar, clave, parecida, numero, valor.
 
     ``lugar``: 0 and 1 from the top, -1 and -2 from the bottom; ``parecida``: it is like a title;
     ``numero``: it carries the page's number; ``valor``: the number it consists of.
@@ -127,7 +127,8 @@ def edge_lines(pages: DataFrame) -> DataFrame:
                 got[c] = got[c].astype("Int64")
             yield got
 
-    return pages.select("tabla", "registro", "libro", "pagina", "texto").mapInPandas(run, "tabla string, registro bigint, libro string, pagina bigint, renglon int, lugar int, clave string, parecida boolean, numero boolean, valor bigint")
+    every = pages.select("tabla", "registro", "libro", "pagina", "texto").mapInPandas(run, "tabla string, registro bigint, libro string, pagina bigint, renglon int, lugar int, clave string, parecida boolean, numero boolean, valor bigint")
+    return every.dropDuplicates(["tabla", "registro", "renglon"])
 
 
 def furniture(edges: DataFrame) -> DataFrame:
@@ -326,7 +327,7 @@ def page_faults(text: str | None, page: int | None, v: Vocabulary) -> list[tuple
 
 
 def scanned_pages(spark, folder: str) -> DataFrame:
-    """tabla, registro, libro, pagina, texto of every scanned page; repeated ids are one record."""
+    """tabla, registro, libro, pagina, texto of every scanned page; repeats are still in it, so that no text is shuffled."""
     a = table(spark, folder, "paginas").filter("confianza is not null").select(F.lit("paginas").alias("tabla"), F.col("pagina_id").alias("registro"), F.col("libro").cast("string").alias("libro"), F.col("pagina").cast("bigint").alias("pagina"), "texto")
     b = table(spark, folder, "paginas_reconocidas").select(F.lit("paginas_reconocidas").alias("tabla"), F.col("reconocida_id").alias("registro"), F.col("trabajo").alias("libro"), F.col("numero").cast("bigint").alias("pagina"), "texto")
     return a.unionByName(b)

@@ -169,3 +169,12 @@ def test_furniture(spark):
     pages = spark.createDataFrame(rows, "tabla string, registro bigint, libro string, pagina bigint, texto string").withColumn("renglon", F.lit("x"))
     got = {(r["registro"], r["renglon"], r["hallazgo"]) for r in scan_repair.furniture(scan_repair.edge_lines(pages)).collect()}
     assert got == {(k, 1, "cabecera") for k in range(1, 8)} | {(k, 6, "folio") for k in range(1, 7)} | {(7, 3, "folio")} - {(7, 3, "folio")}
+
+
+def test_repeated_pages_make_no_furniture(spark):
+    rows = [("p", k, "b", k, f"Línea {'abcdefgh'[k] * 5} del texto que sigue, sí.\ncuerpo largo, sí.") for k in range(1, 7)]
+    once = ("p", 7, "b", 7, "Se llama combustible a lo que protege\nla casa de la rana, sí.\n7")
+    pages = spark.createDataFrame([*rows, once, once], "tabla string, registro bigint, libro string, pagina bigint, texto string")
+    edges = scan_repair.edge_lines(pages)
+    assert edges.count() == 2 * 6 + 3
+    assert {(r["registro"], r["renglon"], r["hallazgo"]) for r in scan_repair.furniture(edges).collect()} == {(7, 3, "folio")}
