@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from sacbe.functions.text import STUDY_WORD, contains_term, cut_at_word, hide_term, tokens, words
 from sacbe.operators.definitions import definitions, first_definitions
 from sacbe.operators.pages import DEFAULT_COUNT
-from sacbe.operators.ranking import MATRIX_SENTENCES, central, fold, mmr, prior, sentence_scores, vectors
+from sacbe.operators.ranking import MATRIX_SENTENCES, central, fold, mmr, mmr_by_joins, prior, sentence_scores, vectors
 from sacbe.operators.sentences import explains
 from sacbe.operators.terms import LEAST_TIMES, modal_forms, ngram_counts, ngrams, ranked_candidates, sentences_with, without_overlaps
 from sacbe.storage import materialize
@@ -90,15 +90,15 @@ def term_coverage(sentences: DataFrame, got: DataFrame) -> DataFrame:
 def summary(sentences: DataFrame, most: int = DEFAULT_COUNT["summary"]) -> DataFrame:
     """libro, puesto, orden, pagina, texto: central sentences in reading order.
 
-    Scores come from all sentences of the book that don't end in a colon. The picks are made among all of
-    them, or, in books of more than MATRIX_SENTENCES sentences, among that many with the best scores.
+    Scores come from all sentences of the book that don't end in a colon, and the picks are made among all of
+    them: in one matrix per book, or by joins in books of more than MATRIX_SENTENCES sentences.
     """
     pool = materialize(sentences.filter(~F.rtrim("texto").endswith(":")), "pool")
     got, _ = concepts(sentences, SUMMARY_TERMS)
     covered = term_coverage(pool, got)
     scored = sentence_scores(pool).join(pool, ["libro", "orden"]).join(covered, ["libro", "orden"], "left")
     total = F.col("puntos") * prior(F.col("texto")) * (1 + F.lit(0.25) * F.coalesce("cuantos", F.lit(0)))
-    best = scored.withColumn("relevancia", total).withColumn("_r", F.row_number().over(Window.partitionBy("libro").orderBy(F.desc("relevancia"), "orden"))).filter(F.col("_r") <= MATRIX_SENTENCES)
+    rated = scored.select("libro", "orden", "pagina", "texto", total.alias("relevancia"))
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("orden").reset_index(drop=True)
@@ -106,7 +106,18 @@ def summary(sentences: DataFrame, most: int = DEFAULT_COUNT["summary"]) -> DataF
         y = x.iloc[sorted(mmr(v @ v.T, x["relevancia"].to_numpy(), most))]
         return pd.DataFrame({"libro": y["libro"].to_numpy(), "puesto": range(1, len(y) + 1), "orden": y["orden"].to_numpy(), "pagina": y["pagina"].to_numpy(), "texto": y["texto"].to_numpy()})
 
-    return best.select("libro", "orden", "pagina", "texto", "relevancia").groupBy("libro").applyInPandas(run, "libro bigint, puesto int, orden int, pagina int, texto string")
+    def in_matrix(x: DataFrame) -> DataFrame:
+        return x.groupBy("libro").applyInPandas(run, "libro bigint, puesto int, orden int, pagina int, texto string")
+
+    long = materialize(pool.groupBy("libro").agg(F.count("*").alias("n")).filter(F.col("n") > MATRIX_SENTENCES).select("libro"), "long")
+    if long.isEmpty():
+        return in_matrix(rated)
+    rated = materialize(rated, "rated")
+    own = pool.join(long, "libro", "left_semi")
+    picks = mmr_by_joins(own, rated.join(long, "libro", "left_semi").select("libro", "orden", "relevancia"), most)
+    place = F.row_number().over(Window.partitionBy("libro").orderBy("orden"))
+    by_joins = own.join(picks, ["libro", "orden"], "left_semi").select("libro", place.alias("puesto"), "orden", "pagina", "texto")
+    return in_matrix(rated.join(long, "libro", "left_anti")).unionByName(by_joins)
 
 
 def _book_rows(sentences: DataFrame, most: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -73,6 +74,29 @@ def mmr(similarity: np.ndarray, relevance: np.ndarray, count: int) -> list[int]:
     return out
 
 
+def mmr_by_joins(sentences: DataFrame, relevance: DataFrame, count: int) -> DataFrame:
+    """libro, orden of the picks of ``mmr`` among all sentences of a book, for books too long for a matrix.
+
+    ``relevance``: libro, orden, relevancia. Each round joins the terms of the last pick to all sentences of
+    its book; the greatest similarity to a pick so far is written to the shared folder like scores are.
+    """
+    weights = materialize(tfidf(sentences), "weights")
+    top = relevance.groupBy("libro").agg(F.max("relevancia").alias("m"))
+    scaled = F.col("relevancia") / F.when(F.col("m") == 0, 1.0).otherwise(F.col("m"))
+    free = materialize(relevance.join(top, "libro").select("libro", "orden", scaled.alias("rel"), F.lit(0.0).alias("near")), "free")
+    cost = (1 - NOVELTY) * F.col("near") - NOVELTY * F.col("rel")
+    picks = []
+    for k in range(count):
+        pick = materialize(free.groupBy("libro").agg(F.min(F.struct(cost.alias("c"), "orden"))["orden"].alias("orden")), "picks")
+        picks.append(pick)
+        if k + 1 < count:
+            said = materialize(weights.join(pick, ["libro", "orden"], "left_semi").select("libro", "termino", F.col("peso").alias("y")), "said")
+            sim = weights.join(said, ["libro", "termino"]).groupBy("libro", "orden").agg(F.sum(F.col("peso") * F.col("y")).alias("z"))
+            rest = free.join(pick, ["libro", "orden"], "left_anti").join(sim, ["libro", "orden"], "left")
+            free = materialize(rest.select("libro", "orden", "rel", F.greatest("near", F.coalesce("z", F.lit(0.0))).alias("near")), "free")
+    return reduce(DataFrame.unionByName, picks, relevance.select("libro", "orden").limit(0))
+
+
 def central(texts: list[str], prior: list[float], coverage: list[int] | None, count: int) -> list[int]:
     """Positions of the most representative texts, in their order."""
     if not texts:

@@ -57,6 +57,15 @@ def test_mmr_prefers_new_ideas():
     assert ranking.mmr(sim[:0, :0], np.zeros(0), 3) == []
 
 
+def test_long_books_are_summarised_from_all_sentences(spark, monkeypatch):
+    words = "agua río mar ciudad viento piedra fuego árbol nube camino".split()
+    texts = [f"La historia de {words[k % 10]} y {words[k * 3 % 7]} cuenta {words[k * k % 9]} con {words[(k + 4) % 10]} número {'abcdefghij'[k % 10] * 4} siempre" for k in range(30)]
+    s = spark.createDataFrame([(b, k, 1, t + " otra vez" * (b - 1)) for b in (1, 2) for k, t in enumerate(texts[: 30 - 24 * (b - 1)])], "libro bigint, orden int, pagina int, texto string")
+    want = sorted(map(tuple, materials.summary(s, 5).collect()))
+    monkeypatch.setattr(materials, "MATRIX_SENTENCES", 6)  # the second book still goes by a matrix
+    assert sorted(map(tuple, materials.summary(s, 5).collect())) == want and len(want) == 10
+
+
 def test_overlaps_and_ties(spark):
     counts = spark.createDataFrame([(1, "sistema solar", 4), (1, "sistema", 5), (1, "sol", 5), (1, "luna", 5)], "libro bigint, clave string, veces int")
     ranked = terms.ranked_candidates(counts)
