@@ -3,7 +3,7 @@
 Bin completion: the largest item left gets the undominated fillings of its container, fullest first; a
 branch is cut when the waste so far exceeds what a solution better than the incumbent may waste. The
 incumbent starts as best-fit decreasing, and the search ends when the lower bound is met or after NODES
-containers tried. Items are dealt by hash into blocks of about BLOCK items, packed independently, so a
+fillings tried. Items are dealt by hash into blocks of about BLOCK items, packed independently, so a
 block wastes at most part of one container more than the whole would.
 """
 
@@ -23,8 +23,9 @@ from sacbe.storage import materialize, table
 
 BLOCK = 2000
 NODES = 6000
-#: Fillings tried per container, and the most waste in one container that fillings are looked for.
+#: Fillings of one to three items tried before all others, and the most waste in one container that these are looked for.
 WIDTH, WASTE = 3, 64
+_END = object()
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -80,10 +81,11 @@ class _Stock:
         s = both.bit_length() - 1
         return s, total - s
 
-    def fillings(self, room: int, waste: int) -> Iterator[tuple[int, ...]]:
-        """Undominated fillings of ``room`` that waste at most ``waste``, fullest first, at most WIDTH of them.
+    def fillings(self, room: int, waste: int) -> Iterator[tuple[int, ...] | None]:
+        """Every undominated filling of ``room`` that wastes at most ``waste``; None for one tried and found dominated.
 
-        They are found one by one as the search asks for them: most are never needed.
+        At most WIDTH of few items that are fast to find come first, then all others, fullest first. They are
+        found one by one as the search asks for them: most are never needed.
         """
         one = self.largest(room)
         if not one:
@@ -93,18 +95,61 @@ class _Stock:
         if one == room:
             yield (one,)  # dominates all others
             return
-        given = 0
+        given: set[tuple[int, ...]] = set()
         for total in range(room, max(one - 1, room - min(waste, WASTE) - 1), -1):
             p = (one,) if total == one else self.pair(total) or (self._three(total) if not given else None)
             if p:
+                given.add(tuple(sorted(p, reverse=True)))
                 yield p
-                given += 1
-                if given == WIDTH:
-                    return
+                if len(given) == WIDTH:
+                    break
         if not given:
             g = self._greedy(room)
             if room - sum(g) <= waste:
+                given.add(g)
                 yield g
+        yield from (None if self._dominated(f, room) else f for f in self._all(room, waste) if f not in given)
+
+    def _all(self, room: int, waste: int) -> Iterator[tuple[int, ...]]:
+        """Every filling of ``room`` that wastes at most ``waste``, fullest first, its items from the largest."""
+        sizes = [s for s in range(1, room + 1) if self.bits >> s & 1]
+        reach = [1]  # bit t of reach[i]: the i smallest sizes have a sum of t
+        for s in sizes:
+            r = reach[-1]
+            for _ in range(min(self.count[s], room // s)):
+                r |= r << s & ((2 << room) - 1)
+            reach.append(r)
+
+        def made(i: int, total: int) -> Iterator[tuple[int, ...]]:
+            if not total:
+                yield ()
+                return
+            while reach[i] >> total & 1:
+                i -= 1
+                s = sizes[i]
+                for c in range(min(self.count[s], total // s), 0, -1):
+                    for rest in made(i, total - c * s):
+                        yield (s,) * c + rest
+
+        for total in range(room, max(room - waste, 1) - 1, -1):
+            yield from made(len(sizes), total)
+
+    def _dominated(self, filling: tuple[int, ...], room: int) -> bool:
+        """Whether a size left fits instead of smaller items of the filling (or of none), or of several of the same sum."""
+        some, several = 1, 0  # sums of any items, and of two or more
+        for s in filling:
+            several |= (some & ~1 | several) << s
+            some |= some << s
+        gap = room - sum(filling)
+        larger = 0
+        for g in range(1, gap + 1):
+            larger |= some << g
+        for s in filling:
+            self.take(s)
+        left = self.bits
+        for s in filling:
+            self.add(s)
+        return bool(left & (larger | several))
 
     def _three(self, total: int) -> tuple[int, ...] | None:
         """Three sizes left with this sum, among the six largest for the first."""
@@ -177,10 +222,10 @@ def _search(ordered: list[int], capacity: int, waste: int, nodes: int) -> tuple[
     """Depth-first search for a packing that wastes at most ``waste``; None if there's none or the nodes are used up."""
     stock = _Stock(ordered, capacity)
     left = len(ordered)
-    path: list[tuple[list[int], int, Iterator[tuple[int, ...]]]] = []  # container, waste allowed before it, fillings not tried
+    path: list[tuple[list[int], int, Iterator[tuple[int, ...] | None]]] = []  # container, waste allowed before it, fillings not tried
     used = 0
 
-    def opened() -> tuple[int, Iterator[tuple[int, ...]]]:
+    def opened() -> tuple[int, Iterator[tuple[int, ...] | None]]:
         top = stock.largest(capacity)
         stock.take(top)
         return top, stock.fillings(capacity - top, waste)
@@ -188,8 +233,10 @@ def _search(ordered: list[int], capacity: int, waste: int, nodes: int) -> tuple[
     top, options = opened()
     while used < nodes:
         used += 1
-        fill = next(options, None)
-        if fill is not None:
+        fill = next(options, _END)
+        if fill is None:
+            continue
+        if fill is not _END:
             for s in fill:
                 stock.take(s)
             left -= 1 + len(fill)
