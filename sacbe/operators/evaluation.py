@@ -1,11 +1,18 @@
-"""Evaluation: confusion counts, per-class report, majority baseline, level bands, folds."""
+"""Evaluation: confusion counts, per-class report, majority baseline, level bands, cross-validation."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sacbe.operators import router
 from sacbe.operators.readability import CLASSIC_CUTS, CUTS
+from sacbe.storage import materialize
+
+#: Fewest rows of a class for cross-validation.
+LEAST_ROWS = 3
 
 
 def confusion(df: DataFrame, real: str, predicted: str) -> DataFrame:
@@ -55,5 +62,40 @@ def level_hits(df: DataFrame, year: str, score: str) -> DataFrame:
 
 
 def folds(df: DataFrame, id_col: str, class_col: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """``df`` with ``pliegue`` 0..k-1, drawn by a hash within each class."""
-    return df.withColumn("pliegue", F.pmod(F.xxhash64(F.col(id_col), F.col(class_col), F.lit(seed)), F.lit(k)).cast("int"))
+    """``df`` with ``pliegue`` 0..k-1: the rank of a hash of the id within the class, modulo k.
+
+    Ranks are taken inside hash slices of a class and over the slices' sizes, so that no class is sorted in
+    one task. Null classes are a class of their own.
+    """
+    slices = 64
+    h = F.xxhash64(F.col(id_col), F.lit(seed))
+    ranked = df.withColumn("_h", h).withColumn("_s", F.pmod(F.shiftright("_h", 32), F.lit(slices))).withColumn("_r", F.row_number().over(Window.partitionBy(class_col, "_s").orderBy("_h", id_col)))
+    before = Window.partitionBy("_class").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # at most 64 rows a class
+    sizes = ranked.groupBy(F.col(class_col).alias("_class"), F.col("_s").alias("_slice")).agg(F.count("*").alias("_n"))
+    offsets = sizes.select("_class", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    both = ranked.join(offsets, ranked[class_col].eqNullSafe(offsets["_class"]) & (ranked["_s"] == offsets["_slice"]))
+    return both.select(*df.columns, F.pmod(F.col("_r") + F.col("_before") - 1, F.lit(k)).cast("int").alias("pliegue"))
+
+
+def cross_validation(df: DataFrame, id_col: str, text_col: str, class_col: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """One row: pliegues, media and desviacion (of the population) of the accuracy of the classifier refitted without each fold.
+
+    Labelled rows with text count, once for each id. There are at most as many folds as rows of the smallest
+    class; if it has fewer than LEAST_ROWS, none (0 and nulls). ``router.fit_on`` on all rows gives the final model.
+    """
+    own = df.filter(F.col(class_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("texto"), F.col(class_col).alias("clase")).dropDuplicates(["id"])
+    own = materialize(own, "labelled")
+    least = own.groupBy("clase").agg(F.count("*").alias("n")).agg(F.min("n")).first()[0] or 0
+    k = min(k, least)
+    if least < LEAST_ROWS:
+        return df.sparkSession.createDataFrame([(0, None, None)], "pliegues int, media double, desviacion double")
+    dealt = materialize(folds(own, "id", "clase", k, seed), "folds")
+
+    def accuracy(i: int) -> DataFrame:
+        model = router.fit_on(dealt.filter(F.col("pliegue") != i), "id", "texto", "clase")
+        test = dealt.filter(F.col("pliegue") == i)
+        said = router.predict(test, model, "id", "texto").select("id", "materia_explicada")
+        return test.select("id", "clase").join(said, "id").agg(F.avg((F.col("clase") == F.col("materia_explicada")).cast("double")).alias("exactitud"))
+
+    scores = reduce(DataFrame.unionByName, [accuracy(i) for i in range(k)])
+    return scores.agg(F.count("*").cast("int").alias("pliegues"), F.avg("exactitud").alias("media"), F.stddev_pop("exactitud").alias("desviacion"))

@@ -170,3 +170,22 @@ def test_router_learns_and_comes_back_from_disk(spark, tmp_path):
     assert got.filter("id = 1").first()["explicacion"][0]["contribucion"] > 0
     with pytest.raises(ValueError):
         router.fit(["a b"], ["x"], np.zeros((1, 14)))
+
+
+def test_folds_hold_every_class(spark):
+    df = spark.createDataFrame([(i, None if i < 5 else "a" if i < 10 else "b") for i in range(33)], "id bigint, c string")
+    got = {(r["c"], r["pliegue"]): r["count"] for r in evaluation.folds(df, "id", "c").groupBy("c", "pliegue").count().collect()}
+    assert [got.get((c, i)) for c in (None, "a", "b") for i in range(5)] == [1] * 10 + [5, 5, 5, 4, 4]
+
+
+def test_cross_validation_refits_per_fold(spark):
+    words = {"m": "suma resta número fracción decimal", "c": "planta célula animal agua energía"}
+    rows = [(i, f"{words['mc'[i % 2]]} texto {i % 7} ejemplo del libro", "mc"[i % 2]) for i in range(22)] + [(22, words["m"], "c"), (22, words["m"], "c"), (30, None, "m"), (31, "x", None)]
+    df = spark.createDataFrame(rows, "id bigint, texto string, materia string")
+    got = evaluation.cross_validation(df, "id", "texto", "materia", 3).first()
+    # one row has the words of the other class: one of its fold of 7 or 8 is wrong, the other two folds are right
+    n = {r["pliegue"]: r["count"] for r in evaluation.folds(df.filter("id < 23").distinct(), "id", "materia", 3).groupBy("pliegue").count().collect()}
+    size = n[evaluation.folds(df.filter("id < 23").distinct(), "id", "materia", 3).filter("id = 22").first()["pliegue"]]
+    want = [1, 1, 1 - 1 / size]
+    assert got["pliegues"] == 3 and abs(got["media"] - np.mean(want)) < 1e-9 and abs(got["desviacion"] - np.std(want)) < 1e-9
+    assert tuple(evaluation.cross_validation(df.filter("id < 5"), "id", "texto", "materia").first()) == (0, None, None)
