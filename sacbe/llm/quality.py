@@ -1,6 +1,7 @@
 """Problem 1: text statistics of each document and a mixture model that names its kind.
 
-``text_statistics`` measures each text in one Arrow-batched pass. ``fit_mixture`` fits a Gaussian
+``text_statistics`` measures all texts in one pass, batch by batch: what a token adds is looked up once per
+distinct token, and sums over lines and texts are array operations. ``fit_mixture`` fits a Gaussian
 mixture by expectation-maximization on the standardized statistics of *all* rows: each round is one
 pass over a written table of statistics, which sends back one vector of sufficient statistics per
 task, summed on the executors; its length depends on the number of components only. Components are
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sacbe.llm.words import SPANISH_WORD, WORD
+from sacbe.llm.words import SPANISH_WORD, WORD, Memo, Parsed, parse, parts, totals
 from sacbe.storage import materialize, table
 
 KINDS = ("prosa", "lista", "tabla", "basura")
@@ -28,57 +29,72 @@ MEASURES = ("mean_word_length", "symbol_share", "digit_share", "end_line_share",
 STARTS = {"prosa": 4, "lista": 4, "tabla": 3, "basura": 6}
 ROUNDS, RIDGE, TOLERANCE = 12, 0.03, 1e-3
 
-_END = re.compile(r"[.!?…:。！？।؟][\"'”»)\]]*\s*$")
+_END = re.compile(r"[.!?…:。！？।؟][\"'”»)\]]*$")
 _PLAIN = re.compile(r"[¿¡«“\"(—-]*[^\W\d_]+(?:['’-][^\W\d_]+)*[.,;:!?…»”\")]*")
 _VOWEL = re.compile(r"[aeiouáéíóúüàèìòùâêîôûãõ]", re.I)
 _DIGIT = re.compile(r"\d")
 
 
-def measure(text: str | None, common: frozenset[str]) -> tuple:
-    """words, lines and the values of MEASURES of one text; None and blank texts have 0 words and zeros."""
-    text = text or ""
-    words = WORD.findall(text)
-    tokens = text.split()
-    if not tokens:
-        return (0, 0, *[0.0] * len(MEASURES))
-    n, solid = len(words), sum(map(len, tokens))
-    letters, digits = sum(map(len, words)), len(_DIGIT.findall(text))
-    lines = [x for x in text.split("\n") if x.strip()]
-    k = len(lines)
-    ends = [bool(_END.search(x)) for x in lines]
-    closed = sum(len(WORD.findall(x)) for x, e in zip(lines, ends) if e)
-    return (
-        n,
-        k,
-        letters / max(n, 1),
-        max(0, solid - letters - digits) / solid,
-        digits / solid,
-        sum(ends) / k,
-        sum(w.lower() in common for w in words) / max(n, 1),
-        len(_VOWEL.findall(text)) / max(letters, 1),
-        sum(_PLAIN.fullmatch(x) is not None for x in tokens) / len(tokens),
-        closed / max(n, 1),
-        float(np.log((n + 0.5) / k)),
-    )
+def _token(token: str, common: frozenset[str]) -> tuple:
+    """words, letters, characters, digits, vowels, common words, is plain, ends a line like a sentence."""
+    words = WORD.findall(token)
+    return (len(words), sum(map(len, words)), len(token), len(_DIGIT.findall(token)), len(_VOWEL.findall(token)), sum(w.lower() in common for w in words), _PLAIN.fullmatch(token) is not None, _END.search(token) is not None)
 
 
-def text_statistics(df: DataFrame, common: frozenset[str], id_col: str, text_col: str) -> DataFrame:
-    """One row per row of ``df``: id, words, lines and MEASURES.
+class Statistics:
+    """words, lines and MEASURES of the texts of a batch; null and blank texts get zeros. Each distinct token is looked at once."""
+
+    columns = ("words", "lines", *MEASURES)
+    schema = "words int, lines int, " + ", ".join(f"{m} double" for m in MEASURES)
+
+    def __init__(self, common: frozenset[str]):
+        self.common = common
+        self.memo: Memo | None = None
+
+    def __getstate__(self):
+        return {"common": self.common, "memo": None}
+
+    def __call__(self, x: Parsed) -> pd.DataFrame:
+        self.memo = self.memo if self.memo is not None else Memo(lambda t: _token(t, self.common))
+        known = x.table(self.memo).reshape(-1, 8)
+        per_line = totals(known[x.codes], x.per_line)
+        ends = known[x.codes[x.line_ends - 1], 7]
+        lines = np.column_stack([per_line[:, :7], ends, per_line[:, 0] * ends])
+        n, letters, solid, digits, vowels, common, plain, closing, closed = totals(lines, x.per_text).T
+        tokens = totals(x.per_line, x.per_text)
+        k, some = x.per_text, solid > 0
+        safe, words = np.maximum(solid, 1), np.maximum(n, 1)
+        got = (
+            letters / words, np.maximum(0, solid - letters - digits) / safe, digits / safe, closing / np.maximum(k, 1), common / words,
+            vowels / np.maximum(letters, 1), plain / np.maximum(tokens, 1), closed / words, np.log((n + 0.5) / np.maximum(k, 1)),
+        )
+        return pd.DataFrame({"words": n, "lines": k, **{m: np.where(some, v, 0.0) for m, v in zip(MEASURES, got)}})
+
 
-    Nulls and blank texts give zeros. Other columns of ``df`` are left out, so that their names can't
-    clash. Repeated rows give repeated results. Texts are read whole.
+def measured(df: DataFrame, id_col: str, text_col: str, *measures) -> DataFrame:
+    """id and the columns of the given measures of each row of ``df``, in one pass over the texts.
+
+    A measure has ``schema`` and turns parsed texts into a frame. Other columns of ``df`` are left out, so
+    that their names can't clash. Repeated rows give repeated results. Texts are read whole.
     """
-    schema = "id bigint, words int, lines int, " + ", ".join(f"{m} double" for m in MEASURES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = pd.DataFrame([measure(t, common) for t in b["text"]], columns=["words", "lines", *MEASURES])
-            got.insert(0, "id", b["id"].to_numpy())
-            yield got
-
+        for whole in batches:
+            for b in parts(whole, "text"):
+                x = parse(list(b["text"]))
+                got = pd.concat([m(x) for m in measures], axis=1)
+                got.insert(0, "id", b["id"].to_numpy())
+                yield got
+
+    schema = "id bigint, " + ", ".join(m.schema for m in measures)
     return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
 
 
+def text_statistics(df: DataFrame, common: frozenset[str], id_col: str, text_col: str) -> DataFrame:
+    """One row per row of ``df``: id, words, lines and MEASURES."""
+    return measured(df, id_col, text_col, Statistics(common))
+
+
 def common_words(df: DataFrame) -> frozenset[str]:
     """The words of the fixed table ``palabras_comunes`` (two languages, some dozens each)."""
     return frozenset(r[0].lower() for r in df.select("palabra").distinct().collect() if r[0])
@@ -220,16 +236,16 @@ def name_kinds(stats: DataFrame, model: Mixture) -> DataFrame:
 def labelled_statistics(examples: DataFrame, common: frozenset[str]) -> pd.DataFrame:
     """Statistics of the inspected examples (a fixed table of some hundred rows)."""
     rows = examples.select("texto", "clase").collect()
-    got = pd.DataFrame([measure(r[0], common) for r in rows], columns=["words", "lines", *MEASURES])
+    got = Statistics(common)(parse([r[0] for r in rows]))
     got["clase"] = [r[1] for r in rows]
     return got[got["clase"].isin(KINDS)]
 
 
-def examples_by_kind(spark, folder: str) -> DataFrame:
-    """Statistics and kind of each row of ``ejemplos``: columns id, words, lines, MEASURES, clase, seguridad."""
+def examples_by_kind(spark, folder: str, *more) -> DataFrame:
+    """Statistics and kind of each row of ``ejemplos``: columns id, words, lines, MEASURES, those of further measures taken in the same pass, clase, seguridad."""
     common = common_words(table(spark, folder, "palabras_comunes"))
     # Repeated rows are measured like any other and dropped from the narrow result: texts are never shuffled.
-    stats = materialize(text_statistics(table(spark, folder, "ejemplos"), common, "ejemplo_id", "texto").dropDuplicates(["id"]), "stats")
+    stats = materialize(measured(table(spark, folder, "ejemplos"), "ejemplo_id", "texto", Statistics(common), *more).dropDuplicates(["id"]), "stats")
     model = fit_mixture(stats, labelled_statistics(table(spark, folder, "muestra_etiquetada"), common))
     return name_kinds(stats, model)
 

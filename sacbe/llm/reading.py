@@ -1,6 +1,7 @@
 """Problem 2: the school level a text demands.
 
-Each sentence is measured by five classic formulas of its language; each score is turned into a school
+The language of a sentence is the one under whose letter trigrams it is likelier, and its syllables follow
+the hyphenation rules of that language. It is measured by five classic formulas; each score is turned into a school
 grade through three knots (the medians of the three labelled levels), and the estimates are combined by
 their median. A text keeps to one level but for some sentences, so its own grade is the median of three
 robust summaries over its sentences: median, mean, and mean weighted by words.
@@ -8,15 +9,14 @@ robust summaries over its sentences: median, mean, and mean weighted by words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sacbe.llm.quality import examples_by_kind
-from sacbe.llm.words import PIECES, WORD, is_english, syllables_en, syllables_es
+from sacbe.llm.quality import examples_by_kind, measured
+from sacbe.llm.syllables import english, spanish
+from sacbe.llm.words import WORD, Languages, Memo, Parsed, parse
 from sacbe.storage import table
 
 #: School year in the middle of each level.
@@ -28,86 +28,120 @@ LEAST_WORDS, LOWEST, HIGHEST = 3, -1.0, 12.0
 #: Bands of the stored score (fixed values of the problem): at or above the first, below the second.
 EASY, HARD = 83, 60
 
-_syllables: dict[bool, dict[str, int]] = {True: {}, False: {}}
+#: Languages with formulas, and the subject that tells the language of a labelled text.
+LANGUAGES = ("en", "es")
+ENGLISH_SUBJECT = "ingles"
 
 
-def _count(word: str, english: bool) -> int:
-    known = _syllables[english]
-    n = known.get(word)
-    if n is None:
-        if len(known) > 200_000:  # a bounded memo
-            known.clear()
-        n = known[word] = (syllables_en if english else syllables_es)(word)
-    return n
+def language_model(examples: pd.DataFrame) -> Languages:
+    """Letter trigrams of the labelled texts of each language (texto, materia)."""
+    english = examples["materia"] == ENGLISH_SUBJECT
+    return Languages({"en": list(examples["texto"][english]), "es": list(examples["texto"][~english])})
 
 
-def sentences(text: str | None) -> list[tuple[bool, int, int, int, int]]:
-    """For each piece of at least LEAST_WORDS words: English?, words, syllables, letters, words of 3 syllables or more."""
-    out = []
-    for piece in PIECES.split(text or ""):
-        words = [w.lower() for w in WORD.findall(piece)]
-        if len(words) >= LEAST_WORDS:
-            english = is_english(words)
-            n = [_count(w, english) for w in words]
-            out.append((english, len(words), sum(n), sum(map(len, words)), sum(x >= 3 for x in n)))
-    return out
+def _token(token: str, languages: Languages) -> tuple:
+    """Words, letters, evidence for English over Spanish, and for each language syllables and words of three syllables or more."""
+    words = [w.lower() for w in WORD.findall(token)]
+    en, es = [len(english(w)) for w in words], [len(spanish(w)) for w in words]
+    a, b = languages.evidence(token)
+    return (len(words), sum(map(len, words)), a - b, sum(en), sum(n >= 3 for n in en), sum(es), sum(n >= 3 for n in es))
+
 
+def sentence_measures(x: Parsed, memo: Memo) -> pd.DataFrame:
+    """owner (place of the text), english, words, syllables, letters, long words of each rough piece of at least LEAST_WORDS words."""
+    known = x.table(memo, float).reshape(-1, 7)
+    piece = x.piece
+    if not len(piece):
+        return pd.DataFrame({c: np.zeros(0) for c in ("owner", "english", "words", "syllables", "letters", "long")})
+    first = np.flatnonzero(np.diff(piece, prepend=-1))
+    n, letters, lean, en, en3, es, es3 = np.add.reduceat(known[x.codes], first, axis=0).T
+    is_english = lean > 0
+    out = pd.DataFrame({"owner": x.owner[first], "english": is_english, "words": n, "syllables": np.where(is_english, en, es), "letters": letters, "long": np.where(is_english, en3, es3)})
+    return out[out["words"] >= LEAST_WORDS]
 
-def scores(english: bool, words: int, syllables: int, letters: int, long_words: int) -> tuple[float, ...]:
-    """The formulas of one sentence, each turned so that more is easier.
+
+def scores(s: pd.DataFrame) -> np.ndarray:
+    """The formulas of each sentence (a row each), turned so that more is easier.
 
     Spanish: Fernández-Huerta, Szigriszt-Pazos, Gutiérrez de Polini, Crawford, and Fog; English: Flesch,
     Flesch-Kincaid, ARI, Fog, Coleman-Liau.
     """
-    p, c, h = syllables / words, letters / words, long_words / words
-    if english:
-        return (206.835 - 84.6 * p - 1.015 * words, -(0.39 * words + 11.8 * p - 15.59), -(4.71 * c + 0.5 * words - 21.43), -0.4 * (words + 100 * h), -(5.88 * c - 29.6 / words - 15.8))
-    return (206.84 - 60 * p - 1.02 * words, 206.835 - 62.3 * p - words, 95.2 - 9.7 * c - 0.35 * words, -(-20.5 / words + 4.9 * p - 3.407), -0.4 * (words + 100 * h))
-
-
-def knots(examples: pd.DataFrame) -> dict[bool, np.ndarray]:
-    """Per language an array (formula, level) of median scores over the sentences of the labelled texts."""
-    seen: dict[tuple[bool, int], list[tuple[float, ...]]] = {}
-    for text, level in zip(examples["texto"], examples["nivel"]):
-        if level in LEVELS:
-            for s in sentences(text):
-                seen.setdefault((s[0], list(LEVELS).index(level)), []).append(scores(*s))
+    words = s["words"].to_numpy(float)
+    p, c, h = s["syllables"].to_numpy(float) / words, s["letters"].to_numpy(float) / words, s["long"].to_numpy(float) / words
+    en = np.column_stack([206.835 - 84.6 * p - 1.015 * words, -(0.39 * words + 11.8 * p - 15.59), -(4.71 * c + 0.5 * words - 21.43), -0.4 * (words + 100 * h), -(5.88 * c - 29.6 / words - 15.8)])
+    es = np.column_stack([206.84 - 60 * p - 1.02 * words, 206.835 - 62.3 * p - words, 95.2 - 9.7 * c - 0.35 * words, -(-20.5 / words + 4.9 * p - 3.407), -0.4 * (words + 100 * h)])
+    return np.where(s["english"].to_numpy(bool)[:, None], en, es)
+
+
+def knots(examples: pd.DataFrame, languages: Languages) -> dict[bool, np.ndarray]:
+    """Per language (English or not) an array (formula, level) of median scores over the sentences of the labelled texts."""
+    known = examples[examples["nivel"].isin(list(LEVELS))].reset_index(drop=True)
+    s = sentence_measures(parse(list(known["texto"])), Memo(lambda t: _token(t, languages)))
+    level = known["nivel"].map(list(LEVELS).index).to_numpy()[s["owner"].to_numpy(int)] if len(s) else np.zeros(0)
+    x, is_english = scores(s), s["english"].to_numpy(bool)
     out = {}
-    for english in (True, False):
-        if all((english, k) in seen for k in range(3)):
-            out[english] = np.array([np.median(seen[english, k], axis=0) for k in range(3)]).T
+    for e in (True, False):
+        own = [x[(is_english == e) & (level == k)] for k in range(3)]
+        if all(map(len, own)):
+            out[e] = np.array([np.median(o, axis=0) for o in own]).T
     return out
 
 
-def grade(text: str | None, at: dict[bool, np.ndarray]) -> tuple[float | None, int]:
-    """Grade the text demands (None if it has no measurable sentence) and the sentences it rests on."""
-    got, weight = [], []
-    for s in sentences(text):
-        if s[0] not in at:
-            continue
-        k = at[s[0]]
-        x = np.array(scores(*s))
-        low = 2 + 3 * (x - k[:, 0]) / np.minimum(k[:, 1] - k[:, 0], -1e-9)
-        high = 5 + 3 * (x - k[:, 1]) / np.minimum(k[:, 2] - k[:, 1], -1e-9)
-        got.append(float(np.median(np.clip(np.where(x > k[:, 1], low, high), LOWEST, HIGHEST))))
-        weight.append(s[1])
-    if not got:
-        return None, 0
-    return float(np.median([np.median(got), np.mean(got), np.average(got, weights=weight)])), len(got)
-
-
-def reading_level(df: DataFrame, id_col: str, text_col: str, at: dict[bool, np.ndarray]) -> DataFrame:
-    """id, nota (grade), oraciones, nivel of each row; nulls for texts without a measurable sentence."""
+def _medians(values: np.ndarray, owner: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Median of the values of each owner that has any (``owner`` ascending, ``size``: values of each such owner)."""
+    v = values[np.lexsort((values, owner))]
+    start = np.cumsum(size) - size
+    return (v[start + (size - 1) // 2] + v[start + size // 2]) / 2
+
+
+class Levels:
+    """nota (the grade a text demands; null without a measurable sentence) and oraciones (the sentences it rests on)."""
+
+    schema = "nota double, oraciones int"
+
+    def __init__(self, languages: Languages, at: dict[bool, np.ndarray]):
+        self.languages, self.at = languages, at
+        self.memo: Memo | None = None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [grade(t, at) for t in b["text"]]
-            note = pd.Series([g[0] for g in got], dtype="float64")
-            yield pd.DataFrame({"id": b["id"].to_numpy(), "nota": note, "oraciones": [g[1] for g in got]})
+    def __getstate__(self):
+        return {"languages": self.languages, "at": self.at, "memo": None}
 
-    out = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id bigint, nota double, oraciones int")
+    def __call__(self, x: Parsed) -> pd.DataFrame:
+        self.memo = self.memo if self.memo is not None else Memo(lambda t: _token(t, self.languages))
+        s = sentence_measures(x, self.memo)
+        s = s[s["english"].isin(list(self.at))]
+        note, n = np.full(x.n, np.nan), np.zeros(x.n, dtype=int)
+        if len(s):
+            score, is_english = scores(s), s["english"].to_numpy(bool)
+            k = np.stack([self.at.get(e, np.zeros((5, 3))) for e in (False, True)])[is_english.astype(int)]  # (sentence, formula, level)
+            low = 2 + 3 * (score - k[..., 0]) / np.minimum(k[..., 1] - k[..., 0], -1e-9)
+            high = 5 + 3 * (score - k[..., 1]) / np.minimum(k[..., 2] - k[..., 1], -1e-9)
+            grade = np.median(np.clip(np.where(score > k[..., 1], low, high), LOWEST, HIGHEST), axis=1)
+            at, owner, size = np.unique(s["owner"].to_numpy(int), return_inverse=True, return_counts=True)
+            words = s["words"].to_numpy(float)
+            mean = np.bincount(owner, grade) / size
+            weighted = np.bincount(owner, grade * words) / np.bincount(owner, words)
+            note[at] = np.median([_medians(grade, owner, size), mean, weighted], axis=0)
+            n[at] = size
+        return pd.DataFrame({"nota": note, "oraciones": n})
+
+
+def with_level(df: DataFrame) -> DataFrame:
+    """``df`` with ``nivel`` of its ``nota``."""
     low, high = CUTS
-    return out.withColumn("nota", F.nanvl("nota", F.lit(None).cast("double"))).withColumn("nivel", F.when(F.col("nota") < low, "primaria_baja").when(F.col("nota") < high, "primaria_alta").when(F.col("nota").isNotNull(), "basicos"))
+    return df.withColumn("nota", F.nanvl("nota", F.lit(None).cast("double"))).withColumn("nivel", F.when(F.col("nota") < low, "primaria_baja").when(F.col("nota") < high, "primaria_alta").when(F.col("nota").isNotNull(), "basicos"))
+
+
+def fitted(spark, folder: str) -> Levels:
+    """The measure fitted to the labelled texts (a fixed small table)."""
+    labelled = table(spark, folder, "muestra_etiquetada").filter("clase = 'prosa' and texto is not null").select("texto", "nivel", "materia").toPandas()
+    languages = language_model(labelled)
+    return Levels(languages, knots(labelled, languages))
+
+
+def reading_level(df: DataFrame, id_col: str, text_col: str, levels: Levels) -> DataFrame:
+    """id, nota (grade), oraciones, nivel of each row; nulls for texts without a measurable sentence."""
+    return with_level(measured(df, id_col, text_col, levels))
 
 
 def grade_level(column: str) -> Column:
@@ -124,23 +158,15 @@ def grade_level(column: str) -> Column:
     )
 
 
-def levels_of_examples(spark, folder: str, only_prose: bool = False) -> DataFrame:
-    """Level of each example of the table ``ejemplos``."""
-    labelled = table(spark, folder, "muestra_etiquetada").filter("nivel is not null").select("texto", "nivel").toPandas()
-    levels = reading_level(table(spark, folder, "ejemplos"), "ejemplo_id", "texto", knots(labelled)).dropDuplicates(["id"])
-    if only_prose:  # the narrow results meet, not the texts
-        levels = levels.join(examples_by_kind(spark, folder).filter("clase = 'prosa'").select("id"), "id", "left_semi")
-    return levels
-
-
 def p2_levels(spark, folder: str) -> DataFrame:
     """Every example with its grade and level."""
-    return levels_of_examples(spark, folder).withColumnRenamed("id", "ejemplo_id")
+    return reading_level(table(spark, folder, "ejemplos"), "ejemplo_id", "texto", fitted(spark, folder)).dropDuplicates(["id"]).withColumnRenamed("id", "ejemplo_id")
 
 
 def p2_found(spark, folder: str) -> DataFrame:
     """Declared grades and stored scores that contradict the level the text is written for."""
-    level = levels_of_examples(spark, folder, only_prose=True).filter("nivel in ('primaria_baja', 'basicos')").select(F.col("id").alias("ejemplo_id"), "nivel")
+    prose = examples_by_kind(spark, folder, fitted(spark, folder)).filter("clase = 'prosa'")  # kinds and levels from one pass over the texts
+    level = with_level(prose).filter("nivel in ('primaria_baja', 'basicos')").select(F.col("id").alias("ejemplo_id"), "nivel")
     declared = table(spark, folder, "ejemplos").select("ejemplo_id", grade_level("grado").alias("declarado")).filter("declarado in ('primaria_baja', 'basicos')")
     stored = table(spark, folder, "metricas_legibilidad").select("ejemplo_id", F.when(F.col("puntuacion") >= EASY, "primaria_baja").when(F.col("puntuacion") < HARD, "basicos").alias("declarado")).filter("declarado is not null")
     said = declared.withColumn("hallazgo", F.lit("grado")).unionByName(stored.withColumn("hallazgo", F.lit("puntuacion")))

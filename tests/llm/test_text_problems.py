@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sacbe.llm import boundaries, quality, reading, repetition, scan_repair, subjects
+from sacbe.llm import boundaries, quality, reading, repetition, scan_repair, subjects, syllables, words
 
 LONG = "Esta es una oración normal del libro de lectura. " * 4000
 ODD = [None, "", "   \n \t ", "a", "1 2 3", "....", LONG, "日本語の文。", "\u0000x", "🙂 🙂"]
@@ -57,24 +57,94 @@ def test_declared_grades(spark):
     assert [r[0] for r in df.orderBy("i").select(reading.grade_level("grado")).collect()] == ["primaria_alta", "basicos", "primaria_alta", None, None, "primaria_baja", "basicos", None, None]
 
 
-def test_reading_levels(spark):
+def slow_measure(text, common):
+    """Statistics of one text, piece by piece."""
+    text = text or ""
+    words, marks = words_of(text), text.split()
+    if not marks:
+        return (0, 0, *[0.0] * len(quality.MEASURES))
+    n, solid, letters = len(words), sum(map(len, marks)), sum(map(len, words))
+    digits = len(re.findall(r"\d", text))
+    lines = [x for x in text.split("\n") if x.strip()]
+    ends = [bool(re.search(r"[.!?…:。！？।؟][\"'”»)\]]*\s*$", x)) for x in lines]
+    closed = sum(len(words_of(x)) for x, e in zip(lines, ends) if e)
+    plain = sum(quality._PLAIN.fullmatch(x) is not None for x in marks)
+    return (n, len(lines), letters / max(n, 1), max(0, solid - letters - digits) / solid, digits / solid, sum(ends) / len(lines), sum(w.lower() in common for w in words) / max(n, 1), len(quality._VOWEL.findall(text)) / max(letters, 1), plain / len(marks), closed / max(n, 1), float(np.log((n + 0.5) / len(lines))))
+
+
+def words_of(text):
+    return re.findall(r"[^\W\d_]+", text)
+
+
+def test_statistics_equal_a_slow_count():
+    values = [*ODD, "Título\n\n- uno: 12,5 «dos»\n Fin. (Sí!)  \r\n\x0cOtra línea… 3x4", "a\u2028b\x1cc. \n\n\n", "¿Qué?\n" * 40] * 3
+    got = quality.Statistics(frozenset({"de", "la"}))(words.parse(values))
+    want = [slow_measure(v, {"de", "la"}) for v in values]
+    assert np.allclose(got.to_numpy(float), np.array(want)) and len(got) == len(values)
+    frame = pd.DataFrame({"text": values})
+    assert sum(len(p) for p in words.parts(frame, "text")) == len(values) and len(list(words.parts(frame, "text"))) > 0
+
+
+def test_pieces_end_at_marks_before_capitals_and_at_lines():
+    x = words.parse(["Uno dos. «Tres» cuatro.\") ¿Qué pasa? no\nfin. así", None, "Otro"])
+    assert x.piece.tolist() == [0, 0, 1, 1, 2, 2, 2, 3, 3, 4] and x.owner.tolist() == [0] * 9 + [2]
+
+
+def test_syllables_follow_hyphenation_rules():
+    said = "cons-truc-ción at-lán-ti-co pa-ís guí-a rey ex-tra-or-di-na-rio o-í-do trans-por-te quien y a-bri-gar car-ta pe-rro ca-lle"
+    for w in said.split():
+        assert syllables.spanish(w.replace("-", "")) == w.split("-")
+    counts = {"people": 2, "table": 2, "wanted": 2, "jumped": 1, "makes": 1, "boxes": 2, "nation": 2, "the": 1, "actual": 3, "radio": 3, "rhythm": 1, "yellow": 2, "studying": 3}
+    assert {w: len(syllables.english(w)) for w in counts} == counts
+    assert syllables.spanish("xyz") and syllables.english("bcd") == ["bcd"] and syllables.spanish("ñ") == ["ñ"]
+
+
+def labelled_levels():
     easy = "El sol sale hoy. La vaca come pan. El gato ve la luna. " * 3
     mid = "Cuando la niña camina por el parque, la familia prepara una comida sencilla para compartir con la comunidad. " * 3
     hard = "Conforme a las investigaciones contemporáneas, la biodiversidad característica condiciona sistemáticamente la reproducción especializada, independientemente de la interpretación convencional extraordinariamente divulgada. " * 3
-    at = reading.knots(pd.DataFrame({"texto": [easy, mid, hard], "nivel": list(reading.LEVELS)}))
-    got = reading.reading_level(texts(spark, [easy, mid, hard, *ODD]), "id", "text", at).orderBy("id").collect()
+    return pd.DataFrame({"texto": [easy, mid, hard, "The cat sat with the dog. They were happy when the sun came out."], "nivel": [*reading.LEVELS, "basicos"], "materia": ["otro", "otro", "otro", "ingles"]})
+
+
+def test_reading_levels(spark):
+    known = labelled_levels()
+    languages = reading.language_model(known)
+    levels = reading.Levels(languages, reading.knots(known, languages))
+    assert list(levels.at) == [False]  # there are no texts of all levels in English
+    got = reading.reading_level(texts(spark, [*known["texto"][:3], *ODD]), "id", "text", levels).orderBy("id").collect()
     assert [r["nivel"] for r in got[:3]] == list(reading.LEVELS)
     assert got[3]["nivel"] is None and got[3]["nota"] is None and len(got) == 3 + len(ODD)
+    assert reading.reading_level(texts(spark, []), "id", "text", levels).count() == 0
+
+
+def test_language_follows_letters():
+    languages = reading.language_model(labelled_levels())
+    assert languages.names == ["en", "es"]
+    lean = lambda t: sum(a - b for a, b in map(languages.evidence, t.split()))
+    assert lean("the dog was with them") > 0 > lean("la comunidad prepara la interpretación") and languages.evidence("12 --") == [0.0, 0.0]
 
 
 def test_subject_classifiers():
     a, b = "El triángulo y la suma del número decimal.", "La planta y la célula del animal vivo."
     w, bias = subjects.train([f"{a} {k}" for k in range(30)] + [f"{b} {k}" for k in range(30)], ["matematicas"] * 30 + ["ciencias_naturales"] * 30)
-    got = subjects.shares([a, b, f"{a} {b}", None, ""], w, bias)
+    model = subjects.Subjects(w, bias, np.zeros(6, dtype=np.float32))
+    got = model.shares(words.parse([a, b, f"{a} {b}", None, ""]))
     assert got[0].argmax() == 0 and got[1].argmax() == 1 and (got[2][:2] > 0.3).all() and got[3:].sum() == 0
     assert (subjects.train([], [])[0] == 0).all()
 
 
+def test_thresholds_come_from_texts_not_trained_on():
+    a, b = "El triángulo y la suma del número decimal.", "La planta y la célula del animal vivo."
+    labelled = [(f"{a} {k}", "matematicas") for k in range(20)] + [(f"{b} {k}", "ciencias_naturales") for k in range(20)]
+    model, least = subjects.fit([(f"{a} más {k}", "matematicas") for k in range(20)], labelled)
+    held = [x for x in labelled if not subjects._hash(x[0]) % 2]
+    z = subjects.features(words.parse([x[0] for x in held])).sums(model.weights) + model.bias
+    for k, name in enumerate(("matematicas", "ciencias_naturales")):
+        own = np.array([x[1] == name for x in held])
+        assert z[own, k].min() >= model.threshold[k] > z[~own, k].max()
+    assert (least >= subjects.LEAST_SHARE).all() and subjects.fit([], [])[0].shares(words.parse(["a b"])).shape == (1, 6)
+
+
 def slow_repeated(text):
     words = re.findall(r"[^\W\d_]+", (text or "").lower())
     seen, inside = set(), set()
@@ -146,9 +216,9 @@ def test_quotes_and_scripts_without_marks(spark):
 
 
 def vocabulary():
-    words = "la casa grande tiene una ventana pequeña y el niño lee cuentos de lectura muy bien temperatura socio económico socio-económico".split()
+    known = "la casa grande tiene una ventana pequeña y el niño lee cuentos de lectura muy bien temperatura socio económico socio-económico".split()
     h = lambda xs: np.sort(np.array([scan_repair._hash(x) for x in xs], dtype=np.uint64))
-    return scan_repair.Vocabulary(h(words), h([scan_repair.skeleton("socio-económico")]))
+    return scan_repair.Vocabulary(h(known), h([scan_repair.skeleton("socio-económico")]))
 
 
 def test_faults_of_a_page():
