@@ -117,7 +117,7 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
 
 def groups(manifest: DataFrame) -> DataFrame:
     """fila_id and grupo of every record: records alone in their component are their own group."""
-    own = records(manifest).select("fila_id", source_key("fuente").alias("fuente_k"), file_key("archivo").alias("archivo_k"))
+    own = materialize(records(manifest).select("fila_id", source_key("fuente").alias("fuente_k"), file_key("archivo").alias("archivo_k")), "record_keys")
     roots = components(star_edges(own, "fila_id", ["fuente_k", "archivo_k"])).select(F.col("a").alias("fila_id"), F.col("b").alias("grupo"))
     return own.select("fila_id").join(roots, "fila_id", "left").select("fila_id", F.coalesce("grupo", "fila_id").alias("grupo"))
 
