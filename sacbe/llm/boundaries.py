@@ -9,16 +9,20 @@ is solved by forward-backward, and a boundary stands where its posterior exceeds
 
 Training needs no labelled text: blank lines, ends of texts and ends of stored units are sure boundaries,
 and a first estimate of P(<S> | words before) is how often these words stand at a sure boundary. Rounds of
-expectation-maximization over all texts then count the expected events. All counts live in tables of a
-fixed size indexed by hashes, so what is collected and broadcast has a fixed bound at every input size.
+expectation-maximization over all texts then count the expected events.
 
-Structure that isn't left to the model: a blank line always ends a sentence; inside an open quote or
-bracket none ends; at a space beside a numeral of a script without marks none ends.
+The gaps of all texts are found once and written as numbers; training and decoding read only these, a
+batch at a time, as arrays. Counts are of all gaps; the model keeps those of the MOST_CONTEXTS most frequent
+contexts, so what is collected and broadcast has a fixed bound, and rarer contexts back off to shorter ones.
+
+Structure that isn't left to the model: a blank line always ends a sentence; inside a quote or bracket
+that is closed in its paragraph none ends; at a space beside a numeral of a script without marks none ends.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,9 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sacbe.llm.words import Memo, parts
 from sacbe.storage import materialize, table
 
-TRIGRAMS, BIGRAMS, AFTER = 1 << 20, 1 << 18, 1 << 16
+#: Contexts the model keeps, the most frequent ones.
+MOST_CONTEXTS = 1 << 21
 ROUNDS = 2
 #: Weights with which less specific counts enter more specific ones.
 BACK_OFF, KIND_BACK_OFF = 3.0, 300.0
@@ -48,52 +54,47 @@ _WIDE = "。！？；…」』）】”’»"
 _UNMARKED = "฀-๿຀-໿ក-ៜ"
 _PARAGRAPH = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 #: A run of marks and what closes with it, then a gap: spaces, or none before a capital, an opening mark or in scripts without spaces.
-_GAP = re.compile(rf"[{_MARKS}]+(?:[^\S\n]?[{_CLOSE}]|[{_MARKS}])*(?P<space>\s*)(?=(?P<next>\S))|(?<=[{_UNMARKED}\d])(?P<bare>\s+)(?=\S)")
-_TOKEN_BEFORE = re.compile(r"\S+$")
-_LOST_SPACE = re.compile(r"[.!?…](?=[^\W\d_a-z][^\W\d_]+$)")
+_GAP = re.compile(rf"[{_MARKS}]+(?:[^\S\n]?[{_CLOSE}]|[{_MARKS}])*(?P<space>\s*)(?=(?P<next>\S))")
+_BARE = re.compile(rf"(?<=[{_UNMARKED}])\s+(?=[^\s\d])")
+_ANY_UNMARKED = re.compile(rf"[{_UNMARKED}]")
+_LAST_RUN = re.compile(rf"[{_MARKS}]+(?:[^\S\n]?[{_CLOSE}]|[{_MARKS}])*$")
+_TOKEN = re.compile(r"\S+")
 _QUOTES = re.compile(r"[“”„«»「」『』（）()\[\]\"]")
-_PAIR = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]"}
-_TRIM = re.compile(r"^[\s​﻿]+|[\s​﻿]+$")
+_PAIR = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", '"': '"'}
+_ROMAN = re.compile(r"[IVXLC]+\W*")
+_OPENING, _CLOSING = _OPEN.replace("\\", ""), _CLOSE.replace("\\", "")
+_EDGES = "¿¡" + _OPENING + _CLOSING + "—–-•·"
+_LEADS = frozenset("¿¡“«„「『（(—–-•")
 
 
 def _h(*parts: str) -> int:
-    return xxhash.xxh64_intdigest("\x00".join(parts))
+    """A hash of 31 bits."""
+    return xxhash.xxh64_intdigest("\x00".join(parts)) >> 33
+
+
+SHAPES = ("mark", "number", "capital1", "roman", "capital", "lower1", "lower4", "lower", "other")
+SHAPE = {s: k for k, s in enumerate(SHAPES)}
 
 
 def _shape(word: str) -> str:
     """Case and kind of a word: what n-grams back off to."""
-    core = word.strip("¿¡" + _OPEN.replace("\\", "") + _CLOSE.replace("\\", "") + "—–-•·")
+    core = word.strip(_EDGES)
     if not core:
         return "mark"
     c = core[0]
     if c.isdigit():
         return "number"
     if c.isupper():
-        return "capital1" if len(core.rstrip(_MARKS)) == 1 else "roman" if re.fullmatch(r"[IVXLC]+\W*", core) else "capital"
+        return "capital1" if len(core.rstrip(_MARKS)) == 1 else "roman" if _ROMAN.fullmatch(core) else "capital"
     if c.islower():
         n = len(core.rstrip(_MARKS))
         return "lower1" if n == 1 else "lower4" if n <= 4 else "lower"
     return "other" if c.isalpha() else "mark"
 
 
-@dataclass
-class Gap:
-    """A place where a sentence may end: offsets of the end of the marks and of the next character, and hashed contexts."""
-
-    end: int
-    start: int
-    before3: int
-    before2: int
-    shape: int
-    after: int
-    after_shape: int
-    words: int
-    open: bool
-
-
-SHAPES = ("mark", "number", "capital1", "roman", "capital", "lower1", "lower4", "lower", "other")
 #: What a run ends with: an ellipsis in either width, a mark of one sentence, a mark with a closing quote, none.
 ENDINGS = ("none", "ellipsis", "stop", "call", "quoted", "wide", "half")
+N_SHAPES = len(SHAPES) * len(ENDINGS)
 
 
 def _ending(run: str) -> int:
@@ -110,46 +111,37 @@ def _ending(run: str) -> int:
     return ENDINGS.index("call" if run[-1] in "!?" else "stop")
 
 
-def _after(text: str, at: int) -> tuple[int, int]:
-    """Hash of what a sentence would begin with, and its shape: the shape of a word in scripts with case, else its first two letters."""
-    m = re.match(r"\S+", text[at : at + 24])
-    word = m[0] if m else ""
+_RUNS = Memo(lambda run: (re.sub(r"\s", "", run), _ending(re.sub(r"\s", "", run))))
+
+
+def _opened(word: str) -> int:
+    """Hash of what a sentence would begin with: the shape of a word in scripts with case, else its first two letters."""
     shape = _shape(word)
-    lead = word[:1] if word[:1] in "¿¡“«„「『（(—–-•" else ""
+    lead = word[:1] if word[:1] in _LEADS else ""
     if shape == "other":
-        core = word.lstrip("“«„「『（(—–-• ")
-        return _h("a", lead, core[:2]) % AFTER, SHAPES.index(shape)
-    if not word[:1].isalnum() and len(word) == 1:  # an opening mark set apart by a space
-        return _h("a", lead, "apart") % AFTER, SHAPES.index("capital")
-    return _h("a", lead, shape, word.lower() if shape.startswith("lower") and len(word) <= 4 else "") % AFTER, SHAPES.index(shape)
-
-
-def _contexts(text: str, start: int, mark: int, end: int) -> tuple[int, int, int]:
-    """Hashes of the last two words and of the last word before a gap, and the shape; ``mark``: where the run of marks begins."""
-    run = re.sub(r"\s", "", text[mark:end])
-    head = text[max(start, mark - 48) : mark]
-    m = _TOKEN_BEFORE.search(head)
-    word = m[0] if m else ""
-    if m and (joined := _LOST_SPACE.search(word)):  # the word before lost its space
-        head = f"{head[: m.start()]}{word[: joined.start() + 1]} {word[joined.start() + 1 :]}"
-        m = _TOKEN_BEFORE.search(head)
-        word = m[0]
-    shape = SHAPES.index(_shape(word))
+        return _h("a", lead, word.lstrip("“«„「『（(—–-• ")[:2])
+    if len(word) == 1 and not word.isalnum():  # an opening mark set apart by a space
+        return _h("a", lead, "apart")
+    return _h("a", lead, shape, word.lower() if shape.startswith("lower") and len(word) <= 4 else "")
+
+
+def _ended(word: str) -> tuple[str, int]:
+    """A word as the context of a gap, and the place of its shape."""
+    shape = SHAPE[_shape(word)]
     if SHAPES[shape] == "other" and len(word) > 6:
         word = word[-2:]
-    rest = head[: m.start()] if m else head
-    p = _TOKEN_BEFORE.search(rest.rstrip())
-    prior = p[0].lower()[-12:] if p else "^"
-    if prior.rstrip(",;:)")[-1:].isdigit():
-        prior = "9"
-    elif ord(prior[-1]) > 0x2E7F:
-        prior = prior[-2:]
-    last = "9" if SHAPES[shape] == "number" else word.lower().lstrip("¿¡" + _OPEN.replace("\\", ""))[-16:]
-    ending = _ending(run)
-    return _h("3", prior, last, run) % TRIGRAMS, _h("2", last, run) % BIGRAMS, shape * len(ENDINGS) + ending
+    return "9" if SHAPES[shape] == "number" else word.lower().lstrip("¿¡" + _OPENING), shape
 
 
-N_SHAPES = len(SHAPES) * len(ENDINGS)
+def _earlier(word: str) -> str:
+    """A word as the wider context of a gap."""
+    word = word.lower()
+    if word.rstrip(",;:)")[-1:].isdigit():
+        return "9"
+    return word[-2:] if ord(word[-1]) > 0x2E7F else word
+
+
+_AFTER, _BEFORE, _EARLIER = Memo(_opened), Memo(_ended), Memo(_earlier)
 
 
 def paragraphs(text: str) -> list[tuple[int, int]]:
@@ -169,279 +161,373 @@ def paragraphs(text: str) -> list[tuple[int, int]]:
 
 
 def _spans(text: str, a: int, b: int) -> list[tuple[int, int]]:
-    """Outermost quotes and brackets of a paragraph that are closed in it."""
-    out, stack = [], []
+    """Outermost quotes and brackets of a paragraph that are closed in it; those never closed don't count, nor do those inside."""
+    stack: list[tuple[str, int]] = []
+    open_: dict[str, int] = {}  # how many on the stack wait for each closing mark
+    found: list[tuple[int, int]] = []
     for m in _QUOTES.finditer(text, a, b):
         c = m[0]
-        if stack and c == stack[-1][0]:
-            _, s = stack.pop()
-            if not stack:
-                out.append((s, m.start()))
+        if open_.get(c):
+            while True:  # what was opened inside and not closed is forgotten
+                want, s = stack.pop()
+                open_[want] -= 1
+                if want == c:
+                    break
+            while found and found[-1][0] > s:
+                found.pop()
+            found.append((s, m.start()))
         elif c in _PAIR:
             stack.append((_PAIR[c], m.start()))
-        elif c == '"':
-            stack.append(('"', m.start()))
-    if stack:  # one was never closed: what closed inside it still counts
-        out += [s for s in _inner(text, stack, b) if s not in out]
-    return sorted(out)
-
-
-def _inner(text: str, stack: list[tuple[str, int]], b: int) -> list[tuple[int, int]]:
-    out = []
-    for _, s in stack:
-        out += [x for x in _spans(text, s + 1, b)]
-        break
-    return out
-
-
-def gaps(text: str, a: int, b: int) -> list[Gap]:
-    """The places of a paragraph where a sentence may end."""
-    out: list[Gap] = []
+            open_[_PAIR[c]] = open_.get(_PAIR[c], 0) + 1
+    return found
+
+
+class _Words:
+    """The white-space tokens of a paragraph, and the words on both sides of a place; a word also begins where a gap ends."""
+
+    def __init__(self, text: str, a: int, b: int):
+        self.text, self.a = text, a
+        self.starts, self.ends = [], []
+        for m in _TOKEN.finditer(text, a, b):
+            self.starts.append(m.start())
+            self.ends.append(m.end())
+
+    def number(self, at: int) -> int:
+        """Which token a place is in, or the one before it."""
+        return bisect_right(self.starts, at) - 1
+
+    def after(self, at: int, until: int) -> int:
+        """Hash of the word that begins at a place; its letters count up to ``until`` (the next mark may be far in scripts without spaces)."""
+        return _AFTER[self.text[at : min(self.ends[self.number(at)], max(until, at + 1))]]
+
+    def before(self, mark: int, gap: int, gap_before: int) -> tuple[str, str, int]:
+        """The last two words before the marks at a place, and the shape of the last; ``gap``: where the part after the last gap begins."""
+        k = self.number(mark - 1)
+        start = max(self.starts[k], gap) if k >= 0 and self.ends[k] >= mark else mark
+        word, shape = _BEFORE[self.text[start:mark]]
+        if start > self.starts[k] and k >= 0:  # a gap without a space lies inside the token
+            return _EARLIER[self.text[max(self.starts[k], gap_before) : start]] if start > max(self.starts[k], gap_before) else "^", word, shape
+        if k < 1:
+            return "^", word, shape
+        return _EARLIER[self.text[max(self.starts[k - 1], min(gap_before, self.ends[k - 1] - 1)) : self.ends[k - 1]]], word, shape
+
+
+#: Numbers of a gap: end of the marks, start of what follows, hashes of two words and of one word before, shape with ending, hash of what follows, words since the gap before (3 for more), is it inside a quote.
+GAP = ("fin", "inicio", "dos", "una", "forma", "sigue", "palabras", "dentro")
+
+
+def gaps(text: str, a: int, b: int, words: _Words) -> list[tuple]:
+    """The places of a paragraph where a sentence may end, as tuples of GAP."""
+    found = [(m.start(), m.start("space"), m.end("space"), m["next"]) for m in _GAP.finditer(text, a, b)]
+    if _ANY_UNMARKED.search(text, a, b):
+        found = sorted(found + [(m.start(), m.start(), m.end(), "") for m in _BARE.finditer(text, a, b)])
+    if not found:
+        return []
     spans = _spans(text, a, b)
+    out = []
     k = 0
-    last = a
-    for m in _GAP.finditer(text, a, b):
-        if m["bare"] is not None:
-            mark = end = m.start()
-            if text[end - 1].isdigit() or text[m.end()].isdigit():
-                continue  # beside a numeral
-            if not re.match(rf"[{_UNMARKED}]", text[end - 1]):
+    last = previous = a
+    for i, (mark, end, start, nxt) in enumerate(found):
+        if end == start:
+            wide = text[end - 1] in _WIDE and (ord(nxt) > 0x2E7F or nxt in "“「『（«")
+            loose = text[end - 1] not in ";；" and (nxt.isupper() or nxt in "¿¡“«„" or (ord(nxt) > 0x52F and nxt.isalpha())) and mark > a and (text[mark - 1].isalpha() or text[mark - 1].isdigit() or text[mark - 1] in _CLOSE)
+            if not (wide or loose):
                 continue
-            start = m.end()
-        else:
-            mark, end, start = m.start(), m.start("space"), m.end("space")
-            nxt = m["next"]
-            if end == start:
-                wide = text[end - 1] in _WIDE and (ord(nxt) > 0x2E7F or nxt in "“「『（«")
-                loose = text[end - 1] not in ";；" and (nxt.isupper() or nxt in "¿¡“«„" or (ord(nxt) > 0x52F and nxt.isalpha())) and mark > a and (text[mark - 1].isalpha() or text[mark - 1].isdigit() or text[mark - 1] in _CLOSE)
-                if not (wide or loose):
-                    continue
         while k < len(spans) and spans[k][1] < end - 1:
             k += 1
         inside = k < len(spans) and spans[k][0] < mark and end - 1 < spans[k][1]
-        b3, b2, sh = _contexts(text, a, mark, end)
-        af, ash = _after(text, start)
-        words = text.count(" ", last, end) + 1 if end - last < 400 else 9
-        out.append(Gap(end, start, b3, b2, sh, af, ash, min(words, 3), inside))
-        last = start
+        run, ending = _RUNS[text[mark:end]]
+        earlier, word, shape = words.before(mark, last, previous)
+        since = words.number(end - 1) - words.number(last) + 1
+        until = found[i + 1][1] if i + 1 < len(found) else b
+        out.append((end, start, _h("3", earlier, word, run), _h("2", word, run), shape * len(ENDINGS) + ending, words.after(start, until), min(max(since, 1), 3), inside))
+        previous, last = last, start
     return out
 
 
+#: Numbers of a paragraph: its offsets, how many gaps it has, and the context of its sure end (-1 if it has none) and of its beginning.
+PARAGRAPH = ("desde", "hasta", "cuantos", "fin_dos", "fin_una", "fin_forma", "comienzo")
+
+
+def analysed(text: str | None) -> tuple[list[tuple], list[tuple]]:
+    """The paragraphs (PARAGRAPH) and gaps (GAP) of a text."""
+    text = text or ""
+    out, every = [], []
+    for a, b in paragraphs(text):
+        words = _Words(text, a, b)
+        own = gaps(text, a, b, words)
+        last = own[-1][1] if own else a
+        previous = own[-2][1] if len(own) > 1 else a
+        tail = _LAST_RUN.search(text, max(last, a), b)
+        end = (-1, -1, -1)
+        if tail or _ANY_UNMARKED.match(text, b - 1):
+            mark = tail.start() if tail else b
+            run, ending = _RUNS[text[mark:b]]
+            earlier, word, shape = words.before(mark, last, previous)
+            end = (_h("3", earlier, word, run), _h("2", word, run), shape * len(ENDINGS) + ending)
+        out.append((a, b, len(own), *end, words.after(a, b if not own else own[0][0])))
+        every += own
+    return out, every
+
+
+def find_gaps(rows: DataFrame) -> DataFrame:
+    """tabla, registro, texto and, as arrays, the paragraphs and gaps of each text. One pass; texts are read whole."""
+    names = [*(f"p_{c}" for c in PARAGRAPH), *(f"g_{c}" for c in GAP)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for x in parts(whole, "texto"):
+                got: list[list] = [[] for _ in names]
+                for t in x["texto"]:
+                    p, g = analysed(t)
+                    for k, c in enumerate([*(zip(*p) if p else [()] * len(PARAGRAPH)), *(zip(*g) if g else [()] * len(GAP))]):
+                        got[k].append(np.array(c, dtype=np.int32))
+                yield pd.DataFrame({**{c: x[c].to_numpy() for c in ("tabla", "registro", "texto")}, **dict(zip(names, got))})
+
+    return rows.select("tabla", "registro", "texto").mapInPandas(run, "tabla string, registro bigint, texto string, " + ", ".join(f"{c} array<int>" for c in names))
+
+
+@dataclass
+class Batch:
+    """Gaps and paragraphs of a batch of texts, each number of them in one array."""
+
+    gap: dict[str, np.ndarray]
+    paragraph: dict[str, np.ndarray]
+
+    @staticmethod
+    def of(x: pd.DataFrame) -> Batch:
+        def flat(prefix: str, names: tuple[str, ...]) -> dict[str, np.ndarray]:
+            return {c: np.concatenate([*x[f"{prefix}_{c}"], np.zeros(0, np.int32)]).astype(np.int64) for c in names}
+
+        return Batch(flat("g", GAP), flat("p", PARAGRAPH))
+
+
+#: Kinds of counts: contexts of two words, of one, of a shape with its ending; what follows a gap by the ending before it; the chain.
+TWO, ONE, FORM, NEXT, CHAIN = range(5)
+#: What begins a paragraph, in place of an ending.
+BEGIN = len(ENDINGS)
+
+
+def _keys(level: int, value: np.ndarray, kind: np.ndarray | int = 0) -> np.ndarray:
+    """One number for each counted thing; sorted by level, then value, then kind."""
+    return (np.int64(level) << 40) | (np.asarray(value, dtype=np.int64) << 4) | kind
+
+
 @dataclass
 class Model:
-    """Expected counts: events and boundaries per context, first words after a boundary and after none."""
-
-    n3: np.ndarray
-    s3: np.ndarray
-    n2: np.ndarray
-    s2: np.ndarray
-    n1: np.ndarray
-    s1: np.ndarray
-    first: np.ndarray  # what follows a boundary, by the kind of mark before it; in the last row what begins a paragraph
-    inner: np.ndarray  # what follows a gap without one, by what the run of marks ends with
-    chain: np.ndarray  # (words since the gap before, boundary there, boundary here)
+    """Expected counts under sorted keys: how often each thing was seen, and how often with a boundary."""
+
+    keys: np.ndarray
+    seen: np.ndarray
+    cut: np.ndarray
     sure: float = 0.4  # part of all boundaries that are sure
     back_off: float = BACK_OFF
+    unread: bool = False  # nothing is known yet of the words after
 
-    def before(self, g: Gap) -> float:
-        """P(<S> | words before) with back-off from shape to word to two words."""
-        if g.shape % len(ENDINGS):
-            p = (self.s1[g.shape] + 0.5) / (self.n1[g.shape] + 1.0)
-        else:  # no mark: a space of a script without marks, which ends a sentence by the rule of the problem
-            p = (self.s1[g.shape] + BARE) / (self.n1[g.shape] + BARE + 0.01)
-        p = (self.s2[g.before2] + self.back_off * p) / (self.n2[g.before2] + self.back_off)
-        p = (self.s3[g.before3] + self.back_off * p) / (self.n3[g.before3] + self.back_off)
-        return min(max(p, 1e-5), 1 - 1e-5)
-
-    def ratio(self, g: Gap) -> float:
-        """P(word after | <S>) / P(word after | none)."""
-        kind = g.shape % len(ENDINGS)
-        base = (self.first_all[g.after] + 0.1) / (self.first_all_total + 0.1 * 200)
-        yes = (self.first[kind, g.after] + KIND_BACK_OFF * base) / (self.first_total[kind] + KIND_BACK_OFF)
-        base = (self.inner_all[g.after] + 0.1) / (self.inner_all_total + 0.1 * 200)
-        no = (self.inner[kind, g.after] + KIND_BACK_OFF * base) / (self.inner_total[kind] + KIND_BACK_OFF)
-        return yes / no
-
-    def ready(self) -> Model:
-        self.first_total, self.inner_total = self.first.sum(axis=1), self.inner.sum(axis=1)
-        self.first_all, self.first_all_total = self.first.sum(axis=0), float(self.first.sum())
-        self.inner_all, self.inner_all_total = self.inner.sum(axis=0), float(self.inner.sum())
-        t = self.chain + 5.0
+    def __post_init__(self):
+        w, e = np.divmod(np.arange(6), 2)
+        n, s = self.counts(_keys(CHAIN, w, e))
+        t = np.stack([n - s, s], axis=-1).reshape(3, 2, 2) + 5.0  # (words since the gap before, boundary there, boundary here)
         base = t.sum(axis=1)[:, 1] / t.sum(axis=(1, 2))
         self.link = (t[:, :, 1] / t[:, :, 0]) / (base / (1 - base))[:, None]  # factor on the odds of a boundary
-        return self
-
-    def posteriors(self, row: list[Gap]) -> list[float]:
-        """Forward-backward over the gaps of a paragraph."""
-        n = len(row)
+        a, b = np.searchsorted(self.keys, [NEXT << 40, (NEXT + 1) << 40])
+        kind, word = self.keys[a:b] & 15, (self.keys[a:b] - (NEXT << 40)) >> 4
+        yes, no = self.cut[a:b], self.seen[a:b] - self.cut[a:b]
+        self.yes_of, self.no_of = (np.bincount(kind, x, minlength=BEGIN + 1) for x in (yes, no))
+        self.words, at = np.unique(word, return_inverse=True)
+        self.yes_all, self.no_all = (np.bincount(at, x, minlength=len(self.words)) for x in (yes, no))
+
+    def counts(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each key was seen, and how often with a boundary; 0 for unknown ones."""
+        if not len(self.keys):
+            return np.zeros(len(keys)), np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        known = self.keys[at] == keys
+        return np.where(known, self.seen[at], 0.0), np.where(known, self.cut[at], 0.0)
+
+    def before(self, g: dict[str, np.ndarray]) -> np.ndarray:
+        """P(<S> | words before) with back-off from shape to word to two words."""
+        n, s = self.counts(_keys(FORM, g["forma"]))
+        # without a mark: a space of a script without marks, which ends a sentence by the rule of the problem
+        p = np.where(g["forma"] % len(ENDINGS) > 0, (s + 0.5) / (n + 1.0), (s + BARE) / (n + BARE + 0.01))
+        for level, name in ((ONE, "una"), (TWO, "dos")):
+            n, s = self.counts(_keys(level, g[name]))
+            p = (s + self.back_off * p) / (n + self.back_off)
+        return np.clip(p, 1e-5, 1 - 1e-5)
+
+    def ratio(self, g: dict[str, np.ndarray]) -> np.ndarray:
+        """P(word after | <S>) / P(word after | none)."""
+        if self.unread or not len(self.words):
+            return np.ones(len(g["fin"]))
+        kind, after = g["forma"] % len(ENDINGS), g["sigue"]
+        n, s = self.counts(_keys(NEXT, after, kind))
+        at = np.minimum(np.searchsorted(self.words, after), len(self.words) - 1)
+        known = self.words[at] == after
+
+        def share(own: np.ndarray, of: np.ndarray, every: np.ndarray) -> np.ndarray:
+            base = (np.where(known, every[at], 0.0) + 0.1) / (every.sum() + 0.1 * 200)
+            return (own + KIND_BACK_OFF * base) / (of[kind] + KIND_BACK_OFF)
+
+        return share(s, self.yes_of, self.yes_all) / share(n - s, self.no_of, self.no_all)
+
+    def posteriors(self, x: Batch) -> np.ndarray:
+        """Forward-backward over the gaps of each paragraph, all paragraphs side by side."""
+        g, sizes = x.gap, x.paragraph["cuantos"]
+        n = len(g["fin"])
         if not n:
-            return []
+            return np.zeros(0)
+        p, r, inside = self.before(g), self.ratio(g), g["dentro"] > 0
         step = np.empty((n, 2, 2))
-        for i, g in enumerate(row):
-            if g.open:
-                step[i] = ((1.0, 0.0), (1.0, 0.0))
-                continue
-            p, r = self.before(g), self.ratio(g)
-            for e in (0, 1):
-                odds = p * self.link[g.words - 1, e]
-                q = odds / (odds + 1 - p)
-                step[i, e] = (1 - q, q * r)
-        f = np.empty((n, 2))
-        state = np.array([0.0, 1.0])  # a paragraph begins after a boundary
-        for i in range(n):
-            state = state @ step[i]
-            state /= state.sum()
-            f[i] = state
-        back = np.ones(2)
-        out = [0.0] * n
-        for i in range(n - 1, -1, -1):
-            both = f[i] * back
-            out[i] = float(both[1] / both.sum())
-            back = step[i] @ back
-            back /= back.sum()
+        for e in (0, 1):
+            odds = p * self.link[g["palabras"] - 1, e]
+            q = np.where(inside, 0.0, odds / (odds + 1 - p))
+            step[:, e, 0], step[:, e, 1] = 1 - q, q * r
+        start = np.cumsum(sizes) - sizes
+        order = np.argsort(-sizes, kind="stable")
+        start, length = start[order], sizes[order]
+        alive = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")  # paragraphs with a t-th gap
+        forward, out = np.empty((n, 2)), np.empty(n)
+        state = np.tile([0.0, 1.0], (len(sizes), 1))  # a paragraph begins after a boundary
+        for t, m in enumerate(alive):
+            at = start[:m] + t
+            state = np.einsum("pi,pij->pj", state[:m], step[at])
+            state /= state.sum(axis=1, keepdims=True)
+            forward[at] = state
+        back = np.ones((len(sizes), 2))
+        for t in range(len(alive) - 1, -1, -1):
+            m = alive[t]
+            at = start[:m] + t
+            both = forward[at] * back[:m]
+            out[at] = both[:, 1] / both.sum(axis=1)
+            b = np.einsum("pij,pj->pi", step[at], back[:m])
+            back[:m] = b / b.sum(axis=1, keepdims=True)
         return out
 
 
-def first_counts(text: str, c: list[np.ndarray]) -> None:
-    """Counts of a text for the first estimate: all events, and sure boundaries (ends of paragraphs)."""
-    n3, s3, n2, s2, n1, s1, first, inner, _ = c
-    for a, b in paragraphs(text):
-        row = gaps(text, a, b)
-        for g in row:
-            if not g.open:
-                n3[g.before3] += 1
-                n2[g.before2] += 1
-                n1[g.shape] += 1
-        _sure(text, a, b, c)
-
-
-def _sure(text: str, a: int, b: int, c: list[np.ndarray]) -> None:
-    n3, s3, n2, s2, n1, s1, first, _, _ = c
-    first[-1, _after(text, a)[0]] += 1
-    m = re.search(rf"[{_MARKS}]+(?:[^\S\n]?[{_CLOSE}]|[{_MARKS}])*$", text[max(a, b - 12) : b])
-    if m:
-        mark = max(a, b - 12) + m.start()
-        b3, b2, sh = _contexts(text, a, mark, b)
-    elif re.match(rf"[{_UNMARKED}]", text[b - 1]):
-        b3, b2, sh = _contexts(text, a, b, b)
-    else:
-        return
-    for n, s, k in ((n3, s3, b3), (n2, s2, b2), (n1, s1, sh)):
-        n[k] += 1
-        s[k] += 1
-
-
-def expected_counts(text: str, model: Model, c: list[np.ndarray]) -> None:
-    """Expected counts of a text under a model."""
-    n3, s3, n2, s2, n1, s1, first, inner, chain = c
-    for a, b in paragraphs(text):
-        row = gaps(text, a, b)
-        was = 1.0
-        for g, p in zip(row, model.posteriors(row)):
-            if not g.open:
-                for n, s, k in ((n3, s3, g.before3), (n2, s2, g.before2), (n1, s1, g.shape)):
-                    n[k] += 1
-                    s[k] += p
-                first[g.shape % len(ENDINGS), g.after] += p
-                inner[g.shape % len(ENDINGS), g.after] += 1 - p
-                w = g.words - 1
-                for e, pe in ((0, 1 - was), (1, was)):
-                    chain[w, e, 0] += pe * (1 - p)
-                    chain[w, e, 1] += pe * p
-            was = p
-        _sure(text, a, b, c)
-
-
-def _empty() -> list[np.ndarray]:
-    return [np.zeros(TRIGRAMS), np.zeros(TRIGRAMS), np.zeros(BIGRAMS), np.zeros(BIGRAMS), np.zeros(N_SHAPES), np.zeros(N_SHAPES), np.zeros((len(ENDINGS) + 1, AFTER)), np.zeros((len(ENDINGS), AFTER)), np.zeros((3, 2, 2))]
-
-
-def _gather(texts: DataFrame, model: Model | None) -> list[np.ndarray]:
-    """Sums of the counts of all texts (column ``texto``): at most as many cells as the tables have, added up on the executors."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+def _count(x: Batch, model: Model | None) -> pd.DataFrame:
+    """k, n, s of a batch: without a model all events and the sure boundaries, with one the expected ones."""
+    g, p = x.gap, x.paragraph
+    free = g["dentro"] == 0
+    post = model.posteriors(x) if model is not None else np.zeros(len(g["fin"]))
+    has_end = p["fin_forma"] >= 0
+    keys, seen, cut = [], [], []
+
+    def add(k: np.ndarray, n: np.ndarray | float, s: np.ndarray | float) -> None:
+        keys.append(k)
+        seen.append(np.broadcast_to(n, k.shape))
+        cut.append(np.broadcast_to(s, k.shape))
+
+    for level, own, end in ((TWO, "dos", "fin_dos"), (ONE, "una", "fin_una"), (FORM, "forma", "fin_forma")):
+        add(_keys(level, g[own][free]), 1.0, post[free])
+        add(_keys(level, p[end][has_end]), 1.0, 1.0)
+    add(_keys(NEXT, p["comienzo"], BEGIN), 1.0, 1.0)
+    if model is not None:
+        add(_keys(NEXT, g["sigue"][free], g["forma"][free] % len(ENDINGS)), 1.0, post[free])
+        was = np.concatenate([[1.0], post[:-1]]) if len(post) else post
+        was[(np.cumsum(p["cuantos"]) - p["cuantos"])[p["cuantos"] > 0]] = 1.0
+        w = g["palabras"][free] - 1
+        for e, pe in ((0, 1 - was[free]), (1, was[free])):
+            add(_keys(CHAIN, w, e), pe, pe * post[free])
+    k, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return pd.DataFrame({"k": k, "n": np.bincount(at, np.concatenate(seen), minlength=len(k)), "s": np.bincount(at, np.concatenate(cut), minlength=len(k))})
+
+
+def _gather(found: DataFrame, model: Model | None, most: int) -> pd.DataFrame:
+    """Sums of the counts of all texts, added up on the executors, in the order of their keys.
+
+    Contexts of words seen only once say nothing about other gaps and are left out; of the others, and of the
+    words that follow, the ``most`` most frequent are kept (the rarest of them back off to shorter contexts).
+    """
+    shared = found.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = _empty()
-        seen = False
-        for b in batches:
-            for t in b["texto"]:
-                if t:
-                    seen = True
-                    first_counts(t, c) if shared.value is None else expected_counts(t, shared.value, c)
-        if seen:
-            flat = np.concatenate([x.ravel() for x in c])
-            at = np.flatnonzero(flat)
-            yield pd.DataFrame({"at": at.astype("int32"), "v": flat[at]})
-
-    rows = texts.select("texto").mapInPandas(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
-    out = _empty()
-    flat = np.concatenate([x.ravel() for x in out])
-    flat[rows["at"].to_numpy()] = rows["v"].to_numpy()
-    got, k = [], 0
-    for x in out:
-        got.append(flat[k : k + x.size].reshape(x.shape))
-        k += x.size
-    return got
-
-
-def train(texts: DataFrame) -> Model:
-    """Fit the model on all texts."""
-    c = _gather(texts, None)
-    n3, s3, n2, s2, n1, s1, first, _, chain = c
+        for x in batches:
+            yield _count(Batch.of(x), shared.value)
+
+    used = [*(f"p_{c}" for c in PARAGRAPH if c not in ("desde", "hasta")), *(f"g_{c}" for c in GAP if c != "inicio")]
+    blank = [F.array().cast("array<int>").alias(c) for c in ("p_desde", "p_hasta", "g_inicio")]
+    sums = found.select(*used, *blank).mapInPandas(run, "k bigint, n double, s double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    sums = materialize(sums.filter((F.col("n") > 1) | (F.col("k") >= _keys(FORM, 0).item())), "counts")
+    few = F.shiftright("k", 40).isin(FORM, CHAIN)
+    got = [sums.filter(few).toPandas(), sums.filter(~few).orderBy(F.desc("n"), "k").limit(most).toPandas()]
+    return pd.concat(got, ignore_index=True).sort_values("k", ignore_index=True)
+
+
+def train(found: DataFrame, most: int = MOST_CONTEXTS) -> Model:
+    """Fit the model on the gaps of all texts (a written table of ``find_gaps``)."""
+    c = _gather(found, None, most)
+    k, n, s = (c[x].to_numpy() for x in ("k", "n", "s"))
     # Long lower-case words before a single mark end sentences: how often they stand at sure boundaries tells which part of all boundaries is sure.
-    plain = [SHAPES.index("lower") * len(ENDINGS) + ENDINGS.index(e) for e in ("stop", "call", "wide")]
-    sure = min(max(float(s1[plain].sum() / max(1.0, n1[plain].sum())), 0.02), 1.0)
+    plain = np.isin(k, _keys(FORM, [SHAPE["lower"] * len(ENDINGS) + ENDINGS.index(e) for e in ("stop", "call", "wide")]))
+    sure = min(max(float(s[plain].sum() / max(1.0, n[plain].sum())), 0.02), 1.0)
     # An upper bound of the rate: words that never stand at a sure boundary stay at none, few chance misses don't count.
-    grown = [np.minimum(n, (s + 2 * np.sqrt(s)) / sure) for n, s in ((n3, s3), (n2, s2), (n1, s1))]
-    inner = np.zeros((len(ENDINGS), AFTER))
-    model = Model(n3, grown[0], n2, grown[1], n1, grown[2], first, inner, chain, sure, FIRST_BACK_OFF).ready()
-    model.first, model.first_total = np.zeros_like(first), np.zeros(len(first))
-    model.first_all, model.first_all_total = np.zeros(AFTER), 0.0  # the first round rests on the words before alone
+    grown = np.where(k < NEXT << 40, np.minimum(n, (s + 2 * np.sqrt(s)) / sure), s)
+    model = Model(k, n, grown, sure, FIRST_BACK_OFF, unread=True)  # the first round rests on the words before alone
     for _ in range(ROUNDS):
-        c = _gather(texts, model)
-        model = Model(*c, sure=sure).ready()
+        c = _gather(found, model, most)
+        model = Model(c["k"].to_numpy(), c["n"].to_numpy(), c["s"].to_numpy(), sure)
     return model
 
 
+def spans(x: Batch, post: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Paragraph, start and end of each sentence of a batch."""
+    g, p = x.gap, x.paragraph
+    number = np.repeat(np.arange(len(p["cuantos"])), p["cuantos"])
+    cut = (post > 0.5) & (g["inicio"] < p["hasta"][number])
+    begin = np.concatenate([p["desde"], g["inicio"][cut]])
+    end = np.concatenate([p["hasta"], g["fin"][cut]])
+    own = np.concatenate([np.arange(len(p["desde"])), number[cut]])
+    a, b = np.lexsort((begin, own)), np.lexsort((end, own))
+    return own[a], begin[a], end[b]
+
+
 def sentence_spans(text: str | None, model: Model) -> list[tuple[int, int]]:
     """Offsets (start, end exclusive) of the sentences of a text; none for null and blank texts."""
-    out = []
-    for a, b in paragraphs(text or ""):
-        row = gaps(text, a, b)
-        at = a
-        for g, p in zip(row, model.posteriors(row)):
-            if p > 0.5 and g.start < b:
-                out.append((at, g.end))
-                at = g.start
-        out.append((at, b))
-    return out
+    p, g = analysed(text)
+    x = Batch({c: np.array([r[k] for r in g], dtype=np.int64) for k, c in enumerate(GAP)}, {c: np.array([r[k] for r in p], dtype=np.int64) for k, c in enumerate(PARAGRAPH)})
+    _, begin, end = spans(x, model.posteriors(x))
+    return list(zip(begin.tolist(), end.tolist()))
 
 
-def sentences(rows: DataFrame, model: Model) -> DataFrame:
-    """tabla, registro, inicio, fin, texto of each sentence of ``rows`` (tabla, registro, texto)."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+def sentences(found: DataFrame, model: Model, with_text: bool = True) -> DataFrame:
+    """tabla, registro, inicio, fin and, if asked, texto of each sentence of the texts ``find_gaps`` went through."""
+    shared = found.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [(t, r, i, j, x[i:j]) for t, r, x in zip(b["tabla"], b["registro"], b["texto"]) for i, j in sentence_spans(x, shared.value)]
-            yield pd.DataFrame(out, columns=["tabla", "registro", "inicio", "fin", "texto"])
+        for x in batches:
+            b = Batch.of(x)
+            own, begin, end = spans(b, shared.value.posteriors(b))
+            row = np.repeat(np.arange(len(x)), x["p_desde"].map(len))[own]
+            out = {"tabla": x["tabla"].to_numpy()[row], "registro": x["registro"].to_numpy()[row], "inicio": begin, "fin": end}
+            if with_text:
+                texts = x["texto"].to_numpy()
+                out["texto"] = [texts[k][i:j] for k, i, j in zip(row, begin, end)]
+            yield pd.DataFrame(out)
 
-    return rows.select("tabla", "registro", "texto").mapInPandas(run, "tabla string, registro bigint, inicio int, fin int, texto string")
+    used = [*(f"p_{c}" for c in PARAGRAPH), *(f"g_{c}" for c in GAP)]
+    text = ["texto"] if with_text else []
+    return found.select("tabla", "registro", *text, *used).mapInPandas(run, "tabla string, registro bigint, inicio int, fin int" + (", texto string" if with_text else ""))
 
 
 def page_and_unit_texts(spark, folder: str) -> DataFrame:
-    """tabla, registro, texto of native pages and stored units; repeated ids are one record."""
+    """tabla, registro, texto of native pages and stored units, repeats still in it."""
     p = table(spark, folder, "paginas").filter("confianza is null").select(F.lit("paginas").alias("tabla"), F.col("pagina_id").alias("registro"), "texto")
     o = table(spark, folder, "oraciones").select(F.lit("oraciones").alias("tabla"), F.col("oracion_id").alias("registro"), "texto")
-    return p.unionByName(o).dropDuplicates(["tabla", "registro"])
+    return p.unionByName(o)
+
+
+def page_and_unit_gaps(spark, folder: str) -> DataFrame:
+    """The gaps of native pages and stored units; repeated ids are one record."""
+    return materialize(find_gaps(page_and_unit_texts(spark, folder).dropDuplicates(["tabla", "registro"])), "gaps")
 
 
 def p3_sentences(spark, folder: str) -> DataFrame:
     """Every sentence with its place and text."""
-    rows = materialize(page_and_unit_texts(spark, folder), "texts")
-    return sentences(rows, train(rows))
+    found = page_and_unit_gaps(spark, folder)
+    return sentences(found, train(found))
 
 
 def p3_found(spark, folder: str) -> DataFrame:
     """Every sentence of native pages and stored units."""
-    return p3_sentences(spark, folder).select("tabla", "registro", "inicio", "fin").distinct()
+    found = page_and_unit_gaps(spark, folder)
+    return sentences(found, train(found), with_text=False).distinct()

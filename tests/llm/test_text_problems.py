@@ -1,7 +1,10 @@
 """Defined results for odd input, and brute-force versions, of the operators on texts."""
 
+import itertools
+import pickle
 import random
 import re
+import time
 
 import numpy as np
 import pandas as pd
@@ -9,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sacbe.llm import boundaries, quality, reading, repetition, scan_repair, subjects, syllables, words
+from sacbe import storage
 
 LONG = "Esta es una oración normal del libro de lectura. " * 4000
 ODD = [None, "", "   \n \t ", "a", "1 2 3", "....", LONG, "日本語の文。", "\u0000x", "🙂 🙂"]
@@ -194,21 +198,77 @@ def sentence_texts(n=300):
 def test_sentences_are_found_and_offsets_are_exact(spark):
     rows = sentence_texts()
     df = texts(spark, [t for t, _ in rows]).select(F.lit("t").alias("tabla"), F.col("id").alias("registro"), F.col("text").alias("texto"))
-    model = boundaries.train(df)
+    found = storage.materialize(boundaries.find_gaps(df), "gaps")
+    model = boundaries.train(found)
     hits = sum([t[i:j] for i, j in boundaries.sentence_spans(t, model)] == want for t, want in rows)
     assert hits >= 0.97 * len(rows)
-    got = boundaries.sentences(df, model).collect()
+    got = boundaries.sentences(found, model).collect()
+    assert sorted((r["registro"], r["inicio"], r["fin"]) for r in boundaries.sentences(found, model, with_text=False).collect()) == sorted((r["registro"], r["inicio"], r["fin"]) for r in got)
     assert all(r["texto"] == rows[r["registro"]][0][r["inicio"] : r["fin"]] for r in got)
     for t in ODD:
         spans = boundaries.sentence_spans(t, model)
         assert all(t[i:j].strip() and t[i:j] == t[i:j].strip() for i, j in spans)
         assert "".join("".join(t[i:j].split()) for i, j in spans) == "".join((t or "").split())  # nothing but blanks is left out
     assert boundaries.sentence_spans("Título\n\nLa niña ve osos hoy.\n \nFin", model) == [(0, 6), (8, 28), (31, 34)]
-    assert boundaries.sentences(df.limit(0), model).count() == 0 and boundaries.train(df.limit(0)) is not None
+    assert boundaries.sentences(found.limit(0), model).count() == 0 and len(boundaries.train(found.limit(0)).keys) == 0
+    few = boundaries.train(found, most=20)  # a bound on the contexts kept leaves the shorter ones
+    assert len(few.keys) < len(model.keys) and sum([t[i:j] for i, j in boundaries.sentence_spans(t, few)] == want for t, want in rows) >= 0.6 * len(rows)
+    back = pickle.loads(pickle.dumps(model))
+    assert boundaries.sentence_spans(rows[0][0], back) == boundaries.sentence_spans(rows[0][0], model)
+
+
+def slow_posteriors(model, g, inside):
+    """Forward-backward over the gaps of one paragraph by plain loops."""
+    p, r = model.before(g), model.ratio(g)
+    steps = []
+    for i in range(len(p)):
+        own = []
+        for e in (0, 1):
+            odds = p[i] * model.link[g["palabras"][i] - 1, e]
+            q = odds / (odds + 1 - p[i])
+            own.append((1.0, 0.0) if inside[i] else (1 - q, q * r[i]))
+        steps.append(own)
+    total = {}
+    for path in itertools.product((0, 1), repeat=len(p)):
+        weight, was = 1.0, 1
+        for i, e in enumerate(path):
+            weight *= steps[i][was][e]
+            was = e
+        total[path] = weight
+    return [sum(w for path, w in total.items() if path[i]) / sum(total.values()) for i in range(len(p))]
+
+
+def test_posteriors_equal_the_sum_over_all_paths(spark):
+    rows = sentence_texts(60)
+    df = texts(spark, [t for t, _ in rows]).select(F.lit("t").alias("tabla"), F.col("id").alias("registro"), F.col("text").alias("texto"))
+    model = boundaries.train(storage.materialize(boundaries.find_gaps(df), "gaps"))
+    for t in ["El Dr. Paz vive en Roma. (¿Quién vive. Uno) aquí? Compró pan, sal, etc. La niña ve 3.5 osos… ¡Sí! Fin.", "Una. Dos.\n\nTres. Cuatro. Cinco."]:
+        p, g = boundaries.analysed(t)
+        x = boundaries.Batch({c: np.array([r[k] for r in g], dtype=np.int64) for k, c in enumerate(boundaries.GAP)}, {c: np.array([r[k] for r in p], dtype=np.int64) for k, c in enumerate(boundaries.PARAGRAPH)})
+        got, at = model.posteriors(x), 0
+        for n in x.paragraph["cuantos"]:
+            own = {c: v[at : at + n] for c, v in x.gap.items()}
+            assert np.allclose(got[at : at + n], slow_posteriors(model, own, own["dentro"] > 0))
+            at += n
+        assert at == len(got) >= 3
+
+
+def test_quotes_never_closed_are_passed_over():
+    assert boundaries._spans("a (b [c) d «e» f", 0, 16) == [(2, 7), (11, 13)]
+    assert boundaries._spans("((a) (b)", 0, 8) == [(1, 3), (5, 7)]
+    assert boundaries._spans("([a] b) \"c\"", 0, 11) == [(0, 6), (8, 10)]
+    long = "( [ « Uno dos. " * 100_000
+    assert boundaries._spans(long, 0, len(long)) == []
+    began = time.time()
+    assert len(boundaries.analysed(long)[1]) == 100_000 - 1 and time.time() - began < 20
+    wide = "一只猫。" * 50_000  # a text without spaces takes time in proportion to its length
+    began = time.time()
+    assert len(boundaries.analysed(wide)[1]) == 50_000 - 1 and time.time() - began < 20
 
 
 def test_quotes_and_scripts_without_marks(spark):
-    model = boundaries.train(texts(spark, ["เด็ก วาด ภาพ", "一只猫。两只狗！", "Dijo: «Ven. Corre.» y salió."] * 20).select(F.col("text").alias("texto")))
+    df = texts(spark, ["เด็ก วาด ภาพ", "一只猫。两只狗！", "Dijo: «Ven. Corre.» y salió."] * 20).select(F.lit("t").alias("tabla"), F.col("id").alias("registro"), F.col("text").alias("texto"))
+    model = boundaries.train(storage.materialize(boundaries.find_gaps(df), "gaps"))
     t = "Ana dijo: «No toquen. Es mío. ¡Cuidado!», y se fue."
     assert boundaries.sentence_spans(t, model) == [(0, len(t))]
     thai = "เด็กวาดภาพ ชาวนานับ 12 อัน"
