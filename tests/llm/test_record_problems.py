@@ -31,7 +31,8 @@ def test_overlaps_equal_brute_force(spark):
             rows.append((200 + k, t.replace(" ", ",  "), "prueba", None))
     rows += [(300, None, "prueba", "x"), (301, "", "entrenamiento", "x"), (302, "...", "prueba", "x"), (303, rows[0][1], None, "x"), (304, rows[0][1], "otra", "x"), rows[0], (None, "a b", "prueba", "x")]
     df = spark.createDataFrame(rows, "ejemplo_id bigint, texto string, particion string, fuente string").withColumn("rep", F.lit(1)).withColumn("clase", F.lit("z"))
-    links, members = split_overlap.overlaps(df)
+    links, members, hot = split_overlap.overlaps(df)
+    assert {r['rep'] for r in hot.collect()} <= {r['rep'] for r in members.collect()}
     a = members.filter("particion = 'entrenamiento'").select(F.col("rep").alias("a"), F.col("id").alias("x"))
     b = members.filter("particion <> 'entrenamiento'").select(F.col("rep").alias("b"), F.col("id").alias("y"))
     got = {(p["x"], p["y"]) for p in links.join(a, "a").join(b, "b").select("x", "y").collect()}
@@ -42,7 +43,7 @@ def test_overlaps_equal_brute_force(spark):
 
 
 def test_overlaps_of_an_empty_table(spark):
-    links, members = split_overlap.overlaps(spark.createDataFrame([], "ejemplo_id bigint, texto string, particion string, fuente string"))
+    links, members, _ = split_overlap.overlaps(spark.createDataFrame([], "ejemplo_id bigint, texto string, particion string, fuente string"))
     assert links.count() == 0 and members.count() == 0
 
 
@@ -206,3 +207,13 @@ def test_posteriors_follow_the_words():
     prior, like = mixing.fit_classifier(sample, ["a", "b"])
     p = mixing.posteriors(["sol luna", "pan mesa", None], sample.head(3), prior, like)
     assert p[0].argmax() == 0 and p[1].argmax() == 1 and np.allclose(p.sum(axis=1), 1)
+
+
+def test_a_class_of_a_third_of_all_rows_is_spread(spark):
+    r = random.Random(7)
+    rows = [(k, LOREM, "entrenamiento" if k % 5 else "prueba", "f") for k in range(200)] + [(1000 + k, sample_text(r), "entrenamiento", "f") for k in range(300)]
+    links, members, hot = split_overlap.overlaps(spark.createDataFrame(rows, "ejemplo_id bigint, texto string, particion string, fuente string"))
+    assert [tuple(x) for x in hot.select("rep", "train", "held").collect()] == [(0, True, True)]
+    assert members.filter("rep = 0").count() == 200 and members.count() == 500
+    both = split_overlap._spread(members.filter("particion = 'entrenamiento'"), links.select(F.col("a").alias("rep"), "b"), "rep", hot.filter("train"))
+    assert both.count() == 160 and {x["b"] for x in both.collect()} == {0}
