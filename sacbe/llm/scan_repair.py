@@ -6,11 +6,13 @@ carries the page's own number beside a title, is a running header or footer; a l
 page's number, in step with the numbers of its book, is a folio. Only the few edge lines of each page are
 shuffled, never texts.
 
-Words: the vocabulary is made of token forms (lower case, digits as 9) of native pages and of the inspected
-texts, and of forms of scanned pages that are frequent and not a misreading of a far more frequent form.
-Both parts are bounded by relative frequency (at most 1/NATIVE_SHARE and 1/SCANNED_SHARE forms), so the
-broadcast of their hashes has a fixed bound. A hyphen at a line's end vanishes if the joined word is in the
-vocabulary or its hyphenated form is not.
+Words: a form (a token in lower case, digits as 9) is known if a native page or an inspected text has it and
+it isn't two words fused at a mark, or if scanned pages have it often enough and no form that explains it as
+noise is far more frequent: one of the same skeleton, one it may be misread from, or words it may be split
+from. These are ratios and absolute counts, so the rule doesn't change with the size of the corpus. The known
+forms stay a table. Only the HOT_FORMS most frequent go to the tasks that read the texts; what isn't among
+them is asked by joins of narrow rows, once per distinct form. A hyphen at a line's end vanishes if the
+joined word is known or its hyphenated form is not.
 """
 
 from __future__ import annotations
@@ -26,12 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sacbe.llm.words import fold, print_shape
+from sacbe.llm.words import Memo, fold, print_shape
 from sacbe.storage import materialize, table
 
-NATIVE_SHARE, SCANNED_SHARE = 1e-6, 3e-5
-#: How much more frequent a form must be for a like one to count as its misreading.
-RARER = 20
+#: How often scanned pages must have a form no native page has.
+SCANNED_LEAST = 5
+#: How many times as frequent a like form, or words that it may be a part of, must be to explain a form as noise.
+RARER, PARTS_RARER = 4, 20
+#: Known forms that are broadcast; all others are found by joins.
+HOT_FORMS = 200_000
 #: Pages of a book, or pages of all books, whose edges must show a line for it to be furniture, and the part
 #: of the pages of those books it must be; greatest part of letters that may differ.
 IN_BOOK, IN_ALL, PART_OF_BOOK, DIFFERENT = 2, 3, 0.12, 0.25
@@ -40,17 +45,23 @@ LONGEST_TITLE = 75
 HYPHENS = "-‐‑­¬"
 _HYPHEN = re.compile(rf"(\S*[^\W\d_]\S*)[{HYPHENS}]\s*$")
 _HYPHEN_SET = frozenset(HYPHENS)
+_STRANGE = re.compile(r"[^a-záéíóúüñ]")
 _EDGE = "¿?¡!.,;:()«»“”\"'…—–[]‹›*_~=|^·" + HYPHENS
 _ALNUM = re.compile(r"[^\W_]")
+_LETTER = re.compile(r"[^\W\d_]")
 _EXERCISE = re.compile(r"\s*(?:=\s*\S{1,6}|\S{1,4}\s*[+×x÷*-]\s*\S{1,4}|\S{1,3}\.?\s*_+)\s*$")
 _FOLIO = re.compile(r"[^\w=]*(?:p[^\s\d]{0,5}\s*)?([\dlIiOoSBZ|!]+)\W*$", re.I)
 _DIGITS = str.maketrans("lIi|!OoSsBZz", "111110055822")
-_LATIN = re.compile(r"[a-záéíóúüñàèìòùâêîôûäëïöçãõœæßª-º]")
+#: Forms of scanned pages that can be words; two words fused at a mark.
+_CLEAN = r"^[a-záéíóúüñàèìòùâêîôûäëïöçãõœæßª-º9\-./,°]+$"
+_MIXED = r"\p{L}9|9\p{L}"
+_FUSED = r"\p{L}{3,}[.!?…;:,]+\p{L}"
+_LONGEST_AFFIXED = 40
 
 #: What scans write for what is printed (pairs of the inspected pages and their like; fixed values).
 CONFUSED = (
     ("rn", "m"), ("ri", "n"), ("cl", "d"), ("ii", "u"), ("li", "h"), ("m", "rn"), ("fi", "ﬁ"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("0", "o"), ("0", "ó"), ("1", "l"), ("1", "i"), ("5", "s"), ("6", "ó"), ("6", "b"), ("8", "b"), ("9", "g"), ("@", "a"), ("(", "c"), ("!", "i"), ("!", "í"), ("|", "l"),
-    ("i", "l"), ("l", "i"), ("í", "i"), ("i", "í"), ("f", "t"), ("t", "f"), ("y", "v"), ("v", "y"), ("c", "e"), ("e", "c"), ("é", "e"), ("e", "é"), ("á", "a"), ("a", "á"), ("ó", "o"), ("o", "ó"), ("n", "ñ"), ("u", "ú"), ("h", "b"), ("b", "h"), ("j", "i"), ("o", "c"), ("q", "g"), ("$", "s"),
+    ("i", "l"), ("l", "i"), ("í", "i"), ("i", "í"), ("f", "t"), ("t", "f"), ("y", "v"), ("v", "y"), ("c", "e"), ("e", "c"), ("é", "e"), ("e", "é"), ("á", "a"), ("a", "á"), ("ó", "o"), ("o", "ó"), ("n", "ñ"), ("u", "ú"), ("h", "b"), ("b", "h"), ("j", "i"), ("o", "c"), ("q", "g"), ("$", "s"), ("m", "in"), ("fi", "ñ"),
 )
 
 def skeleton(text: str) -> str:
@@ -153,78 +164,68 @@ def furniture(edges: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Sorted hashes of the forms taken as right."""
+    """Sorted hashes of known forms: the most frequent ones, with what was asked for a page beside them."""
 
     known: np.ndarray
-    compounds: np.ndarray  # skeletons of hyphenated forms
 
     def __post_init__(self):
         self._memo: dict[str, bool] = {}
         self._good: set[str] = set()
+        self.answer((), (), {})
 
     def __getstate__(self):
-        return {"known": self.known, "compounds": self.compounds}
+        return {"known": self.known}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
         self.__post_init__()
 
-    def has(self, f: str) -> bool:
+    def answer(self, forms, compounds, fixes) -> Vocabulary:
+        """Set what was found for one page: known forms, skeletons of hyphenated words, corrections."""
+        self.forms, self.compounds, self.fixes = frozenset(forms), frozenset(compounds), dict(fixes)
+        return self
+
+    def hot(self, f: str) -> bool:
         got = self._memo.get(f)
         if got is None:
             if len(self._memo) > 500_000:
                 self._memo.clear()
             h = np.uint64(_hash(f))
             i = int(np.searchsorted(self.known, h))
-            got = self._memo[f] = i < len(self.known) and self.known[i] == h
+            got = self._memo[f] = i < len(self.known) and bool(self.known[i] == h)
         return got
 
+    def has(self, f: str) -> bool:
+        return f in self.forms or self.hot(f)
+
     def right(self, token: str) -> bool:
         """Whether a token is made of known forms. Tokens without letters are."""
         f = form(token)
         if not f or self.has(f):
             return True
-        if not re.search(r"[^\W\d_]", f):
+        if not _LETTER.search(f):
             return True
         parts = re.split(r"[-/–]", f)
         return len(parts) > 1 and all(p and self.has(p) for p in parts)
 
-    def all_right(self, tokens: list[str]) -> bool:
-        """Whether all tokens are right; tokens found right are remembered as they stand."""
+    def wrong(self, tokens: list[str]) -> list[str]:
+        """The tokens that aren't right by the frequent forms; those found right are remembered as they stand."""
         good = self._good
         if good.issuperset(tokens):
-            return True
+            return []
         if len(good) > 500_000:
             good.clear()
-        out = True
+        out = []
         for t in tokens:
             if t not in good:
                 if self.right(t):
                     good.add(t)
                 else:
-                    out = False
+                    out.append(t)
         return out
 
     def compound(self, f: str) -> bool:
-        h = np.uint64(_hash(skeleton(f)))
-        i = int(np.searchsorted(self.compounds, h))
-        return i < len(self.compounds) and self.compounds[i] == h
-
-    def corrected(self, f: str) -> tuple[str, int] | None:
-        """A known form reached by undoing one or two confusions, and the place of the first."""
-        one = [(f[:i] + b + f[i + len(a) :], i) for a, b in CONFUSED for i in range(len(f)) if f.startswith(a, i)]
-        for g, i in one:
-            if self.has(g):
-                return g, i
-        for g, i in one:
-            for a, b in CONFUSED:
-                j = g.find(a, i + 1)
-                while j >= 0:
-                    x = g[:j] + b + g[j + len(a) :]
-                    if self.has(x):
-                        return x, i
-                    j = g.find(a, j + 1)
-        return None
+        return skeleton(f) in self.compounds
 
 
 def _without_cut_words(text: str) -> str:
@@ -242,12 +243,13 @@ def _without_cut_words(text: str) -> str:
 
 
 def token_forms(rows: DataFrame) -> DataFrame:
-    """form, nativo, leido: how often each form occurs in native and in scanned texts (columns texto, leido).
+    """forma, esqueleto, nativo, leido: how often each form occurs in native and in scanned texts (columns texto, leido).
 
     Counts cover all rows. Halves of words cut at line ends aren't counted.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bones = Memo(skeleton)
         for b in batches:
             read = b["leido"].to_numpy(dtype=bool)
             texts = b["texto"].fillna("").to_numpy(dtype=object)
@@ -258,42 +260,92 @@ def token_forms(rows: DataFrame) -> DataFrame:
                     whole = _without_cut_words(whole)
                 for token, n in Counter(whole.split()).items():
                     got.setdefault(form(token), [0, 0])[k] += n
+            got.pop("", None)
             if got:
-                yield pd.DataFrame([(f, *n) for f, n in got.items()], columns=["forma", "nativo", "leido"])
-
-    return rows.select("texto", "leido").mapInPandas(run, "forma string, nativo bigint, leido bigint").filter("forma <> ''").groupBy("forma").agg(F.sum("nativo").alias("nativo"), F.sum("leido").alias("leido"))
-
-
-def build_vocabulary(rows: DataFrame, inspected: list[str]) -> Vocabulary:
-    """Vocabulary from all pages (texto, leido) and the inspected texts of fixed tables."""
-    counts = materialize(token_forms(rows), "forms")
-    native, scanned = counts.agg(F.sum("nativo"), F.sum("leido")).first()
-    trusted = {form(t) for x in inspected for t in x.split()} - {""}
-    old = counts.filter((F.col("nativo") > 0) & (F.col("nativo") >= NATIVE_SHARE * (native or 0))).select("forma").collect()
-    words = trusted | {r[0] for r in old}
-    new = counts.filter((F.col("leido") > 1) & (F.col("leido") >= SCANNED_SHARE * (scanned or 0))).select("forma", "leido", "nativo").collect()
-    top: dict[str, int] = {}
-    for f, n, m in new:
-        k = skeleton(f)
-        top[k] = max(top.get(k, 0), n + m)
-    for f, n, _ in new:
-        if f not in words and n * RARER >= top[skeleton(f)] and all(_LATIN.match(c) or c in "9-./,º°" for c in f) and not re.search(r"[a-z]9|9[a-z]", f):
-            words.add(f)
-    whole = {p for w in words for p in re.split(r"[-/]", w) if len(p) > 1 and p.isalpha()} | words
-    hashed = lambda xs: np.sort(np.array([_hash(x) for x in xs], dtype=np.uint64))
-    return Vocabulary(hashed(whole), hashed({skeleton(w) for w in words if "-" in w.strip("-")}))
-
-
-def page_faults(text: str | None, page: int | None, v: Vocabulary) -> list[tuple[int, str]]:
-    """(line, ``mancha`` | ``guion`` | ``caracter``) of one page."""
-    out: list[tuple[int, str]] = []
+                yield pd.DataFrame([(f, bones[f], *n) for f, n in got.items()], columns=["forma", "esqueleto", "nativo", "leido"])
+
+    every = rows.select("texto", "leido").mapInPandas(run, "forma string, esqueleto string, nativo bigint, leido bigint")
+    return every.groupBy("forma").agg(F.any_value("esqueleto").alias("esqueleto"), F.sum("nativo").alias("nativo"), F.sum("leido").alias("leido"))
+
+
+def _unconfused(forms: DataFrame, column: str) -> DataFrame:
+    """``forms`` with ``otra``: each form reached by undoing one confusion."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            other = [sorted({f[:i] + y + f[i + len(x) :] for x, y in CONFUSED for i in range(len(f)) if f.startswith(x, i)}) for f in b[column]]
+            yield b.assign(otra=other).explode("otra").dropna(subset=["otra"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in forms.schema) + ", otra string"
+    return forms.mapInPandas(run, schema)
+
+
+def known_forms(counts: DataFrame, inspected: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(known, compounds): forma, esqueleto, n of the known forms, and the skeletons (esqueleto) of hyphenated ones.
+
+    ``counts``: a written table of ``token_forms``; ``inspected``: texts of small fixed tables. Parts of
+    hyphenated forms are known too.
+    """
+    spark = counts.sparkSession
+    fixed = spark.createDataFrame([(f, skeleton(f), 0, 0, True) for f in sorted({form(t) for x in inspected for t in x.split()} - {""})], "forma string, esqueleto string, nativo bigint, leido bigint, fija boolean")
+    every = counts.withColumn("fija", F.lit(False)).unionByName(fixed).groupBy("forma").agg(F.any_value("esqueleto").alias("esqueleto"), F.sum("nativo").alias("nativo"), F.sum("leido").alias("leido"), F.max("fija").alias("fija"))
+    every = materialize(every.withColumn("n", F.col("nativo") + F.col("leido")).filter(F.col("fija") | ~F.col("forma").rlike(_FUSED)), "every")
+    sure = every.filter("fija or nativo > 0").select("forma", "esqueleto", "n")
+    maybe = every.filter("not fija and nativo = 0").filter((F.col("leido") >= SCANNED_LEAST) & F.col("forma").rlike(_CLEAN) & ~F.col("forma").rlike(_MIXED)).select("forma", "esqueleto", "n")
+    maybe = materialize(maybe, "maybe")
+    alike = every.groupBy("esqueleto").agg(F.max("n").alias("parecida"))
+    cuts = F.sequence(F.lit(1), F.length("forma") - 1)
+    halves = F.explode(F.flatten(F.transform(cuts, lambda k: F.array(F.substring("forma", F.lit(1), k), F.substring("forma", k + 1, F.length("forma"))))))
+    wholes = every.filter(F.col("forma").rlike(r"^\p{L}+$") & F.length("forma").between(2, _LONGEST_AFFIXED)).select(halves.alias("forma"), F.col("n").alias("m"))
+    wholes = wholes.join(maybe.select("forma"), "forma", "left_semi").groupBy("forma").agg(F.sum("m").alias("enteras"))
+    misread = _unconfused(maybe.select("forma", "n"), "forma").join(every.select(F.col("forma").alias("otra"), F.col("n").alias("m")), "otra").filter(F.col("m") >= F.col("n") * RARER).select("forma").distinct()
+    new = maybe.join(alike, "esqueleto").filter(F.col("n") * RARER >= F.col("parecida")).join(wholes, "forma", "left").filter(F.col("n") * PARTS_RARER >= F.coalesce("enteras", F.lit(0))).join(misread, "forma", "left_anti")
+    words = materialize(sure.unionByName(new.select("forma", "esqueleto", "n")), "words")
+    part = words.select(F.explode(F.split("forma", "[-/]")).alias("forma")).filter(F.col("forma").rlike(r"^\p{L}{2,}$")).join(words, "forma", "left_anti").distinct()
+
+    def bones(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(esqueleto=[skeleton(f) for f in b["forma"]], n=0)
+
+    known = materialize(words.unionByName(part.filter("forma is not null").mapInPandas(bones, "forma string, esqueleto string, n bigint")), "known")
+    return known, materialize(words.filter(F.col("forma").rlike(r"[^-]-+[^-]")).select("esqueleto").distinct(), "compounds")
+
+
+def hot_forms(known: DataFrame, most: int = HOT_FORMS) -> Vocabulary:
+    """The ``most`` most frequent known forms."""
+    top = known.orderBy(F.desc("n"), "forma").limit(most).select("forma").toPandas()["forma"]
+    return Vocabulary(np.sort(np.array([_hash(f) for f in top], dtype=np.uint64)))
+
+
+def right_forms(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """The forms (forma) of ``asked`` that are known or made of known parts."""
+    parts = asked.filter(F.col("forma").rlike("[-/–]")).select("forma", F.explode(F.split("forma", "[-/–]")).alias("parte"))
+    made = parts.join(known.select(F.col("forma").alias("parte"), F.lit(1).alias("si")), "parte", "left").groupBy("forma").agg(F.min(F.coalesce("si", F.lit(0))).alias("todas")).filter("todas = 1")
+    return asked.join(known.select("forma"), "forma", "left_semi").unionByName(made.select("forma")).distinct()
+
+
+def corrections(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """nucleo, arreglo: the most frequent known form that each word (nucleo, esqueleto) may be misread from."""
+    own = asked.select("nucleo", "esqueleto").distinct()
+    near = own.join(known.select("esqueleto", F.col("forma").alias("arreglo"), "n"), "esqueleto").select("nucleo", "arreglo", "n")
+    undone = _unconfused(own.select("nucleo"), "nucleo").join(known.select(F.col("forma").alias("otra"), "n"), "otra").select("nucleo", F.col("otra").alias("arreglo"), "n")
+    return near.unionByName(undone).groupBy("nucleo").agg(F.max_by("arreglo", F.struct("n", "arreglo")).alias("arreglo"))
+
+
+def page_asks(text: str | None, v: Vocabulary) -> list[tuple]:
+    """What a page has to say or ask: (renglon, tipo, siguiente, a, b, nucleo, mayuscula, culpa).
+
+    ``mancha`` and ``guion`` are findings; ``palabra`` asks whether the form a is right; ``corte`` what becomes
+    of the word cut into the forms a and b at the end of the line. ``mayuscula``: the second half starts with a
+    capital; ``culpa``: the fault looks to be in the first half.
+    """
+    out: list[tuple] = []
     rows = []
     for i, x in text_lines(text):
         if is_specks(x):
-            out.append((i, "mancha"))
+            out.append((i, "mancha", None, None, None, None, None, None))
         elif len(x) > 24 or not _EXERCISE.match(x):
             rows.append((i, x))
-    wrong: set[int] = set()
     skip = False  # the first token of the line was judged with the line before
     for k, (i, x) in enumerate(rows):
         tokens = x.split()
@@ -302,28 +354,16 @@ def page_faults(text: str | None, page: int | None, v: Vocabulary) -> list[tuple
         skip = False
         if tokens and tokens[-1][-1] in _HYPHEN_SET and k + 1 < len(rows) and _HYPHEN.search(x):
             after = rows[k + 1][1].split()[0]
-            head, tail = form(tokens[-1]), form(after)
-            tokens = tokens[:-1]
+            last = tokens.pop()
+            head, tail = form(last), form(after)
             skip = True
-            joined = head + tail
-            first = after.lstrip(_EDGE)[:1]
-            if v.has(joined):
-                out.append((i, "guion"))
-            elif v.has(f"{head}-{tail}"):
-                pass
-            elif first.isupper() or v.compound(f"{head}-{tail}"):
-                if not v.right(head):
-                    wrong.add(i)
-                if not v.right(tail):
-                    wrong.add(rows[k + 1][0])
+            if v.hot(head + tail):
+                out.append((i, "guion", None, None, None, None, None, None))
             else:
-                out.append((i, "guion"))
-                fixed = v.corrected(core(x.split()[-1]) + core(after))
-                at = fixed[1] < len(head) if fixed else bool(re.search(r"[^a-záéíóúüñ]", head)) or not re.search(r"[^a-záéíóúüñ]", tail) and len(head) >= len(tail)
-                wrong.add(i if at else rows[k + 1][0])
-        if not v.all_right(tokens):
-            wrong.add(i)
-    return out + [(i, "caracter") for i in sorted(wrong)]
+                at = bool(_STRANGE.search(head)) or not _STRANGE.search(tail) and len(head) >= len(tail)
+                out.append((i, "corte", rows[k + 1][0], head, tail, core(last) + core(after), after.lstrip(_EDGE)[:1].isupper(), at))
+        out += [(i, "palabra", None, form(t), None, None, None, None) for t in v.wrong(tokens)]
+    return out
 
 
 def scanned_pages(spark, folder: str) -> DataFrame:
@@ -333,38 +373,108 @@ def scanned_pages(spark, folder: str) -> DataFrame:
     return a.unionByName(b)
 
 
-def page_vocabulary(spark, folder: str) -> Vocabulary:
-    """Vocabulary of the pages of a folder."""
+def page_forms(spark, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Known forms and compounds of the pages of a folder."""
     native = table(spark, folder, "paginas").select("texto", F.col("confianza").isNotNull().alias("leido"))
     rows = native.unionByName(table(spark, folder, "paginas_reconocidas").select("texto", F.lit(True).alias("leido")))
     inspected = [r[0] for r in table(spark, folder, "evaluacion_ocr").select("referencia").collect() if r[0]]
     inspected += [r[0] for r in table(spark, folder, "muestra_etiquetada").filter("clase = 'prosa'").select("texto").collect() if r[0]]
-    return build_vocabulary(rows, inspected)
+    return known_forms(materialize(token_forms(rows), "forms"), inspected)
 
 
-def faults(pages: DataFrame, v: Vocabulary) -> DataFrame:
-    """tabla, registro, renglon, hallazgo of the faults inside pages, in one pass."""
-    shared = pages.sparkSession.sparkContext.broadcast(v)
+def faults(pages: DataFrame, known: DataFrame, compounds: DataFrame, hot: Vocabulary) -> DataFrame:
+    """tabla, registro, renglon, hallazgo of the faults inside pages, in one pass over the texts; the rest are joins of what pages ask."""
+    shared = pages.sparkSession.sparkContext.broadcast(hot)
+    columns = ["tabla", "registro", "renglon", "tipo", "siguiente", "a", "b", "nucleo", "mayuscula", "culpa", "par", "esqueleto"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [(t, r, i, h) for t, r, p, x in zip(b["tabla"], b["registro"], b["pagina"], b["texto"]) for i, h in page_faults(x, p, shared.value)]
-            yield pd.DataFrame(out, columns=["tabla", "registro", "renglon", "hallazgo"])
-
-    return pages.select("tabla", "registro", "pagina", "texto").mapInPandas(run, "tabla string, registro bigint, renglon int, hallazgo string")
+        bones = Memo(skeleton)
+        for x in batches:
+            out = [(t, r, *q, *((bones[f"{q[3]}-{q[4]}"], bones[q[5]]) if q[1] == "corte" else (None, None))) for t, r, text in zip(x["tabla"], x["registro"], x["texto"]) for q in page_asks(text, shared.value)]
+            yield pd.DataFrame(out, columns=columns).astype({"siguiente": "Int64"})
+
+    schema = "tabla string, registro bigint, renglon int, tipo string, siguiente bigint, a string, b string, nucleo string, mayuscula boolean, culpa boolean, par string, esqueleto string"
+    said = materialize(pages.select("tabla", "registro", "texto").mapInPandas(run, schema).distinct(), "asked")
+    place = ["tabla", "registro", "renglon"]
+    sure = said.filter("tipo in ('mancha', 'guion')").select(*place, F.col("tipo").alias("hallazgo"))
+    words, cuts = said.filter("tipo = 'palabra'"), said.filter("tipo = 'corte'")
+    right = materialize(right_forms(words.select(F.col("a").alias("forma")).unionByName(cuts.select(F.explode(F.array("a", "b")).alias("forma"))).distinct(), known), "right")
+    wrong = words.join(right.withColumnRenamed("forma", "a"), "a", "left_anti").select(*place)
+    forms, yes = known.select("forma"), F.lit(True)
+    c = cuts.withColumn("junta", F.concat("a", "b")).withColumn("partida", F.concat("a", F.lit("-"), "b"))
+    c = c.join(forms.select(F.col("forma").alias("junta"), yes.alias("es_junta")), "junta", "left").join(forms.select(F.col("forma").alias("partida"), yes.alias("es_partida")), "partida", "left")
+    c = c.join(compounds.select(F.col("esqueleto").alias("par"), yes.alias("es_par")), "par", "left")
+    c = c.join(right.select(F.col("forma").alias("a"), yes.alias("bien_a")), "a", "left").join(right.select(F.col("forma").alias("b"), yes.alias("bien_b")), "b", "left")
+    c = c.join(corrections(cuts, known), "nucleo", "left")
+    kept = F.col("mayuscula") | F.coalesce("es_par", F.lit(False))
+    n = F.length("a")
+    first = F.coalesce(F.substring("arreglo", F.lit(1), n) != F.substring("nucleo", F.lit(1), n), F.col("culpa"))
+    guion = F.array(F.struct("renglon", F.lit("guion").alias("hallazgo")))
+    here, there = F.struct("renglon", F.lit("caracter").alias("hallazgo")), F.struct(F.col("siguiente").cast("int").alias("renglon"), F.lit("caracter").alias("hallazgo"))
+    halves = F.filter(F.array(F.when(F.col("bien_a").isNull(), here), F.when(F.col("bien_b").isNull(), there)), lambda x: x.isNotNull())
+    verdict = F.when(F.col("es_junta"), guion).when(F.col("es_partida").isNull(), F.when(kept, halves).otherwise(F.concat(guion, F.array(F.when(first, here).otherwise(there)))))
+    cut = c.select("tabla", "registro", F.explode(verdict).alias("x")).select("tabla", "registro", "x.renglon", "x.hallazgo")
+    return sure.unionByName(wrong.withColumn("hallazgo", F.lit("caracter"))).unionByName(cut)
 
 
 def p5_found(spark, folder: str) -> DataFrame:
     """Furniture, specks, vanishing hyphens and wrong characters of every scanned page."""
     pages = scanned_pages(spark, folder)
     heads = materialize(furniture(materialize(edge_lines(pages), "edges")).distinct(), "furniture")
-    inner = materialize(faults(pages, page_vocabulary(spark, folder)).distinct(), "faults")
+    known, compounds = page_forms(spark, folder)
+    inner = materialize(faults(pages, known, compounds, hot_forms(known)).distinct(), "faults")
     text = inner.filter("hallazgo in ('guion', 'caracter')").join(heads.select("tabla", "registro", "renglon"), ["tabla", "registro", "renglon"], "left_anti")
     return heads.select("tabla", "registro", "renglon", "hallazgo").unionByName(text.select("tabla", "registro", "renglon", "hallazgo")).unionByName(inner.filter("hallazgo = 'mancha'").select("tabla", "registro", "renglon", "hallazgo"))
 
 
-def repaired(text: str | None, furniture_lines: set[int], v: Vocabulary) -> list[str]:
-    """Paragraphs of one page: furniture, specks and broken words gone, wrong words corrected where the vocabulary tells how."""
+def paragraph_asks(text: str | None, v: Vocabulary) -> set[tuple[str, str]]:
+    """What must be known to repair a page: (``forma``, a form that may be known), (``par``, skeleton of a hyphenated word), (``nucleo``, a word to correct)."""
+    out: set[tuple[str, str]] = set()
+    tokens: list[str] = []
+    cut = None
+    for _, x in text_lines(text):
+        if is_specks(x):
+            continue
+        own = x.split()
+        if cut is not None:
+            a, b = form(cut), form(own[0])
+            out |= {("forma", a + b), ("forma", f"{a}-{b}"), ("par", skeleton(f"{a}-{b}"))}
+            own = [cut + own[0], *own[1:]]
+        cut = own.pop().rstrip(HYPHENS) if _HYPHEN.search(x) else None
+        tokens += own
+    wrong = set(v.wrong(tokens))
+    for k, t in enumerate(tokens):
+        if t in wrong:
+            near = [tokens[k - 1] + t] * (k > 0) + [t, *re.split(r"[-/–]", t)] + [t + x for x in tokens[k + 1 : k + 2]]
+            out |= {("forma", form(x)) for x in near} | {("nucleo", core(t))}
+    return {x for x in out if x[1] and not (x[0] == "forma" and v.hot(x[1]))}
+
+
+def answers(pages: DataFrame, known: DataFrame, compounds: DataFrame, hot: Vocabulary) -> DataFrame:
+    """tabla, registro and what was found of what the page asks: conocidas, pares, arreglos (an array of nucleo and arreglo)."""
+    shared = pages.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bones = Memo(skeleton)
+        for x in batches:
+            out = [(t, r, k, q, bones[q]) for t, r, text in zip(x["tabla"], x["registro"], x["texto"]) for k, q in sorted(paragraph_asks(text, shared.value))]
+            yield pd.DataFrame(out, columns=["tabla", "registro", "tipo", "q", "esqueleto"])
+
+    asked = materialize(pages.select("tabla", "registro", "texto").mapInPandas(run, "tabla string, registro bigint, tipo string, q string, esqueleto string").distinct(), "asked")
+    page = ["tabla", "registro"]
+    words = asked.filter("tipo = 'nucleo'").withColumnRenamed("q", "nucleo")
+    found = asked.filter("tipo = 'forma'").join(known.select(F.col("forma").alias("q")), "q", "left_semi").select(*page, F.col("q").alias("conocida"))
+    pairs = asked.filter("tipo = 'par'").join(compounds.select(F.col("esqueleto").alias("q")), "q", "left_semi").select(*page, F.col("q").alias("par"))
+    fixes = words.join(corrections(words, known), "nucleo").select(*page, F.struct("nucleo", "arreglo").alias("arreglo"))
+    every = found.unionByName(pairs, allowMissingColumns=True).unionByName(fixes, allowMissingColumns=True)
+    return every.groupBy(*page).agg(F.collect_set("conocida").alias("conocidas"), F.collect_set("par").alias("pares"), F.collect_set("arreglo").alias("arreglos"))
+
+
+def repaired(text: str | None, furniture_lines: set[int], v: Vocabulary) -> tuple[list[str], str | None]:
+    """Paragraphs of one page, and the part of a word cut at its end.
+
+    Furniture, specks and broken words are gone, wrong words corrected where the vocabulary tells how.
+    """
     paragraphs: list[list[str]] = [[]]
     open_word = None
     blank = False
@@ -390,7 +500,7 @@ def repaired(text: str | None, furniture_lines: set[int], v: Vocabulary) -> list
         paragraphs[-1] += tokens
     if open_word is not None:
         paragraphs[-1].append(open_word + "-")
-    return [" ".join(_corrected(p, v)) for p in paragraphs if p]
+    return [" ".join(_corrected(p, v)) for p in paragraphs if p], open_word
 
 
 def _corrected(tokens: list[str], v: Vocabulary) -> list[str]:
@@ -403,31 +513,62 @@ def _corrected(tokens: list[str], v: Vocabulary) -> list[str]:
         elif k + 1 < len(tokens) and v.has(form(t + tokens[k + 1])):
             out.append(t + tokens[k + 1])
             k += 1
-        elif out and not v.right(t) and v.has(form(out[-1] + t)):
+        elif out and v.has(form(out[-1] + t)):
             out[-1] += t
         else:
-            core = t.strip(_EDGE)
-            fix = v.corrected(core.lower())
-            word = fix[0] if fix else core
-            if core[:1].isupper():
+            own = t.strip(_EDGE)
+            word = v.fixes.get(own.lower(), own)
+            if own[:1].isupper():
                 word = word[:1].upper() + word[1:]
-            out.append(t.replace(core, word, 1) if core else t)
+            out.append(t.replace(own, word, 1) if own else t)
         k += 1
     return out
 
 
+_ENDED = r"[.!?…:;][\"'”»)\]]*$"
+
+
+def across_pages(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """tabla, registro, parrafo, texto, continua of paragraphs (tabla, libro, pagina, registro, parrafo, ultimo, abierta, texto).
+
+    A word cut at the end of a page is completed from the next page of its book, which loses that part.
+    ``continua``: the paragraph goes on in the first one of the next page. Pages are neighbours by number; where
+    a number occurs twice in a book nothing is joined across.
+    """
+    page = ["tabla", "libro", "pagina"]
+    lead = F.regexp_extract("texto", r"^(\S+)", 1)
+    heads = rows.filter("parrafo = 1 and pagina is not null").groupBy(*page).agg(F.count("*").alias("k"), F.any_value(lead).alias("cabeza")).filter("k = 1").drop("k")
+    ends = rows.filter("ultimo and pagina is not null").join(heads.withColumn("pagina", F.col("pagina") - 1), page).select(*page, "registro", "parrafo", "abierta", "cabeza")
+    own = lambda c: F.lower(F.regexp_replace(c, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    ends = ends.withColumn("par", F.concat(own(F.col("abierta")), F.lit("-"), own(F.col("cabeza")))).join(known.select(F.col("forma").alias("par"), F.lit(True).alias("es_par")), "par", "left")
+    ends = materialize(ends.select(*page, "registro", "parrafo", "abierta", "cabeza", (F.coalesce("es_par", F.lit(False)) | F.col("cabeza").rlike(r"^\P{L}*\p{Lu}")).alias("queda")), "ends")
+    taken = ends.filter("abierta is not null").groupBy("tabla", "libro", (F.col("pagina") + 1).alias("pagina")).agg(F.count("*").alias("k")).filter("k = 1").select(*page, F.lit(True).alias("tomada"))
+    out = rows.join(ends.select("tabla", "registro", "parrafo", F.col("abierta").alias("mitad"), "cabeza", "queda"), ["tabla", "registro", "parrafo"], "left")
+    out = out.join(taken.withColumn("parrafo", F.lit(1)), [*page, "parrafo"], "left")
+    text = F.when(F.col("tomada"), F.regexp_replace("texto", r"^\S+\s*", "")).otherwise(F.col("texto"))
+    whole = F.when(F.col("mitad").isNotNull(), F.concat(F.regexp_replace(text, "-$", ""), F.when(F.col("queda"), "-").otherwise(""), F.col("cabeza"))).otherwise(text)
+    goes_on = F.col("mitad").isNotNull() | (F.col("cabeza").rlike(r"^\p{Ll}") & ~F.col("texto").rlike(_ENDED))
+    return out.select("tabla", "registro", "parrafo", whole.alias("texto"), F.coalesce(goes_on, F.lit(False)).alias("continua")).filter("texto <> ''")
+
+
 def p5_paragraphs(spark, folder: str) -> DataFrame:
-    """The text of every scanned page as continuous paragraphs: tabla, registro, parrafo, texto."""
+    """The text of every scanned page as continuous paragraphs: tabla, registro, parrafo, texto, continua."""
     pages = scanned_pages(spark, folder)
     heads = furniture(materialize(edge_lines(pages), "edges")).groupBy("tabla", "registro").agg(F.collect_set("renglon").alias("fuera"))
-    shared = spark.sparkContext.broadcast(page_vocabulary(spark, folder))
+    known, compounds = page_forms(spark, folder)
+    hot = hot_forms(known)
+    shared = spark.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        some = lambda x: () if x is None else x
         for b in batches:
             out = []
-            for t, r, x, off in zip(b["tabla"], b["registro"], b["texto"], b["fuera"]):
-                out += [(t, r, k, p) for k, p in enumerate(repaired(x, set() if off is None else set(off), shared.value), 1)]
-            yield pd.DataFrame(out, columns=["tabla", "registro", "parrafo", "texto"])
-
-    whole = pages.dropDuplicates(["tabla", "registro"]).join(heads, ["tabla", "registro"], "left")
-    return whole.select("tabla", "registro", "texto", "fuera").mapInPandas(run, "tabla string, registro bigint, parrafo int, texto string")
+            for t, book, page, r, x, off, forms, pairs, fixes in zip(*(b[c] for c in ("tabla", "libro", "pagina", "registro", "texto", "fuera", "conocidas", "pares", "arreglos"))):
+                own, cut = repaired(x, set(some(off)), shared.value.answer(some(forms), some(pairs), {f["nucleo"]: f["arreglo"] for f in some(fixes)}))
+                out += [(t, book, page, r, k, k == len(own), cut if k == len(own) else None, p) for k, p in enumerate(own, 1)]
+            yield pd.DataFrame(out, columns=["tabla", "libro", "pagina", "registro", "parrafo", "ultimo", "abierta", "texto"]).astype({"pagina": "Int64"})
+
+    found = answers(pages, known, compounds, hot)
+    whole = pages.dropDuplicates(["tabla", "registro"]).join(heads.join(found, ["tabla", "registro"], "full"), ["tabla", "registro"], "left")
+    rows = whole.select("tabla", "libro", "pagina", "registro", "texto", "fuera", "conocidas", "pares", "arreglos").mapInPandas(run, "tabla string, libro string, pagina bigint, registro bigint, parrafo int, ultimo boolean, abierta string, texto string")
+    return across_pages(materialize(rows, "paragraphs"), known)

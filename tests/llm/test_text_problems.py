@@ -275,22 +275,68 @@ def test_quotes_and_scripts_without_marks(spark):
     assert boundaries.sentence_spans(thai, model) == [(0, 10), (11, len(thai))]
 
 
-def vocabulary():
-    known = "la casa grande tiene una ventana pequeña y el niño lee cuentos de lectura muy bien temperatura socio económico socio-económico".split()
-    h = lambda xs: np.sort(np.array([scan_repair._hash(x) for x in xs], dtype=np.uint64))
-    return scan_repair.Vocabulary(h(known), h([scan_repair.skeleton("socio-económico")]))
+KNOWN = "la casa grande tiene una ventana pequeña y el niño lee cuentos de lectura muy bien temperatura socio económico socio-económico"
+PAGE = "La casa gran-\nde tiene una ven¬ \ntana\n*,;~\n= 13\nla ternperatura\nmuy socio-\neconómico bien\nla ca sa\nla tempe-\nrafura la venfa-\nna bien"
+FAULTS = [(1, "guion"), (2, "guion"), (4, "mancha"), (6, "caracter"), (9, "caracter"), (10, "guion"), (11, "caracter"), (11, "guion"), (11, "caracter")]
 
 
-def test_faults_of_a_page():
-    page = "La casa gran-\nde tiene una ven¬ \ntana\n*,;~\n= 13\nla ternperatura\nmuy socio-\neconómico bien\nla ca sa"
-    assert sorted(scan_repair.page_faults(page, 1, vocabulary())) == [(1, "guion"), (2, "guion"), (4, "mancha"), (6, "caracter"), (9, "caracter")]
-    assert scan_repair.page_faults(None, None, vocabulary()) == []
+def scanned(spark, values):
+    return spark.createDataFrame([("p", k, "b", k, t) for k, t in enumerate(values, 1)], "tabla string, registro bigint, libro string, pagina bigint, texto string")
 
 
-def test_repaired_paragraphs():
+def forms_of(spark, native, read=()):
+    rows = spark.createDataFrame([(t, False) for t in native] + [(t, True) for t in read], "texto string, leido boolean")
+    return scan_repair.known_forms(storage.materialize(scan_repair.token_forms(rows), "forms"), [])
+
+
+def found_faults(spark, values, known, compounds, most=1000):
+    got = scan_repair.faults(scanned(spark, values), known, compounds, scan_repair.hot_forms(known, most)).distinct().collect()
+    return sorted((r["registro"], r["renglon"], r["hallazgo"]) for r in got)
+
+
+def test_faults_of_a_page(spark):
+    known, compounds = forms_of(spark, [KNOWN])
+    want = sorted({(1, *f) for f in FAULTS})
+    for most in (1000, 3, 0):  # what isn't among the frequent forms is found by joins
+        assert found_faults(spark, [PAGE, None, ""], known, compounds, most) == want
+    assert found_faults(spark, [], known, compounds) == []
+
+
+def test_rare_native_words_stay_known(spark):
+    many = [f"palabra{a}{b}{c}" for a in "abcdefgh" for b in "ijklmnop" for c in "qrstuvwx"]
+    known, compounds = forms_of(spark, [KNOWN] * 300 + [" ".join(many)])
+    assert known.count() >= len(many) + len(KNOWN.split())
+    assert found_faults(spark, [PAGE, " ".join(many[:5])], known, compounds) == sorted({(1, *f) for f in FAULTS})
+
+
+def test_words_only_scans_have(spark):
+    read = ["la brújula"] * 30 + ["la brújuia"] * 6 + ["bru jula"] * 2 + ["la ven tana"] * 6 + ["la mdigo"] * 6 + ["índigo indigo"] * 30 + ["todavía.la"] * 9 + ["rara"] * (scan_repair.SCANNED_LEAST - 1)
+    known, _ = forms_of(spark, [KNOWN] * 200, read)
+    words_ = {r["forma"] for r in known.collect()}
+    assert {"brújula", "índigo"} <= words_ and not words_ & {"brújuia", "tana", "ven", "mdigo", "todavía.la", "rara"}
+    assert {"socio-económico", "socio"} <= words_
+    asked = spark.createDataFrame([("ternperafura", scan_repair.skeleton("ternperafura")), ("zzz", "zzz")], "nucleo string, esqueleto string")
+    assert [tuple(r) for r in scan_repair.corrections(asked, known).collect()] == [("ternperafura", "temperatura")]
+
+
+def test_repaired_paragraphs(spark):
     page = "Guía\n\nLa casa gran-\nde tiene una ven­\ntana.\n*,;~\n\nEl niño lee cuentos de ternperatura socio-\neconómico y la ca sa."
-    assert scan_repair.repaired(page, {1}, vocabulary()) == ["La casa grande tiene una ventana.", "El niño lee cuentos de temperatura socio-económico y la casa."]
-    assert scan_repair.repaired(None, set(), vocabulary()) == []
+    known, compounds = forms_of(spark, [KNOWN])
+    for most in (1000, 2):
+        hot = scan_repair.hot_forms(known, most)
+        got = scan_repair.answers(scanned(spark, [page]), known, compounds, hot).first()
+        hot.answer(got["conocidas"], got["pares"], {f["nucleo"]: f["arreglo"] for f in got["arreglos"]})
+        assert scan_repair.repaired(page, {1}, hot) == (["La casa grande tiene una ventana.", "El niño lee cuentos de temperatura socio-económico y la casa."], None)
+        assert scan_repair.repaired(None, set(), hot) == ([], None)
+    assert scan_repair.answers(scanned(spark, []), known, compounds, hot).count() == 0
+
+
+def test_words_cut_between_pages(spark):
+    rows = [("p", "b", 1, 1, 1, True, "venta", "La casa tiene una venta-"), ("p", "b", 2, 2, 1, False, None, "na grande y"), ("p", "b", 2, 2, 2, True, None, "El niño lee"), ("p", "b", 3, 3, 1, True, "socio", "cuentos de socio-"), ("p", "b", 4, 4, 1, True, None, "económico."), ("p", "b", 5, 5, 1, True, "a", "Fin a-"), ("p", "b", 6, 6, 1, True, None, "b"), ("p", "b", 6, 7, 1, True, None, "c"), ("p", None, None, 9, 1, True, "x", "x-")]
+    df = spark.createDataFrame(rows, "tabla string, libro string, pagina bigint, registro bigint, parrafo int, ultimo boolean, abierta string, texto string")
+    known, _ = forms_of(spark, [KNOWN])
+    got = {(r["registro"], r["parrafo"]): (r["texto"], r["continua"]) for r in scan_repair.across_pages(df, known).collect()}
+    assert got == {(1, 1): ("La casa tiene una ventana", True), (2, 1): ("grande y", False), (2, 2): ("El niño lee", True), (3, 1): ("cuentos de socio-económico.", True), (5, 1): ("Fin a-", False), (6, 1): ("b", False), (7, 1): ("c", False), (9, 1): ("x-", False)}
 
 
 def test_furniture(spark):
