@@ -1,13 +1,14 @@
 """Problem 9: a mix in which each source has its target share of the tokens.
 
-Soft membership: a naive Bayes classifier, fitted on a bounded sample of the rows whose source is declared
-(``SAMPLE`` ids with the smallest hash; counts over hashed words and table columns), gives each document a
-posterior over the target sources. A declared source counts for all but ``SOFT`` of the membership; rows
-without one rest on the posterior alone. Rates between 0 and the repeats allowed are then fitted by
-projected-gradient least squares on expected tokens per source. The gradient needs one small vector per
-round, and a document's rate follows from the vectors of the rounds so far, so each round is one pass over
-a written table and nothing is kept per document. A last factor per source corrects what soft membership
-moved, and rates become whole copies by systematic rounding inside bounded chunks.
+Soft membership: a document with a declared target source belongs to it; for one without a source a naive
+Bayes classifier gives a posterior over the target sources. It is fitted on a bounded sample of the rows whose
+source is declared (``SAMPLE`` ids with the smallest hash); hashed words and table columns are counted on the
+executors, and only the table of counts, of a fixed size, is collected. Rates between 0 and the repeats
+allowed are fitted by projected-gradient least squares, so that the expected tokens of each source match its
+target. The gradient needs one small vector per round, and a document's rate follows from the vectors of the
+rounds so far, so each round is one pass over a written table and nothing is kept per document. Rates become
+whole copies by carrying the error in tokens from document to document inside bounded chunks of a source,
+largest documents first, so that what is left at the end of a chunk is less than its smallest document.
 
 The mix aims at as many tokens as the documents of the target sources have. Where repeats don't suffice, a
 source contributes all it may, and the report shows its actual share.
@@ -28,7 +29,6 @@ from sacbe.storage import materialize, table
 
 SAMPLE = 4000
 BITS = 12
-SOFT = 0.1
 ROUNDS, SETTLED = 12, 1e-4
 CHUNK = 1000
 OTHER = ""
@@ -61,16 +61,30 @@ def word_counts(texts: list[str | None], columns: pd.DataFrame) -> tuple[np.ndar
     return np.concatenate(rows), np.concatenate(codes).astype(np.int64)
 
 
-def fit_classifier(sample: pd.DataFrame, sources: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def count_features(sample: DataFrame, sources: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of each source, and counts (feature, source) of the sample (s, text and COLUMNS); rows of other sources don't count."""
+    k = len(sources)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own = pd.Categorical(b["s"], categories=sources).codes
+            b, own = b[own >= 0].reset_index(drop=True), own[own >= 0].astype(np.int64)
+            if len(b):
+                row, code = word_counts(list(b["text"]), b)
+                at, n = np.unique(np.concatenate([(code + 1) * k + own[row], own]), return_counts=True)
+                yield pd.DataFrame({"at": at, "n": n})
+
+    flat = np.zeros(((1 << BITS) + 1) * k)
+    for at, n in sample.select("s", "text", *COLUMNS).mapInPandas(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n")).collect():
+        flat[at] = n
+    table_ = flat.reshape(-1, k)
+    return table_[0], table_[1:]
+
+
+def fit_classifier(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log prior and log likelihood (feature, source) of naive Bayes with add-one smoothing."""
-    own = pd.Categorical(sample["s"], categories=sources).codes
-    known = own >= 0
-    counts = np.ones((1 << BITS, len(sources)))
-    if known.any():
-        row, code = word_counts(list(sample["text"][known]), sample[known].reset_index(drop=True))
-        np.add.at(counts, (code, own[known][row]), 1.0)
-    prior = np.bincount(own[known], minlength=len(sources)) + 1.0
-    return np.log(prior / prior.sum()), np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    prior, like = rows + 1.0, counts + 1.0
+    return np.log(prior / prior.sum()), np.log(like / like.sum(axis=0)).astype(np.float32)
 
 
 def posteriors(texts: list[str | None], columns: pd.DataFrame, prior: np.ndarray, likelihood: np.ndarray) -> np.ndarray:
@@ -102,8 +116,7 @@ def memberships(docs: DataFrame, sources: list[str], repeats: list[int], prior:
             p = np.zeros_like(q)
             k = np.array([at.get(s, -1) for s in b["s"]], dtype=int)
             declared = k >= 0
-            p[declared] = SOFT * q[declared]
-            p[np.flatnonzero(declared), k[declared]] += 1 - SOFT
+            p[np.flatnonzero(declared), k[declared]] = 1.0
             open_ = b["s"].isna().to_numpy()
             p[open_] = q[open_]
             cap = np.where(declared, most[k], np.where(open_, np.minimum(q @ most, most.min() if len(most) else 0), 0.0))
@@ -172,32 +185,39 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str, text_col: str, source_
     weight = weight / weight.sum()
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), source_name(source_col).alias("s"), F.col(text_col).alias("text"), *[F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in COLUMNS])
     ids = rows.filter(F.col("s").isin(*sources)).select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    sample = rows.join(F.broadcast(ids), "id", "left_semi").toPandas()
-    prior, likelihood = fit_classifier(sample, sources)
+    prior, likelihood = fit_classifier(*count_features(rows.join(F.broadcast(ids), "id", "left_semi").dropDuplicates(["id"]), sources))
     part = rows.filter(F.col("s").isNull() | F.col("s").isin(*sources))
-    members = materialize(memberships(part, sources, repeats, prior, likelihood, tokenizer), "members")
+    members = materialize(memberships(part, sources, repeats, prior, likelihood, tokenizer).dropDuplicates(["id"]), "members")
     total = members.agg(F.sum("tokens")).first()[0] or 0
     steps = fit_rates(members, weight * total)
+    size = {r[0]: r[1] for r in members.groupBy("s").count().collect()}  # at most one row a source
+    chunks = F.coalesce(*[F.when(F.col("s").eqNullSafe(F.lit(s)), -(-n // CHUNK)) for s, n in size.items()], F.lit(1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             r = _rates(np.vstack(b["p"].to_numpy()).astype(float), b["cap"].to_numpy(), steps) if len(b) else np.zeros(0)
             yield pd.DataFrame({"id": b["id"].to_numpy(), "s": b["s"].to_numpy(), "tokens": b["tokens"].to_numpy(), "cap": b["cap"].to_numpy(), "rate": r})
 
-    rated = materialize(members.mapInPandas(run, "id bigint, s string, tokens bigint, cap double, rate double").dropDuplicates(["id"]), "rates")
-    reached = rated.groupBy("s").agg(F.sum(F.col("tokens") * F.col("rate")).alias("t"))
-    goal = dict(zip(sources, (weight * total).tolist()))
-    factor = F.coalesce(*[F.when(F.col("s") == r["s"], float(goal[r["s"]] / r["t"])) for r in reached.collect() if r["s"] in goal and r["t"]], F.lit(1.0))
-    scaled = rated.withColumn("rate", F.least("cap", F.col("rate") * factor))
-    chunks = max(1, -(-rated.count() // CHUNK))
-    order = Window.partitionBy("s", "_c").orderBy("tokens", "id")
-    cum = F.sum("rate").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    # systematic rounding along the sizes: a document gets as many copies as whole numbers lie in its stretch of the running sum of rates
-    dealt = scaled.withColumn("_c", F.pmod(F.xxhash64("id"), F.lit(chunks)))
-    rounded = dealt.withColumn("_e", F.round(cum, 9)).withColumn("_b", F.round(F.col("_e") - F.col("rate"), 9))
-    shift = F.pmod(F.xxhash64("s", "_c"), F.lit(1000)) / 1000.0
-    copies = F.least(F.floor(F.col("_e") + shift) - F.floor(F.col("_b") + shift), F.ceil("cap")).cast("int")
-    return rounded.withColumn("copias", copies).filter("copias > 0").select("id", "s", "tokens", "copias")
+    rated = members.mapInPandas(run, "id bigint, s string, tokens bigint, cap double, rate double").withColumn("_c", F.pmod(F.xxhash64("id"), chunks))
+
+    def deal(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values(["tokens", "id"], ascending=[False, True], kind="stable")
+        return x.assign(copias=whole_copies(x["tokens"].to_numpy(), x["rate"].to_numpy(), x["cap"].to_numpy()))[["id", "s", "tokens", "copias"]]
+
+    return rated.groupBy("s", "_c").applyInPandas(deal, "id bigint, s string, tokens bigint, copias int").filter("copias > 0")
+
+
+def whole_copies(tokens: np.ndarray, rate: np.ndarray, cap: np.ndarray) -> np.ndarray:
+    """Whole numbers beside the rates, at most ``cap`` rounded up, whose tokens follow the sum of tokens x rate as closely as they can in this order."""
+    out = np.zeros(len(tokens), dtype=np.int32)
+    owed = 0.0
+    for i, (t, r, c) in enumerate(zip(tokens.tolist(), rate.tolist(), np.ceil(cap - 1e-9).tolist())):
+        owed += t * r
+        low = int(r + 1e-9)
+        n = low + (r > low + 1e-9 and owed - low * t > t / 2 and low < c)
+        out[i] = n
+        owed -= n * t
+    return out
 
 
 def p9_mix(spark, folder: str, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -206,7 +226,9 @@ def p9_mix(spark, folder: str, tokenizer: str = TOKENIZER) -> DataFrame:
 
 
 def p9_report(spark, folder: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Per target source: share wanted, share reached, tokens, documents, copies, most repeats used."""
+    """Per target source: share wanted, share reached, tokens, documents, copies, most repeats used; documents without a source in a row of their own (source null)."""
     got = p9_mix(spark, folder, tokenizer).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copias")).alias("tokens"), F.count("*").alias("documentos"), F.sum("copias").alias("copias"), F.max("copias").alias("repeticiones"))
-    both = table(spark, folder, "mezcla_objetivo").withColumn("source", source_name("source")).join(got, "source", "left")
-    return both.select("source", "peso", (F.coalesce("tokens", F.lit(0)) / F.sum("tokens").over(Window.partitionBy(F.lit(0)))).alias("parte"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("documentos", F.lit(0)).alias("documentos"), F.coalesce("copias", F.lit(0)).alias("copias"), F.coalesce("repeticiones", F.lit(0)).alias("repeticiones"), "max_repeticiones")
+    want = table(spark, folder, "mezcla_objetivo").withColumn("s", source_name("source")).filter("s is not null").groupBy("s").agg(F.max("peso").alias("peso"), F.max("max_repeticiones").alias("max_repeticiones"))
+    both = want.join(got, F.col("s").eqNullSafe(F.col("source")), "full")
+    all_ = F.sum("tokens").over(Window.partitionBy(F.lit(0)))  # one row a source
+    return both.select(F.coalesce("s", "source").alias("source"), F.coalesce("peso", F.lit(0.0)).alias("peso"), (F.coalesce("tokens", F.lit(0)) / all_).alias("parte"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "documentos", "copias", "repeticiones")], "max_repeticiones")

@@ -249,7 +249,6 @@ def token_forms(rows: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bones = Memo(skeleton)
         for b in batches:
             read = b["leido"].to_numpy(dtype=bool)
             texts = b["texto"].fillna("").to_numpy(dtype=object)
@@ -262,10 +261,20 @@ def token_forms(rows: DataFrame) -> DataFrame:
                     got.setdefault(form(token), [0, 0])[k] += n
             got.pop("", None)
             if got:
-                yield pd.DataFrame([(f, bones[f], *n) for f, n in got.items()], columns=["forma", "esqueleto", "nativo", "leido"])
+                yield pd.DataFrame([(f, *n) for f, n in got.items()], columns=["forma", "nativo", "leido"])
+
+    every = rows.select("texto", "leido").mapInPandas(run, "forma string, nativo bigint, leido bigint")
+    return _with_skeletons(every.groupBy("forma").agg(F.sum("nativo").alias("nativo"), F.sum("leido").alias("leido")))
+
 
-    every = rows.select("texto", "leido").mapInPandas(run, "forma string, esqueleto string, nativo bigint, leido bigint")
-    return every.groupBy("forma").agg(F.any_value("esqueleto").alias("esqueleto"), F.sum("nativo").alias("nativo"), F.sum("leido").alias("leido"))
+def _with_skeletons(forms: DataFrame) -> DataFrame:
+    """``forms`` with ``esqueleto`` of each ``forma``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(esqueleto=[skeleton(f) for f in b["forma"]])
+
+    return forms.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in forms.schema) + ", esqueleto string")
 
 
 def _unconfused(forms: DataFrame, column: str) -> DataFrame:
@@ -303,11 +312,7 @@ def known_forms(counts: DataFrame, inspected: list[str]) -> tuple[DataFrame, Dat
     words = materialize(sure.unionByName(new.select("forma", "esqueleto", "n")), "words")
     part = words.select(F.explode(F.split("forma", "[-/]")).alias("forma")).filter(F.col("forma").rlike(r"^\p{L}{2,}$")).join(words, "forma", "left_anti").distinct()
 
-    def bones(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(esqueleto=[skeleton(f) for f in b["forma"]], n=0)
-
-    known = materialize(words.unionByName(part.filter("forma is not null").mapInPandas(bones, "forma string, esqueleto string, n bigint")), "known")
+    known = materialize(words.unionByName(_with_skeletons(part.select("forma", F.lit(0).cast("bigint").alias("n")))), "known")
     return known, materialize(words.filter(F.col("forma").rlike(r"[^-]-+[^-]")).select("esqueleto").distinct(), "compounds")
 
 
@@ -394,7 +399,7 @@ def faults(pages: DataFrame, known: DataFrame, compounds: DataFrame, hot: Vocabu
             yield pd.DataFrame(out, columns=columns).astype({"siguiente": "Int64"})
 
     schema = "tabla string, registro bigint, renglon int, tipo string, siguiente bigint, a string, b string, nucleo string, mayuscula boolean, culpa boolean, par string, esqueleto string"
-    said = materialize(pages.select("tabla", "registro", "texto").mapInPandas(run, schema).distinct(), "asked")
+    said = materialize(pages.select("tabla", "registro", "texto").mapInPandas(run, schema), "asked")
     place = ["tabla", "registro", "renglon"]
     sure = said.filter("tipo in ('mancha', 'guion')").select(*place, F.col("tipo").alias("hallazgo"))
     words, cuts = said.filter("tipo = 'palabra'"), said.filter("tipo = 'corte'")
@@ -438,7 +443,10 @@ def paragraph_asks(text: str | None, v: Vocabulary) -> set[tuple[str, str]]:
         own = x.split()
         if cut is not None:
             a, b = form(cut), form(own[0])
-            out |= {("forma", a + b), ("forma", f"{a}-{b}"), ("par", skeleton(f"{a}-{b}"))}
+            if not v.hot(a + b) or own[0].lstrip(_EDGE)[:1].isupper():
+                out |= {("forma", a + b), ("forma", f"{a}-{b}"), ("par", skeleton(f"{a}-{b}"))}
+            else:
+                out.add(("forma", f"{a}-{b}"))
             own = [cut + own[0], *own[1:]]
         cut = own.pop().rstrip(HYPHENS) if _HYPHEN.search(x) else None
         tokens += own
@@ -457,7 +465,7 @@ def answers(pages: DataFrame, known: DataFrame, compounds: DataFrame, hot: Vocab
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bones = Memo(skeleton)
         for x in batches:
-            out = [(t, r, k, q, bones[q]) for t, r, text in zip(x["tabla"], x["registro"], x["texto"]) for k, q in sorted(paragraph_asks(text, shared.value))]
+            out = [(t, r, k, q, bones[q] if k == "nucleo" else None) for t, r, text in zip(x["tabla"], x["registro"], x["texto"]) for k, q in paragraph_asks(text, shared.value)]
             yield pd.DataFrame(out, columns=["tabla", "registro", "tipo", "q", "esqueleto"])
 
     asked = materialize(pages.select("tabla", "registro", "texto").mapInPandas(run, "tabla string, registro bigint, tipo string, q string, esqueleto string").distinct(), "asked")
@@ -504,11 +512,14 @@ def repaired(text: str | None, furniture_lines: set[int], v: Vocabulary) -> tupl
 
 
 def _corrected(tokens: list[str], v: Vocabulary) -> list[str]:
+    wrong = set(v.wrong(tokens))
+    if not wrong:
+        return tokens
     out: list[str] = []
     k = 0
     while k < len(tokens):
         t = tokens[k]
-        if v.right(t):
+        if t not in wrong:
             out.append(t)
         elif k + 1 < len(tokens) and v.has(form(t + tokens[k + 1])):
             out.append(t + tokens[k + 1])

@@ -7,6 +7,7 @@ numbers: a batch of texts becomes one array of token codes, and what is known of
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -115,9 +116,12 @@ def parts(frame: pd.DataFrame, column: str) -> Iterator[pd.DataFrame]:
             yield frame.iloc[a:b]
 
 
+_COMBINING = {c: None for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))}
+
+
 def fold(text: str) -> str:
     """Lower case without accents."""
-    return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+    return text.lower() if text.isascii() else unicodedata.normalize("NFKD", text.lower()).translate(_COMBINING)
 
 
 #: Letters that scans confuse, each spelt out as the narrowest shapes it can fall apart into: m as rn, n as ri,

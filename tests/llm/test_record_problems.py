@@ -202,13 +202,48 @@ def test_mix_of_odd_input(spark):
     assert mixing.mix(documents(spark, rows), goals(spark, []), "doc_id", "text", "source").count() == 0
 
 
-def test_posteriors_follow_the_words():
-    sample = pd.DataFrame({"s": ["a"] * 5 + ["b"] * 5, "text": ["sol luna mar"] * 5 + ["mesa silla pan"] * 5, "lang": "es", "materia": None, "grado": None})
-    prior, like = mixing.fit_classifier(sample, ["a", "b"])
+def test_posteriors_follow_the_words(spark):
+    sample = pd.DataFrame({"s": ["a"] * 5 + ["b"] * 5 + ["z"], "text": ["sol luna mar"] * 5 + ["mesa silla pan"] * 5 + ["sol"], "lang": "es", "materia": None, "grado": None})
+    rows = spark.createDataFrame([tuple(r) for r in sample.itertuples(index=False)], "s string, text string, lang string, materia string, grado string")
+    n, counts = mixing.count_features(rows, ["a", "b"])
+    assert n.tolist() == [5, 5] and counts.sum() == 5 * (3 + 3) * 2
+    prior, like = mixing.fit_classifier(n, counts)
     p = mixing.posteriors(["sol luna", "pan mesa", None], sample.head(3), prior, like)
     assert p[0].argmax() == 0 and p[1].argmax() == 1 and np.allclose(p.sum(axis=1), 1)
 
 
+def test_copies_follow_the_tokens():
+    r = np.random.default_rng(3)
+    for _ in range(50):
+        n = int(r.integers(1, 400))
+        tokens = np.sort(r.integers(0, 900, n))[::-1]
+        cap = r.choice([1.0, 2.0, 4.0], n)
+        rate = np.minimum(r.random() * 4, cap)
+        got = mixing.whole_copies(tokens, rate, cap)
+        assert (got <= cap).all() and (np.abs(got - rate) < 1 + 1e-9).all()
+        assert abs((tokens * (got - rate)).sum()) <= tokens.max()
+    even = np.full(1000, 50)
+    assert abs((even * mixing.whole_copies(even, np.full(1000, 0.37), np.ones(1000))).sum() - 0.37 * 50 * 1000) <= 50
+
+
+def test_shares_come_from_the_fit(spark, monkeypatch):
+    rows = [(k, "palabra " * (20 + k % 7), "a" if k < 400 else "b" if k < 900 else "c" if k < 1000 else None, "es", None, None) for k in range(1100)]
+    want = {"a": 0.2, "b": 0.5, "c": 0.3}
+    docs, aims = documents(spark, rows), goals(spark, [(s, p, 8) for s, p in want.items()])
+
+    def off():
+        got = mixing.mix(docs, aims, "doc_id", "text", "source").toPandas()
+        whole = (got["tokens"] * got["copias"]).sum()
+        known = got[got["s"].notna()]
+        share = (known["tokens"] * known["copias"]).groupby(known["s"]).sum() / whole
+        assert len(got[got["s"].isna()])  # documents without a source take part
+        return sum(abs(share[s] - p) for s, p in want.items())
+
+    fitted = off()
+    monkeypatch.setattr(mixing, "fit_rates", lambda members, wanted: np.zeros((0, len(wanted))))
+    assert fitted < 0.12 and off() > 2 * fitted
+
+
 def test_a_class_of_a_third_of_all_rows_is_spread(spark):
     r = random.Random(7)
     rows = [(k, LOREM, "entrenamiento" if k % 5 else "prueba", "f") for k in range(200)] + [(1000 + k, sample_text(r), "entrenamiento", "f") for k in range(300)]
