@@ -2,8 +2,9 @@
 
 Bin completion: the largest item left gets the undominated fillings of its container, fullest first; a
 branch is cut when the waste so far exceeds what a solution better than the incumbent may waste. The
-incumbent starts as best-fit decreasing, and the search ends when the lower bound is met or after NODES
-fillings tried. Items are dealt by hash into blocks of about BLOCK items, packed independently, so a
+incumbent starts as best-fit decreasing, and the search ends when the lower bound is met, when no better
+solution is left, or after NODES fillings tried; each row tells whether its block is proved to be packed in
+as few containers as possible. Items are dealt by hash into blocks of about BLOCK items, packed independently, so a
 block wastes at most part of one container more than the whole would.
 """
 
@@ -203,22 +204,27 @@ def fewest(sizes: list[int], capacity: int) -> int:
     return best
 
 
-def bin_completion(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
-    """Containers as lists of sizes, for sizes of 1 to ``capacity``."""
+def bin_completion(sizes: list[int], capacity: int, nodes: int | None = NODES) -> tuple[list[list[int]], bool]:
+    """Containers as lists of sizes, for sizes of 1 to ``capacity``, and whether none fewer are possible.
+
+    That is proved if the lower bound is met or the search for fewer ends without one. With no limit of
+    ``nodes`` (None) it always is.
+    """
     ordered = sorted(sizes, reverse=True)
     best = [[ordered[i] for i in b] for b in best_fit(ordered, capacity)]
     total = sum(ordered)
     least = fewest(ordered, capacity)
-    while nodes > 0 and len(best) > least:
-        found, used = _search(ordered, capacity, (len(best) - 1) * capacity - total, nodes)
-        nodes -= used
+    left = float("inf") if nodes is None else nodes
+    while len(best) > least:
+        found, used = _search(ordered, capacity, (len(best) - 1) * capacity - total, left)
+        left -= used
         if found is None:
-            break
+            return best, left > 0
         best = found
-    return best
+    return best, True
 
 
-def _search(ordered: list[int], capacity: int, waste: int, nodes: int) -> tuple[list[list[int]] | None, int]:
+def _search(ordered: list[int], capacity: int, waste: int, nodes: float) -> tuple[list[list[int]] | None, int]:
     """Depth-first search for a packing that wastes at most ``waste``; None if there's none or the nodes are used up."""
     stock = _Stock(ordered, capacity)
     left = len(ordered)
@@ -257,7 +263,7 @@ def _search(ordered: list[int], capacity: int, waste: int, nodes: int) -> tuple[
 
 
 def pack(ids: np.ndarray, tokens: np.ndarray, capacity: int, first: int = 0) -> pd.DataFrame:
-    """Pieces of items in containers numbered from ``first``: id, parte, desde, tokens, caja.
+    """Pieces of items in containers numbered from ``first``: id, parte, desde, tokens, caja, probada (no fewer containers are possible).
 
     An item above the capacity is cut into full pieces, each a container of its own, and a rest that is
     packed like any other item. Items of size 0 go into the first container.
@@ -275,7 +281,8 @@ def pack(ids: np.ndarray, tokens: np.ndarray, capacity: int, first: int = 0) ->
         if rest[i]:
             waiting.setdefault(int(rest[i]), []).append(int(i))
     at, boxes = [], []
-    for k, content in enumerate(bin_completion([int(r) for r in rest if r], capacity) if waiting else []):
+    content_of, proved = bin_completion([int(r) for r in rest if r], capacity)
+    for k, content in enumerate(content_of):
         for s in content:
             at.append(waiting[s].pop())
             boxes.append(box + k)
@@ -284,11 +291,11 @@ def pack(ids: np.ndarray, tokens: np.ndarray, capacity: int, first: int = 0) ->
     boxes += [first] * len(empty)
     a = np.array(at, dtype=np.int64)
     frames.append(pd.DataFrame({"id": ids[a], "parte": full[a], "desde": full[a] * capacity, "tokens": rest[a], "caja": np.array(boxes, dtype=np.int64)}))
-    return pd.concat(frames, ignore_index=True)
+    return pd.concat(frames, ignore_index=True).assign(probada=proved)
 
 
 def pack_documents(sizes: DataFrame, containers: DataFrame) -> DataFrame:
-    """contenedor, caja, id, parte, desde, tokens for every row of ``sizes`` (id, tokens) and every container type.
+    """contenedor, caja, id, parte, desde, tokens, probada for every row of ``sizes`` (id, tokens) and every container type.
 
     ``containers`` is the fixed table of types (null and non-positive capacities are left out). Repeated
     ids are one item; null sizes count as 0.
@@ -304,7 +311,7 @@ def pack_documents(sizes: DataFrame, containers: DataFrame) -> DataFrame:
         got.insert(0, "contenedor", key[0])
         return got
 
-    return dealt.groupBy("contenedor", "_b", "capacidad").applyInPandas(run, "contenedor string, id bigint, parte int, desde bigint, tokens bigint, caja bigint")
+    return dealt.groupBy("contenedor", "_b", "capacidad").applyInPandas(run, "contenedor string, id bigint, parte int, desde bigint, tokens bigint, caja bigint, probada boolean")
 
 
 def p8_packing(spark, folder: str, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -314,7 +321,9 @@ def p8_packing(spark, folder: str, tokenizer: str = TOKENIZER) -> DataFrame:
 
 
 def p8_waste(spark, folder: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Per container type: containers used, the least any packing could use, and the share of room left over."""
-    packed = p8_packing(spark, folder, tokenizer).groupBy("contenedor", "caja").agg(F.sum("tokens").alias("t"))
-    total = packed.groupBy("contenedor").agg(F.count("*").alias("cajas"), F.sum("t").alias("tokens"))
-    return total.join(F.broadcast(table(spark, folder, "contenedores")), "contenedor").select("contenedor", "cajas", F.ceil(F.col("tokens") / F.col("capacidad_tokens")).alias("minimo"), "tokens", (1 - F.col("tokens") / (F.col("cajas") * F.col("capacidad_tokens"))).alias("sobra"))
+    """Per container type: containers used, the least any packing could use, the share of room left over, blocks, and blocks proved to use as few as possible."""
+    packed = p8_packing(spark, folder, tokenizer).groupBy("contenedor", "caja").agg(F.sum("tokens").alias("t"), F.any_value("probada").alias("probada"))
+    per_block = packed.groupBy("contenedor", F.shiftright("caja", 32).alias("bloque")).agg(F.count("*").alias("cajas"), F.sum("t").alias("tokens"), F.any_value("probada").alias("probada"))
+    total = per_block.groupBy("contenedor").agg(F.sum("cajas").alias("cajas"), F.sum("tokens").alias("tokens"), F.count("*").alias("bloques"), F.count_if("probada").alias("bloques_probados"))
+    kinds = table(spark, folder, "contenedores").filter("contenedor is not null and capacidad_tokens > 0").distinct()
+    return total.join(F.broadcast(kinds), "contenedor").select("contenedor", "cajas", F.ceil(F.col("tokens") / F.col("capacidad_tokens")).alias("minimo"), "tokens", (1 - F.col("tokens") / (F.col("cajas") * F.col("capacidad_tokens"))).alias("sobra"), "bloques", "bloques_probados")

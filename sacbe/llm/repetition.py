@@ -1,15 +1,16 @@
 """Problem 10: repetition inside a single document.
 
 ``divergence`` is the method asked for: Jensen-Shannon distance between a document's histograms of
-character classes and common words and the references of its language, with a guard for short texts. It
-tells unusual text from usual text, but a text that repeats its own normal sentences has a normal
-histogram: measured on these tables it does not separate the cases (README has the figures), so
+character classes and common words (a bin for each) and the references of its language, with a guard for
+short texts. It tells unusual text from usual text, but a text that repeats its own normal sentences has much
+the same histogram: measured on these tables it does not separate the cases (README has the figures), so
 ``p10_found`` rests on ``repeated_share``, an exact count of words in repeated eight-word passages.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,66 +74,93 @@ def repeated_share(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id bigint, palabras bigint, repetidas bigint, parte double")
 
 
-def histograms(df: DataFrame, common: dict[str, frozenset[str]], id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """id, lang, palabras and one share per character class and for common words, of each row.
+def histograms(df: DataFrame, common: dict[str, list[str]], id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """id, lang, palabras, clases (a share per character class), comunes (a share per common word of the language, then of all other words) of each row.
 
-    ``lang``: the declared language if there are references for it, else the language whose common words
-    the text has most of.
+    ``lang``: the declared language if there are common words for it, else the language whose common words
+    the text has most of. Shares of null and blank texts are 0.
     """
     languages = sorted(common)
+    place = {x: {w: k for k, w in enumerate(common[x])} for x in languages}
     patterns = [re.compile(p, re.I) for _, p in _CLASSES]
 
     def measure(text: str | None, lang: str | None) -> tuple:
         text = text or ""
-        words = _WORD.findall(text.lower())
-        hits = {x: sum(w in common[x] for w in words) for x in languages}
+        words = Counter(_WORD.findall(text.lower()))
+        n = sum(words.values())
         if lang not in common:
-            lang = max(languages, key=lambda x: (hits[x], x))
-        n = max(1, len(text))
-        return (lang, len(words), *[len(p.findall(text)) / n for p in patterns], hits[lang] / max(1, len(words)))
+            lang = max(languages, key=lambda x: (sum(words[w] for w in place[x]), x))
+        bins = np.zeros(len(common[lang]) + 1, dtype=np.float32)
+        for w, k in place[lang].items():
+            bins[k] = words[w]
+        bins[-1] = n - bins.sum()
+        kinds = np.array([len(p.findall(text)) for p in patterns], dtype=np.float32)
+        return lang, n, kinds / max(kinds.sum(), 1), bins / max(n, 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = pd.DataFrame([measure(t, x) for t, x in zip(b["text"], b["lang"])], columns=["lang", "palabras", *[c for c, _ in _CLASSES], "comunes"])
+            got = pd.DataFrame([measure(t, x) for t, x in zip(b["text"], b["lang"])], columns=["lang", "palabras", "clases", "comunes"])
             got.insert(0, "id", b["id"].to_numpy())
             yield got
 
-    schema = "id bigint, lang string, palabras bigint, " + ", ".join(f"{c} double" for c, _ in _CLASSES) + ", comunes double"
-    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInPandas(run, schema)
+    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInPandas(run, "id bigint, lang string, palabras bigint, clases array<float>, comunes array<float>")
 
 
-def _js(p: list, q: list):
-    """Jensen-Shannon distance of two lists of columns, each summing to 1."""
-    out = F.lit(0.0)
-    for a, b in zip(p, q):
-        m = (a + b) / 2
-        out = out + F.when(a > 0, a * F.log2(a / m)).otherwise(0.0) / 2 + F.when(b > 0, b * F.log2(b / m)).otherwise(0.0) / 2
-    return F.sqrt(F.greatest(out, F.lit(0.0)))
+def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance (base 2) of each row of ``p`` and the distribution ``q``."""
+    m = (p + q) / 2
 
+    def part(x: np.ndarray) -> np.ndarray:
+        return np.where(x > 0, x * np.log2(np.where(x > 0, x, 1) / np.where(m > 0, m, 1)), 0.0).sum(axis=-1)
 
-def divergence(df: DataFrame, common: dict[str, frozenset[str]], id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """id, lang, palabras, divergencia: mean of two distances to the reference of the language.
+    return np.sqrt(np.maximum((part(p) + part(np.broadcast_to(q, p.shape))) / 2, 0.0))
 
-    The references are the mean histograms of all texts of the language with LEAST_WORDS words or more (one
-    row per language). Shorter texts get null.
+
+def references(h: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Mean histograms of all texts of each language with LEAST_WORDS words or more: a fixed number of bins a language."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lang, own in b.groupby("lang"):
+                for kind in ("clases", "comunes"):
+                    total = np.sum(np.vstack(own[kind].to_numpy()), axis=0, dtype=float)
+                    yield pd.DataFrame({"lang": lang, "tipo": kind, "k": np.arange(len(total), dtype="int32"), "v": total})
+
+    rows = h.filter(F.col("palabras") >= LEAST_WORDS).select("lang", "clases", "comunes").mapInPandas(run, "lang string, tipo string, k int, v double").groupBy("lang", "tipo", "k").agg(F.sum("v").alias("v")).toPandas()
+    out = {}
+    for lang, own in rows.groupby("lang"):
+        both = [own[own["tipo"] == kind].sort_values("k")["v"].to_numpy() for kind in ("clases", "comunes")]
+        out[lang] = tuple(x / max(x.sum(), 1e-12) for x in both)
+    return out
+
+
+def divergence(df: DataFrame, common: dict[str, list[str]], id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """id, lang, palabras, divergencia: mean of two distances to the reference of the language, of character classes and of common words.
+
+    Texts of fewer than LEAST_WORDS words get null. ``common``: the common words of each language, a fixed small table.
     """
     h = materialize(histograms(df, common, id_col, text_col, lang_col), "histograms")
-    names = [c for c, _ in _CLASSES]
-    reference = h.filter(F.col("palabras") >= LEAST_WORDS).groupBy("lang").agg(*[F.avg(c).alias(f"r_{c}") for c in [*names, "comunes"]])
-    j = h.join(F.broadcast(reference), "lang", "left")
-    total, rtotal = sum((F.col(c) for c in names), F.lit(1e-12)), sum((F.col(f"r_{c}") for c in names), F.lit(1e-12))
-    chars = _js([F.col(c) / total for c in names], [F.col(f"r_{c}") / rtotal for c in names])
-    words = _js([F.col("comunes"), 1 - F.col("comunes")], [F.col("r_comunes"), 1 - F.col("r_comunes")])
-    return j.select("id", "lang", "palabras", F.when(F.col("palabras") >= LEAST_WORDS, (chars + words) / 2).alias("divergencia"))
+    usual = references(h)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b.reset_index(drop=True)
+            far = np.full(len(b), np.nan)
+            for lang, own in b[b["palabras"] >= LEAST_WORDS].groupby("lang"):
+                far[own.index] = sum(jensen_shannon(np.vstack(own[c].to_numpy()).astype(float), q) for c, q in zip(("clases", "comunes"), usual[lang])) / 2
+            yield pd.DataFrame({"id": b["id"], "lang": b["lang"], "palabras": b["palabras"], "divergencia": far})
+
+    out = h.mapInPandas(run, "id bigint, lang string, palabras bigint, divergencia double")
+    return out.withColumn("divergencia", F.nanvl("divergencia", F.lit(None).cast("double")))
 
 
 def p10_divergence(spark, folder: str) -> DataFrame:
     """Divergence of every document from the usual text of its language, beside its share of repeated words."""
     docs = table(spark, folder, "documents")
-    common: dict[str, set[str]] = {}
-    for lang, word in table(spark, folder, "palabras_comunes").select("lang", "palabra").distinct().collect():
-        common.setdefault(lang, set()).add(word)
-    far = divergence(docs, {k: frozenset(v) for k, v in common.items()}, "doc_id", "text", "lang")
+    common: dict[str, list[str]] = {}
+    for lang, word in sorted(table(spark, folder, "palabras_comunes").filter("lang is not null and palabra is not null").select("lang", F.lower("palabra")).distinct().collect()):
+        common.setdefault(lang, []).append(word)
+    far = divergence(docs, common, "doc_id", "text", "lang")
     share = repeated_share(docs, "doc_id", "text").select("id", "parte")
     return far.join(share, "id").withColumnRenamed("id", "doc_id")
 

@@ -139,18 +139,25 @@ def test_packing_is_optimal_on_small_sets():
     for _ in range(150):
         cap = r.choice([10, 20, 50])
         s = [r.randint(1, cap) for _ in range(r.randint(1, 10))]
-        got = packing.bin_completion(s, cap)
+        got, proved = packing.bin_completion(s, cap, None)
+        assert proved and len(packing.bin_completion(s, cap)[0]) == len(got)
         assert sorted(x for b in got for x in b) == sorted(s) and max(map(sum, got)) <= cap
         assert len(got) == fewest(s, cap) and packing.fewest(s, cap) <= len(got)
 
 
 def test_packing_tries_fillings_of_many_items():
     for want, s in ((2, [237, 219, 183, 169, 61, 56, 32, 17, 10, 8, 7, 1]), (3, [247, 195, 165, 161, 158, 134, 123, 110, 48, 45, 30, 28, 27, 19, 10])):
-        assert sum(s) == 500 * want and len(packing.bin_completion(s, 500)) == want
+        assert sum(s) == 500 * want and len(packing.bin_completion(s, 500)[0]) == want
     some = packing._Stock([4, 3, 2, 2, 1], 10)
     assert sorted({f for f in some.fillings(6, 0) if f}) == [(4, 2)] and sorted(set(some._all(6, 1))) == [(2, 2, 1), (3, 2), (3, 2, 1), (4, 1), (4, 2)]
 
 
+def test_packings_that_are_not_proved_say_so():
+    s = [237, 219, 183, 169, 61, 56, 32, 17, 10, 8, 7, 1]
+    few, proved = packing.bin_completion(s, 500, 1)
+    assert len(few) == 3 and not proved and packing.bin_completion([], 5) == ([], True)
+
+
 def test_only_items_above_the_capacity_are_cut(spark):
     sizes = [(1, 0), (2, 5), (3, 25), (4, None), (5, 10), (5, 10), (6, 10), (7, 3)]
     df = spark.createDataFrame(sizes, "id bigint, tokens bigint").withColumn("caja", F.lit("x"))

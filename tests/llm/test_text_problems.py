@@ -176,8 +176,18 @@ def test_repetition_equals_brute_force(spark):
 
 def test_divergence_guards_short_texts(spark):
     df = texts(spark, ["la casa de la abuela " * 20, "x" * 400 + " %%%" * 60, "corto", None]).withColumn("lang", F.lit("es"))
-    got = {r["id"]: r["divergencia"] for r in repetition.divergence(df, {"es": frozenset({"la", "de"})}, "id", "text", "lang").collect()}
+    got = {r["id"]: r["divergencia"] for r in repetition.divergence(df, {"es": ["de", "la"]}, "id", "text", "lang").collect()}
     assert got[2] is None and got[3] is None and got[0] is not None
+    assert repetition.divergence(df.limit(0), {"es": ["de", "la"]}, "id", "text", "lang").count() == 0
+
+
+def test_each_common_word_has_a_bin(spark):
+    df = texts(spark, ["la la de casa", "de the of of and", None]).withColumn("lang", F.lit(None).cast("string"))
+    got = {r["id"]: r for r in repetition.histograms(df, {"es": ["de", "la"], "en": ["and", "of", "the"]}, "id", "text", "lang").collect()}
+    assert got[0]["lang"] == "es" and np.allclose(got[0]["comunes"], [0.25, 0.5, 0.25])
+    assert got[1]["lang"] == "en" and np.allclose(got[1]["comunes"], [0.2, 0.4, 0.2, 0.2]) and sum(got[2]["comunes"]) == 0
+    p, q = np.array([[0.5, 0.5, 0.0], [0.0, 0.0, 1.0]]), np.array([0.5, 0.5, 0.0])
+    assert np.allclose(repetition.jensen_shannon(p, q), [0.0, 1.0])
 
 
 SENTENCES = [
