@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,7 +15,9 @@ VOWELS = "aeoáéóAEOÁÉÓiuíúüIUÍÚÜ"
 STRONG = "aeoáéóAEOÁÉÓ"
 SENTENCE_END = "[.!?…]+"
 
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ"
+#: Marks that stand apart come last: without a counterpart in PLAIN they are dropped.
+MARKS = "\u0301\u0300\u0302\u0303\u0308\u0327"
+ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ" + MARKS
 PLAIN = "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY"
 #: Characters stripped from the ends of sentence pieces.
 PIECE_EDGE = " \t\\-–—•·"
@@ -108,8 +112,20 @@ LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
 LEAST_LETTERS = 0.4
 
 
+_APART = [(unicodedata.normalize("NFD", x), x) for x in ACCENTED if len(unicodedata.normalize("NFD", x)) == 2]
+
+
+def composed(c: Column) -> Column:
+    """Letters and marks that stand apart put together, for the accented letters of Western languages."""
+    whole = c
+    for apart, letter in _APART:
+        whole = F.replace(whole, F.lit(apart), F.lit(letter))
+    return F.when(c.rlike(f"[{MARKS}]"), whole).otherwise(c)
+
+
 def clean_recognised(c: Column) -> Column:
-    """Recognised text cleaned: ligatures, cut words, odd blanks, lines with too few letters, runs of blank lines."""
+    """Recognised text cleaned: marks set apart, ligatures, cut words, odd blanks, lines with too few letters, runs of blank lines."""
+    c = composed(c)
     for a, b in LIGATURES.items():
         c = F.replace(c, F.lit(a), F.lit(b))
     lines = F.transform(F.split(join_hyphens(c), "\n"), lambda x: F.trim(F.regexp_replace(x, "[ \\t\u00a0\u2000-\u200b\u202f\u3000]+", " ")))

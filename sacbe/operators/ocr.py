@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sacbe.functions.text import fold, squeeze, strip, text, tokens
+from sacbe.functions.text import squeeze, strip, text, tokens
 
 FEW_WORDS, SCANNED = 20, 0.5
 
@@ -62,11 +62,6 @@ def error_summary(rated: DataFrame) -> DataFrame:
     )
 
 
-def plain(c: Column) -> Column:
-    """Folded text of plain characters only, blanks collapsed."""
-    return squeeze(F.regexp_replace(fold(c), "[^ -~]", ""))
-
-
 def low_text_books(pages: DataFrame) -> DataFrame:
     """libro, paginas, casi_vacias, escaneado: books most of whose pages have fewer than FEW_WORDS words look scanned."""
     few = F.size(tokens(text("texto"))) < FEW_WORDS

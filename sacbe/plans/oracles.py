@@ -56,20 +56,37 @@ q AS (SELECT coalesce(h.clase, d.clase) AS clase, coalesce(soporte, 0) AS soport
 u AS (SELECT clase, soporte, CASE WHEN dichos > 0 THEN tp::DOUBLE / dichos ELSE 0 END AS p, CASE WHEN soporte > 0 THEN tp::DOUBLE / soporte ELSE 0 END AS r FROM q),
 z AS (SELECT clase, soporte, p, r, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM u)"""
 STRATA = f"""WITH {EX}, h AS (SELECT ejemplo_id, materia, md5(ejemplo_id::VARCHAR || ':42') AS h FROM e),
-s AS (SELECT *, row_number() OVER (PARTITION BY materia ORDER BY h, ejemplo_id) AS k, count(*) OVER (PARTITION BY materia) AS n FROM h),
+u AS (SELECT min(n) < 2 AS sola FROM (SELECT count(*) AS n FROM h GROUP BY materia)),
+v AS (SELECT h.*, CASE WHEN NOT sola THEN materia END AS estrato FROM h, u),
+s AS (SELECT *, row_number() OVER (PARTITION BY estrato ORDER BY h, ejemplo_id) AS k, count(*) OVER (PARTITION BY estrato) AS n FROM v),
 t AS (SELECT ejemplo_id, materia, CASE WHEN k <= ceil(n * 0.25::DOUBLE) THEN 'prueba' ELSE 'entrenamiento' END AS parte FROM s)"""
 WORDS = r"""w0 AS (SELECT DISTINCT ON (reconocida_id) reconocida_id AS doc, numero AS pagina, texto FROM paginas_reconocidas),
 w1 AS (SELECT doc, pagina, unnest(string_split(texto, chr(10))) AS linea, generate_subscripts(string_split(texto, chr(10)), 1) - 1 AS l FROM w0),
 w2 AS (SELECT doc, pagina, l, unnest(string_split(linea, ' ')) AS text, generate_subscripts(string_split(linea, ' '), 1) - 1 AS w FROM w1),
 w3 AS (SELECT doc, pagina, l, w, trim(text) AS text, l // 5 AS par, ((doc * 31 + l * 7 + w * 17) % 102 - 1)::DOUBLE AS conf FROM w2 WHERE trim(text) <> '')"""
-CER = f"""p AS (SELECT *, trim(regexp_replace(regexp_replace({fold("coalesce(referencia, '')")}, '[^ -~]', '', 'g'), '\\s+', ' ', 'g')) AS a, trim(regexp_replace(regexp_replace({fold("coalesce(obtenido, '')")}, '[^ -~]', '', 'g'), '\\s+', ' ', 'g')) AS b FROM evaluacion_ocr),
-c AS (SELECT *, length(a) AS caracteres, CASE WHEN length(a) > 0 THEN levenshtein(a, b) END AS errores, CASE WHEN length(a) > 0 THEN levenshtein(array_to_string(list_sort(string_split(a, ' ')), ' '), array_to_string(list_sort(string_split(b, ' ')), ' ')) END AS errores_sin_orden FROM p)"""
+# This engine counts bytes between texts: each letter of more than one byte becomes one unused byte, after sorting.
+WIDE = "áéíóúüñ¿¡ÁÉÍÓÚÜÑ«»—…ﬁﬂ"
+NARROW = " || ".join(f"chr({k})" for k in [*range(1, 9), *range(14, 28)][: len(WIDE)])
+
+
+def one_byte(c: str) -> str:
+    return f"translate({c}, '{WIDE}', {NARROW})"
+
+
+def in_order(c: str) -> str:
+    return f"array_to_string(list_sort(string_split({c}, ' ')), ' ')"
+
+
+CER = rf"""p AS (SELECT *, trim(regexp_replace(coalesce(referencia, ''), '\s+', ' ', 'g')) AS a, trim(regexp_replace(coalesce(obtenido, ''), '\s+', ' ', 'g')) AS b FROM evaluacion_ocr),
+c AS (SELECT *, length(a) AS caracteres, CASE WHEN length(a) > 0 THEN levenshtein({one_byte('a')}, {one_byte('b')}) END AS errores, CASE WHEN length(a) > 0 THEN levenshtein({one_byte(in_order('a'))}, {one_byte(in_order('b'))}) END AS errores_sin_orden FROM p)"""
 EVENTS = """e AS (SELECT DISTINCT trabajo, pagina, evento, ts FROM eventos_ocr WHERE trabajo IS NOT NULL AND evento IS NOT NULL),
-m AS (SELECT trabajo, min(ts) FILTER (evento = 'started') AS iniciado, min(ts) FILTER (evento = 'cancelled') AS cancelado, min(ts) FILTER (evento = 'page_failed') AS fallo FROM e GROUP BY trabajo),
-f AS (SELECT *, least(cancelado, fallo) AS terminado FROM m),
+m AS (SELECT trabajo, count(DISTINCT pagina) AS total, min(ts) FILTER (evento = 'created') AS creado, min(ts) FILTER (evento = 'started') AS iniciado, min(ts) FILTER (evento = 'cancelled') AS cancelado, min(ts) FILTER (evento = 'page_failed') AS fallo FROM e GROUP BY trabajo),
 p AS (SELECT trabajo, pagina, min(ts) AS hecha FROM e WHERE evento = 'page_done' AND pagina IS NOT NULL GROUP BY ALL),
+l AS (SELECT trabajo, count(*) AS vistas, max(hecha) AS ultima FROM p GROUP BY trabajo),
+f AS (SELECT m.*, least(cancelado, fallo, CASE WHEN vistas >= total THEN ultima END) AS terminado FROM m LEFT JOIN l USING (trabajo)),
 q AS (SELECT p.trabajo, count(*) FILTER (f.terminado IS NULL OR p.hecha <= f.terminado) AS hechas, count(*) FILTER (p.hecha > f.terminado) AS tardias FROM p JOIN f USING (trabajo) GROUP BY ALL),
-s AS (SELECT f.trabajo, CASE WHEN terminado IS NOT NULL AND fallo = terminado THEN 'error' WHEN terminado IS NOT NULL THEN 'cancelado' WHEN iniciado IS NOT NULL OR coalesce(hechas, 0) > 0 THEN 'procesando' ELSE 'pendiente' END AS estado, coalesce(hechas, 0) AS hechas, coalesce(tardias, 0) AS tardias, terminado FROM f LEFT JOIN q USING (trabajo))"""
+x AS (SELECT e.trabajo, 'pagina ' || min(pagina) AS fallida FROM e JOIN f USING (trabajo) WHERE evento = 'page_failed' AND e.ts = f.fallo GROUP BY e.trabajo),
+s AS (SELECT f.trabajo, CASE WHEN fallo = terminado OR cancelado = terminado THEN 'error' WHEN terminado IS NOT NULL THEN 'listo' WHEN iniciado IS NOT NULL OR coalesce(hechas, 0) > 0 THEN 'procesando' ELSE 'pendiente' END AS estado, coalesce(hechas, 0) AS hechas, total, coalesce(tardias, 0) AS tardias, CASE WHEN fallo = terminado THEN fallida WHEN cancelado = terminado THEN 'cancelado' END AS error, terminado FROM f LEFT JOIN q USING (trabajo) LEFT JOIN x USING (trabajo))"""
 
 # Sentences: marks are masked and replaced by separators, since this engine's patterns can't look around.
 EDGE = r" \t\-–—•·"
@@ -103,7 +120,6 @@ PARTS = r"list_filter(list_transform(list_filter(regexp_split_to_array(texto, '\
 FLAGS = rf"""fl AS (SELECT libro, pagina, pos, trozo, texto, {n('texto', STUDY)} AS palabras, {n('texto', chr(92) + 'p{Nd}')} AS cifras, {PARTS} AS partes FROM pc),
 fg AS (SELECT *, len(list_filter(partes, lambda y: regexp_matches(y, '^\p{{L}}+(?:[-''’]\p{{L}}+)*$') AND CASE WHEN length(y) = 1 THEN lower(y) IN ('a', 'e', 'o', 'u', 'y') ELSE regexp_matches(y, '(?i)[aeiouáéíóúüy]') END)) AS buenas, len(list_filter(partes, lambda y: regexp_matches(y, '^\p{{Nd}}+(?:[.,]\p{{Nd}}+)*%?$'))) AS numeros FROM fl),
 fh AS (SELECT *, len(partes) > 0 AND buenas + numeros >= 0.85::DOUBLE * len(partes) AND buenas >= 0.5::DOUBLE * len(partes) AS legible FROM fg)"""
-NATIVE = "nb AS (SELECT * FROM b WHERE confianza IS NULL)"
 KEPT = f"""us AS (SELECT libro, pagina, pos, trozo, texto, {fold('texto')} AS clave FROM fh WHERE palabras BETWEEN 6 AND 60 AND cifras <= palabras AND legible),
 fi AS (SELECT *, row_number() OVER (PARTITION BY libro, clave ORDER BY pagina, pos, trozo, texto) AS k FROM us),
 se AS (SELECT libro, (row_number() OVER (PARTITION BY libro ORDER BY pagina, pos, trozo) - 1)::INT AS orden, pagina, texto FROM fi WHERE k = 1)"""
@@ -140,8 +156,14 @@ def without(source: str, phrases: str, out: str, last: bool) -> str:
 {out} AS (SELECT libro, pagina, pos, CASE WHEN d = 0 THEN texto WHEN d >= len(w) THEN '' ELSE regexp_replace(texto, {cut}, '') END AS texto, confianza FROM {out}4)"""
 
 
-HEADERLESS = f"{PAGES}, {NATIVE}, {border('nb')}, {without('nb', 'hr', 'n1', False)}, {border('n1', True)}, {without('n1', 'fr', 'n2', True)}"
-SENTENCES = f"WITH {HEADERLESS}, {pieces('n2')}, {FLAGS}, {KEPT}"
+
+
+def sentences(pages: str, more: str = "") -> str:
+    """CTEs that end in se: the sentences of the pages ``pages``, which ``more`` may define."""
+    return f"WITH {PAGES}{more}, {border(pages)}, {without(pages, 'hr', 'n1', False)}, {border('n1', True)}, {without('n1', 'fr', 'n2', True)}, {pieces('n2')}, {FLAGS}, {KEPT}"
+
+
+SENTENCES = sentences("b")
 
 STOPS = quoted(sorted(set(STOP_STUDY)))
 TOKENS = f"""g1 AS (SELECT libro, orden, regexp_extract_all(texto, '{STUDY}') AS w FROM se),
@@ -199,16 +221,29 @@ dd AS (SELECT libro, orden, pagina, texto, CASE WHEN k1 THEN t1 WHEN k2 THEN t2
 df AS (SELECT *, array_to_string(list_filter(list_transform(regexp_extract_all(termino, '{STUDY}'), lambda x: CASE WHEN length({fold('x')}) < 3 OR {fold('x')} IN ({STOPS}) THEN '' ELSE {fold('x')} END), lambda x: x <> ''), ' ') AS clave FROM dd)"""
 
 
-#: Sentences put at the end of pages by their place, so that definitions have something to find; two of them define nothing.
-DEFINING = (
-    "La célula es la unidad básica de todos los seres vivos.",
-    "Domesticar significa crear lazos con otro ser vivo.",
-    "El paso del agua líquida a vapor por el calor se llama evaporación.",
-    "Fotosíntesis: proceso con que las plantas hacen su propio alimento.",
-    "El desierto es bello por la noche y frío al amanecer.",
-    "Materiales: limón, ruda, tilo, agua, sal y azúcar.",
+KEPT_KEYS = "ol AS (SELECT libro, list({'clave': clave, 'veces': veces} ORDER BY puesto) AS c FROM rc GROUP BY libro), od AS (SELECT libro, list_reduce(list_transform(c, lambda x: [x]), lambda a, x: CASE WHEN len(list_filter(a, lambda s: (contains(s.clave, x[1].clave) OR contains(x[1].clave, s.clave)) AND abs(s.veces - x[1].veces) <= x[1].veces * 0.4::DOUBLE)) > 0 THEN a ELSE list_concat(a, x) END)[1:60] AS k FROM ol), oe AS (SELECT libro, unnest(k) AS x, generate_subscripts(k, 1) AS puesto FROM od)"
+#: Sentences that explain, by the flags of PRED.
+EXPLAINS = r"NOT (dialogo OR persona OR actividad OR regexp_matches(texto, '^\p{Ll}') OR len(texto) - len(replace(texto, ',', '')) >= 3)"
+
+
+def names(c: str, term: str) -> str:
+    return f"regexp_matches({fold(c)}, '(^|[^a-z0-9])' || regexp_escape({fold(term)}) || '($|[^a-z0-9])') AND regexp_matches({fold(term)}, '[a-z0-9]')"
+
+
+# The concepts of each book from the sentences of confident pages: definitions first, then frequent terms.
+CONCEPTS = (
+    sentences("cb", ", cb AS (SELECT * FROM b WHERE confianza IS NULL OR confianza >= 0.6::DOUBLE)")
+    + DEFINITIONS
+    + rf""", {TOKENS}, {RANK}, {KEPT_KEYS},
+kk AS (SELECT libro, puesto, x.clave AS clave FROM oe),
+dg AS (SELECT df.*, row_number() OVER (PARTITION BY libro, df.clave ORDER BY orden) AS k FROM df WHERE clave <> '' AND (fuerte OR (libro, clave) IN (SELECT (libro, clave) FROM kk))),
+mf AS (SELECT libro, clave, forma, row_number() OVER (PARTITION BY libro, clave ORDER BY count(*) DESC, min((orden, i))) AS k FROM gr WHERE (libro, clave) IN (SELECT (libro, clave) FROM kk) GROUP BY libro, clave, forma),
+ky AS (SELECT libro, CASE WHEN fuerte THEN 0 ELSE 1 END AS nivel, orden AS lugar, clave, termino FROM dg WHERE k = 1 UNION ALL SELECT kk.libro, 2, puesto, kk.clave, forma FROM kk JOIN mf ON kk.libro = mf.libro AND kk.clave = mf.clave AND mf.k = 1 WHERE (kk.libro, kk.clave) NOT IN (SELECT (libro, clave) FROM dg WHERE k = 1)),
+pr AS (SELECT libro, orden, texto, {PRED} FROM se),
+us2 AS (SELECT ky.libro, ky.clave, count(*) AS n, bool_or({EXPLAINS}) AS alguna FROM ky JOIN pr ON ky.libro = pr.libro AND {names('texto', 'termino')} GROUP BY ALL),
+ft AS (SELECT ky.*, row_number() OVER (PARTITION BY ky.libro ORDER BY nivel, lugar, ky.clave) AS puesto FROM ky LEFT JOIN us2 USING (libro, clave) WHERE nivel < 2 OR (n >= 2 AND alguna)),
+co AS (SELECT libro, puesto, CASE WHEN regexp_matches(termino, '^\p{{Lu}}') THEN termino ELSE lower(termino) END AS termino FROM ft WHERE puesto <= 12)"""
 )
-DECORATED = SENTENCES.replace(NATIVE, "nb AS (SELECT libro, pagina, pos, coalesce(texto, '') || chr(10) || CASE pos % 6 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(DEFINING)) + " END AS texto, confianza FROM b WHERE confianza IS NULL)")
 
 ORACLES = {
     "readability": DOCS + " SELECT doc_id, palabras, oraciones, silabas, silabas_por_palabra, palabras_por_oracion, round(puntuacion, 6) AS puntuacion, nivel FROM r",
@@ -233,9 +268,9 @@ SELECT fila_id, palabras, CASE WHEN materia IS NULL OR materia NOT IN ({quoted(S
     "page_list_parse": "SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN array_to_string(list_sort(list_distinct([doc_id % 7, doc_id % 3, 12])), ',') END AS paginas FROM documents",
     "repeated_header": f"WITH {PAGES}, {border('b')} SELECT * FROM hr",
     "without_headers": f"WITH {PAGES}, {border('b')}, {without('b', 'hr', 'n1', False)}, {border('n1', True)}, {without('n1', 'fr', 'n2', True)} SELECT libro, pagina, pos, length(texto) AS largo FROM n2",
-    "sentence_split": f"WITH {PAGES}, {NATIVE}, {pieces('nb')} SELECT libro, pagina, pos, trozo, texto FROM pc",
-    "sentence_filters": f"WITH {PAGES}, {NATIVE}, {pieces('nb')}, {FLAGS} SELECT libro, pagina, pos, trozo, palabras, cifras, legible FROM fh",
-    "sentence_dedup": f"WITH {PAGES}, {NATIVE}, {pieces('nb')}, {FLAGS}, {KEPT} SELECT * FROM se",
+    "sentence_split": f"WITH {PAGES}, {pieces('b')} SELECT libro, pagina, pos, trozo, texto FROM pc",
+    "sentence_filters": f"WITH {PAGES}, {pieces('b')}, {FLAGS} SELECT libro, pagina, pos, trozo, palabras, cifras, legible FROM fh",
+    "sentence_dedup": f"WITH {PAGES}, {pieces('b')}, {FLAGS}, {KEPT} SELECT * FROM se",
     "sentences": SENTENCES + " SELECT * FROM se",
     "sentence_predicates": SENTENCES + f", pr AS (SELECT libro, orden, texto, {PRED} FROM se) SELECT libro, orden, dialogo, persona, actividad, mayusculas, NOT (dialogo OR persona OR actividad OR regexp_matches(texto, '^\\p{{Ll}}') OR len(texto) - len(replace(texto, ',', '')) >= 3) AS explica FROM pr",
     "ngram_freq": SENTENCES + f", {TOKENS} SELECT libro, clave, count(*)::INT AS veces FROM gr GROUP BY ALL",
@@ -252,18 +287,27 @@ SELECT fila_id, palabras, CASE WHEN materia IS NULL OR materia NOT IN ({quoted(S
     "ocr_confidence": f"WITH {WORDS} SELECT doc, pagina, round(coalesce(avg(CASE WHEN conf >= 0 THEN conf END) / 100, 0), 6) AS confianza FROM w3 GROUP BY ALL",
     "ocr_clean": rf"WITH q AS (SELECT DISTINCT reconocida_id, texto FROM paginas_reconocidas), l AS (SELECT reconocida_id, list_filter(list_transform(string_split({JOIN.replace('X', LIGATED)}, chr(10)), lambda y: {CLEAN_LINE}), lambda y: y = '' OR len(regexp_extract_all(y, '\p{{L}}')) >= 0.4::DOUBLE * len(regexp_extract_all(y, '\S'))) AS a FROM q) SELECT reconocida_id, md5(regexp_replace(regexp_replace(regexp_replace(array_to_string(a, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+', ''), '\s+$', '')) AS huella FROM l",
     "hyphen_join": rf"SELECT DISTINCT reconocida_id, md5({JOIN.replace('X', chr(99) + 'oalesce(texto, ' + chr(39) * 2 + ')')}) AS huella FROM paginas_reconocidas",
-    "cer_folded": f"WITH {CER} SELECT pagina, caracteres, errores, round(errores::DOUBLE / caracteres, 9) AS cer FROM c",
+    "cer_pages": f"WITH {CER} SELECT pagina, caracteres, errores, round(errores::DOUBLE / caracteres, 9) AS cer FROM c",
     "cer_order_free": f"WITH {CER} SELECT pagina, errores_sin_orden FROM c",
     "cer_summary": f"WITH {CER} SELECT count(*) AS paginas, round(sum(errores)::DOUBLE / sum(caracteres) FILTER (caracteres > 0), 9) AS cer_global, round(sum(errores_sin_orden)::DOUBLE / sum(caracteres) FILTER (caracteres > 0), 9) AS cer_sin_orden, round(median(errores::DOUBLE / nullif(caracteres, 0)), 9) AS cer_mediana, round(avg(confianza), 9) AS confianza_media, round(avg(segundos), 9) AS segundos_por_pagina FROM c",
+    "term_coverage": CONCEPTS + f" SELECT se.libro, se.orden, count(DISTINCT termino)::INT AS cuantos FROM se JOIN co ON se.libro = co.libro AND {names('texto', 'termino')} GROUP BY ALL",
+    "extracted_text": r"""WITH q AS (SELECT DISTINCT reconocida_id, regexp_replace(coalesce(texto, ''), '([\p{L}\p{M}\p{N}_])-\s*\n\s*([\p{L}\p{M}\p{N}_])', '\1\2', 'g') AS x FROM paginas_reconocidas),
+l AS (SELECT reconocida_id, string_split(x, chr(10)) AS a FROM q),
+m AS (SELECT reconocida_id, array_to_string(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN i = 1 THEN '' WHEN regexp_matches(a[i-1], '[.:;]$') OR (a[i-1] = '' AND i > 2) OR regexp_matches(array_to_string(a[i:], chr(10)), '^\s*[A-ZÁÉÍÓÚÑ0-9]') THEN chr(10) ELSE ' ' END || a[i]), '') AS x FROM l)
+SELECT DISTINCT reconocida_id, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+', ''), '\s+$', '')) AS largo FROM m""",
+    "pages_json": f"WITH {PAGES} SELECT libro, pagina, 0 AS pos, length(texto) AS largo, round(confianza, 9) AS confianza FROM b",
+    "requested_pages": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'lista no valida' WHEN doc_id % 7 = 0 OR doc_id % 3 = 0 OR doc_id % 7 > doc_id % 15 OR doc_id % 3 > doc_id % 15 OR 12 > doc_id % 15 THEN 'pagina inexistente' END AS motivo FROM documents",
+    "recogniser_hook": "SELECT DISTINCT trabajo AS doc, numero AS pagina, CASE WHEN numero % 7 <> 0 THEN trabajo || ':' || numero END AS texto, CASE WHEN numero % 7 <> 0 THEN 0.5::DOUBLE END AS confianza, CASE WHEN numero % 7 = 0 THEN 'ilegible' END AS error FROM paginas_reconocidas WHERE trabajo IS NOT NULL AND numero IS NOT NULL",
+    "stream_windows": "WITH e AS (SELECT DISTINCT ON (evento_id) * FROM eventos_ocr WHERE ts IS NOT NULL), w AS (SELECT date_trunc('day', ts AT TIME ZONE 'UTC') AS desde, evento FROM e), m AS (SELECT max(ts AT TIME ZONE 'UTC') - INTERVAL 7 DAY AS marca FROM e) SELECT strftime(desde, '%Y-%m-%d') AS desde, count(*) FILTER (evento = 'page_done') AS hechas, count(*) FILTER (evento = 'page_failed') AS fallidas FROM w, m WHERE desde + INTERVAL 1 DAY <= marca GROUP BY ALL",
     "confusion_matrix": GRADED + " SELECT real, predicho, n FROM f",
     "class_report": GRADED + REPORT + " SELECT clase, round(p, 9) AS precision, round(r, 9) AS recall, round(f1, 9) AS f1, soporte FROM z",
     "overall_report": GRADED + REPORT + " SELECT round((SELECT sum(CASE WHEN real = predicho THEN n ELSE 0 END)::DOUBLE / sum(n) FROM f), 9) AS exactitud, round(avg(p), 9) AS macro_precision, round(avg(r), 9) AS macro_recall, round(avg(f1), 9) AS macro_f1, round(sum(p * soporte) / sum(soporte), 9) AS ponderado_precision, round(sum(r * soporte) / sum(soporte), 9) AS ponderado_recall, round(sum(f1 * soporte) / sum(soporte), 9) AS ponderado_f1 FROM z",
     "majority_baseline": STRATA + ", b AS (SELECT materia AS clase FROM t WHERE parte = 'entrenamiento' AND materia IS NOT NULL GROUP BY materia ORDER BY count(*) DESC, materia LIMIT 1) SELECT clase, round(avg(CASE WHEN materia = clase THEN 1.0 ELSE 0 END), 9) AS exactitud FROM t, b WHERE parte = 'prueba' AND materia IS NOT NULL GROUP BY clase",
     "stratified_split": STRATA + " SELECT ejemplo_id, parte FROM t",
     "level_accuracy": rf"WITH {EX}, y0 AS (SELECT ejemplo_id, texto, archivo, regexp_extract(grado, '^([1-6])[a-z]*_primaria$', 1) AS y FROM e), y1 AS (SELECT * FROM y0 WHERE y <> '' AND NOT coalesce(contains(archivo, 'material_manipulable'), false)), {read('y1', 'ejemplo_id', 'texto')} SELECT count(*) AS libros, count(*) FILTER (CASE WHEN y::INT <= 3 THEN puntuacion >= 83 ELSE puntuacion < 83 AND puntuacion >= 60 END) AS aciertos, count(*) FILTER (CASE WHEN y::INT <= 3 THEN round(puntuacion, 2) >= 90 ELSE round(puntuacion, 2) < 90 AND round(puntuacion, 2) >= 75 END) AS aciertos_clasicos, round(min(puntuacion), 6) AS minimo FROM r",
-    "job_status": f"WITH {EVENTS} SELECT trabajo, estado, hechas, tardias FROM s",
-    "job_pages": "SELECT trabajo, array_to_string(list_sort(list_distinct(list(pagina))), ',') AS paginas FROM eventos_ocr WHERE evento = 'page_done' AND pagina IS NOT NULL GROUP BY trabajo",
+    "job_status": f"WITH {EVENTS} SELECT trabajo, estado, hechas, total, tardias, error FROM s",
+    "job_pages": f"WITH {EVENTS} SELECT p.trabajo, array_to_string(list_sort(list(pagina)), ',') AS paginas FROM p JOIN s USING (trabajo) WHERE estado = 'listo' AND hecha <= terminado GROUP BY p.trabajo",
     "job_purge": f"WITH {EVENTS} SELECT trabajo, estado FROM s WHERE terminado IS NOT NULL AND epoch_us(TIMESTAMP '2025-01-01 00:00:00') - epoch_us(terminado) > 1800 * 1000000",
-    "definition_match": DECORATED + DEFINITIONS + " SELECT libro, orden, pagina, clave, termino, fuerte, texto FROM df WHERE clave <> ''",
-    "first_definition": DECORATED + DEFINITIONS + f", {TOKENS}, {RANK}, ol AS (SELECT libro, list({{'clave': clave, 'veces': veces}} ORDER BY puesto) AS c FROM rc GROUP BY libro), od AS (SELECT libro, unnest(list_reduce(list_transform(c, lambda x: [x]), lambda a, x: CASE WHEN len(list_filter(a, lambda s: (contains(s.clave, x[1].clave) OR contains(x[1].clave, s.clave)) AND abs(s.veces - x[1].veces) <= x[1].veces * 0.4::DOUBLE)) > 0 THEN a ELSE list_concat(a, x) END)[1:60]).clave AS clave FROM ol), dg AS (SELECT df.*, row_number() OVER (PARTITION BY libro, df.clave ORDER BY orden) AS k FROM df WHERE clave <> '' AND (fuerte OR (libro, clave) IN (SELECT (libro, clave) FROM od))) SELECT libro, clave, orden, pagina, termino, fuerte, texto FROM dg WHERE k = 1",
+    "definition_match": SENTENCES + DEFINITIONS + " SELECT libro, orden, pagina, clave, termino, fuerte, texto FROM df WHERE clave <> ''",
+    "first_definition": SENTENCES + DEFINITIONS + f", {TOKENS}, {RANK}, ol AS (SELECT libro, list({{'clave': clave, 'veces': veces}} ORDER BY puesto) AS c FROM rc GROUP BY libro), od AS (SELECT libro, unnest(list_reduce(list_transform(c, lambda x: [x]), lambda a, x: CASE WHEN len(list_filter(a, lambda s: (contains(s.clave, x[1].clave) OR contains(x[1].clave, s.clave)) AND abs(s.veces - x[1].veces) <= x[1].veces * 0.4::DOUBLE)) > 0 THEN a ELSE list_concat(a, x) END)[1:60]).clave AS clave FROM ol), dg AS (SELECT df.*, row_number() OVER (PARTITION BY libro, df.clave ORDER BY orden) AS k FROM df WHERE clave <> '' AND (fuerte OR (libro, clave) IN (SELECT (libro, clave) FROM od))) SELECT libro, clave, orden, pagina, termino, fuerte, texto FROM dg WHERE k = 1",
 }

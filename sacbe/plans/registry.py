@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from sacbe.functions import text as tx
 from sacbe.functions.vocabulary import LEVEL_NAMES, SUBJECT_NAMES
 from sacbe.operators import corpus, definitions, evaluation, jobs, materials, ocr, pages, ranking, readability, router, sentences, terms, timeline
-from sacbe.plans.oracles import DEFINING, ORACLES  # noqa: F401
+from sacbe.plans.oracles import ORACLES  # noqa: F401
+from sacbe.sources import files
 from sacbe.storage import materialize, table
+from sacbe.streaming import jobs as stream
 
 #: Least confidence of scanned pages used for study materials.
 CONFIDENCE = 0.6
@@ -23,22 +25,13 @@ def book_pages(spark: SparkSession, d: str) -> DataFrame:
     return pages.book_pages(table(spark, d, "paginas"))
 
 
-def native_pages(spark: SparkSession, d: str) -> DataFrame:
-    return book_pages(spark, d).filter("confianza is null")
-
-
 def book_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences of the books' native pages, written once for the steps that follow."""
-    return materialize(sentences.sentences(native_pages(spark, d)), "sentences")
-
-
-def defining_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences of native pages with a sentence that may define something put at the end of each page."""
-    more = F.element_at(F.array(*map(F.lit, DEFINING)), (F.pmod("pos", F.lit(len(DEFINING))) + 1).cast("int"))
-    return materialize(sentences.sentences(native_pages(spark, d).withColumn("texto", F.concat(tx.text("texto"), F.lit("\n"), more))), "sentences")
+    """Sentences of all pages of the books, written once for the steps that follow."""
+    return materialize(sentences.sentences(book_pages(spark, d)), "sentences")
 
 
 def study_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of the pages that concepts, flashcards and quizzes are made of."""
     return materialize(sentences.sentences(pages.confident(book_pages(spark, d), CONFIDENCE)), "sentences")
 
 
@@ -47,7 +40,7 @@ def examples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def raw_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.pieces(native_pages(spark, d))
+    return sentences.pieces(book_pages(spark, d))
 
 
 def ocr_words(spark: SparkSession, d: str) -> DataFrame:
@@ -120,6 +113,29 @@ def routed(s, d, explain):
     return router.predict(x, model, "ejemplo_id", "texto", explain)
 
 
+def read_by_name(doc: str, page: int) -> tuple[str, float]:
+    """A recogniser that knows a page by its name and can't read every seventh one."""
+    if page % 7 == 0:
+        raise ValueError("ilegible")
+    return f"{doc}:{page}", 0.5
+
+
+def q_recognised(s, d):
+    asked = table(s, d, "paginas_reconocidas").filter("trabajo is not null and numero is not null").select(F.col("trabajo").alias("doc"), F.col("numero").alias("pagina")).distinct()
+    return files.recognise(asked, read_by_name)
+
+
+def q_requested(s, d):
+    asked = F.concat(F.lit("["), F.pmod("doc_id", F.lit(7)).cast("string"), F.lit(", "), F.pmod("doc_id", F.lit(3)).cast("string"), F.lit(",12"), F.when(F.pmod("doc_id", F.lit(5)) == 0, "x").otherwise("]"))
+    return files.requested_pages(documents(s, d).select("doc_id", asked.alias("lista"), F.pmod("doc_id", F.lit(15)).alias("total")), "lista", "total").select("doc_id", "motivo")
+
+
+def q_stream(s, d):
+    """The job events run through as a stream, the closed windows written as they close."""
+    events = stream.event_stream(s, f"{d}/eventos_ocr*.parquet", 1_000_000)
+    return stream.run_to_table(stream.pages_per_window(events)).select(F.date_format("desde", "yyyy-MM-dd").alias("desde"), "hechas", "fallidas")
+
+
 QUERIES = {
     "readability": q_readability,
     "level_band": q_level_band,
@@ -142,7 +158,7 @@ QUERIES = {
     "without_headers": lambda s, d: pages.without_headers(book_pages(s, d)).select("libro", "pagina", "pos", F.length("texto").alias("largo")),
     "sentence_split": lambda s, d: raw_pieces(s, d).select("libro", "pagina", "pos", "trozo", "texto"),
     "sentence_filters": q_piece_flags,
-    "sentence_dedup": lambda s, d: sentences.sentences(native_pages(s, d), headers=False),
+    "sentence_dedup": lambda s, d: sentences.sentences(book_pages(s, d), headers=False),
     "sentences": book_sentences,
     "sentence_predicates": q_predicates,
     "ngram_freq": lambda s, d: terms.ngram_counts(terms.ngrams(book_sentences(s, d))),
@@ -152,8 +168,8 @@ QUERIES = {
     "tfidf_weights": lambda s, d: terms.tfidf(book_sentences(s, d)).select("libro", "orden", "termino", F.round("peso", 6).alias("peso")),
     "sentence_similarity": lambda s, d: terms.similar_sentences(materialize(terms.tfidf(book_sentences(s, d)), "weights")).select("libro", "a", "b", F.round("similitud", 6).alias("similitud")),
     "term_coverage": lambda s, d: (lambda x: materials.term_coverage(x, materials.concepts(x)[0]))(study_sentences(s, d)),
-    "definition_match": lambda s, d: definitions.definitions(defining_sentences(s, d)),
-    "first_definition": lambda s, d: (lambda x: definitions.first_definitions(definitions.definitions(x), terms.without_overlaps(terms.ranked_candidates(terms.ngram_counts(terms.ngrams(x))))))(defining_sentences(s, d)),
+    "definition_match": lambda s, d: definitions.definitions(book_sentences(s, d)),
+    "first_definition": lambda s, d: (lambda x: definitions.first_definitions(definitions.definitions(x), terms.without_overlaps(terms.ranked_candidates(terms.ngram_counts(terms.ngrams(x))))))(book_sentences(s, d)),
     "timeline_dates": lambda s, d: timeline.events(book_sentences(s, d)),
     "timeline_first": lambda s, d: timeline.first_events(timeline.events(book_sentences(s, d))),
     "timeline_even_sample": q_timeline,
@@ -163,18 +179,22 @@ QUERIES = {
     "ocr_clean": lambda s, d: table(s, d, "paginas_reconocidas").select("reconocida_id", F.md5(tx.clean_recognised(tx.text("texto"))).alias("huella")).distinct(),
     "hyphen_join": lambda s, d: table(s, d, "paginas_reconocidas").select("reconocida_id", F.md5(tx.join_hyphens(tx.text("texto"))).alias("huella")).distinct(),
     "extracted_text": lambda s, d: table(s, d, "paginas_reconocidas").select("reconocida_id", F.length(tx.normalize_extracted(tx.text("texto"))).alias("largo")).distinct(),
-    "cer_folded": lambda s, d: ocr.error_rates(table(s, d, "evaluacion_ocr"), prepare=ocr.plain).select("pagina", "caracteres", "errores", F.round("cer", 9).alias("cer")),
-    "cer_order_free": lambda s, d: ocr.error_rates(table(s, d, "evaluacion_ocr"), prepare=ocr.plain).select("pagina", "errores_sin_orden"),
-    "cer_summary": lambda s, d: ocr.error_summary(ocr.error_rates(table(s, d, "evaluacion_ocr"), prepare=ocr.plain)).select("paginas", *[F.round(c, 9).alias(c) for c in ("cer_global", "cer_sin_orden", "cer_mediana", "confianza_media", "segundos_por_pagina")]),
+    "cer_pages": lambda s, d: ocr.error_rates(table(s, d, "evaluacion_ocr")).select("pagina", "caracteres", "errores", F.round("cer", 9).alias("cer")),
+    "cer_order_free": lambda s, d: ocr.error_rates(table(s, d, "evaluacion_ocr")).select("pagina", "errores_sin_orden"),
+    "cer_summary": lambda s, d: ocr.error_summary(ocr.error_rates(table(s, d, "evaluacion_ocr"))).select("paginas", *[F.round(c, 9).alias(c) for c in ("cer_global", "cer_sin_orden", "cer_mediana", "confianza_media", "segundos_por_pagina")]),
     "confusion_matrix": lambda s, d: evaluation.confusion(labelled(s, d), "real", "predicho"),
     "class_report": lambda s, d: evaluation.class_report(evaluation.confusion(labelled(s, d), "real", "predicho")).select("clase", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "soporte"),
     "overall_report": lambda s, d: (lambda r: r.select(*[F.round(c, 9).alias(c) for c in r.columns]))(evaluation.overall(evaluation.confusion(labelled(s, d), "real", "predicho"))),
     "majority_baseline": lambda s, d: (lambda x: evaluation.majority_baseline(x.filter("parte = 'entrenamiento' and materia is not null"), x.filter("parte = 'prueba' and materia is not null"), "materia").select("clase", F.round("exactitud", 9).alias("exactitud")))(stratified(s, d)),
     "stratified_split": lambda s, d: stratified(s, d).select("ejemplo_id", "parte"),
     "level_accuracy": lambda s, d: evaluation.level_hits(school_years(s, d), "anio", "puntuacion").select("libros", "aciertos", "aciertos_clasicos", F.round("minimo", 6).alias("minimo")),
-    "job_status": lambda s, d: jobs.job_status(table(s, d, "eventos_ocr")).select("trabajo", "estado", "hechas", "tardias"),
-    "job_pages": lambda s, d: jobs.ordered_pages(table(s, d, "eventos_ocr")),
+    "job_status": lambda s, d: jobs.job_status(table(s, d, "eventos_ocr")).select("trabajo", "estado", "hechas", "total", "tardias", "error"),
+    "job_pages": lambda s, d: jobs.ordered_pages(table(s, d, "eventos_ocr"), jobs.job_status(table(s, d, "eventos_ocr"))),
     "job_purge": lambda s, d: jobs.expired(jobs.job_status(table(s, d, "eventos_ocr")), "2025-01-01 00:00:00").select("trabajo", "estado"),
+    "pages_json": lambda s, d: files.pages_json(book_pages(s, d).select("libro", F.to_json(F.array(F.struct("pagina", "texto", "confianza"))).alias("paginas"))).select("libro", "pagina", "pos", F.length("texto").alias("largo"), F.round("confianza", 9).alias("confianza")),
+    "requested_pages": q_requested,
+    "recogniser_hook": q_recognised,
+    "stream_windows": q_stream,
     # without SQL: iterative, greedy or learned
     "textrank": lambda s, d: ranking.sentence_scores(book_sentences(s, d)),
     "mmr_summary": lambda s, d: materials.summary(book_sentences(s, d)),

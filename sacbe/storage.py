@@ -16,13 +16,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (a single machine, as in tests) a local folder is made and set.
+    Only where the setting is absent and the master is local (a single machine, as in tests) a local folder
+    is made and set; on a cluster executors wouldn't share it, so that the setting is required.
     """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sacbe-"))
         known = spark.sparkContext.getCheckpointDir()
     return known.rstrip("/")
@@ -34,7 +37,7 @@ _written: list[str] = []
 
 
 def _careful(spark: SparkSession) -> None:
-    """Let the planner expect files to grow in memory, where the session leaves that open.
+    """Let the planner expect files to grow in memory, where the session leaves that open; ``release`` sets it back.
 
     It chooses broadcasts by the size of files; tables of ids and short codes compress so well that
     a side of some megabytes on disk can fill gigabytes.
@@ -49,9 +52,22 @@ def release(spark: SparkSession) -> int:
     while _written:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         n += bool(path.getFileSystem(conf).delete(path, True))
+    if spark.conf.get("spark.sql.sources.fileCompressionFactor") == IN_MEMORY:
+        spark.conf.unset("spark.sql.sources.fileCompressionFactor")
     return n
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_folder(spark)}/sacbe-{tag}-{uuid.uuid4().hex}"
+
+
+def kept(path: str) -> str:
+    """``path``, which ``release`` will delete."""
+    _written.append(path)
+    return path
+
+
 def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     """Write ``df`` compressed into the shared folder and read it back.
 
@@ -60,7 +76,7 @@ def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     _careful(spark)
-    path = f"{shared_folder(spark)}/sacbe-{tag}-{uuid.uuid4().hex}"
+    path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
+    kept(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sacbe.operators.jobs import job_marks
+from sacbe.storage import kept, new_path
 
 #: Events arrive up to some days late.
 LATEST = "7 days"
@@ -33,3 +34,12 @@ def run_to_end(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFram
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
+
+
+def run_to_table(df: DataFrame) -> DataFrame:
+    """Run a stream over all that is there and append its rows to a table in the shared folder, which is read back."""
+    spark = df.sparkSession
+    path = kept(new_path(spark, "stream"))
+    q = df.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", kept(new_path(spark, "marks"))).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(path)
