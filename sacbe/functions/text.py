@@ -17,8 +17,8 @@ SENTENCE_END = "[.!?…]+"
 
 #: Marks that stand apart come last: without a counterpart in PLAIN they are dropped.
 MARKS = "\u0301\u0300\u0302\u0303\u0308\u0327"
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ" + MARKS
-PLAIN = "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY"
+ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ" + "ºª" + MARKS
+PLAIN = "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCYoa"
 #: Characters stripped from the ends of sentence pieces.
 PIECE_EDGE = " \t\\-–—•·"
 
@@ -32,9 +32,20 @@ def count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern))
 
 
+#: Ligatures and what they stand for (fixed values).
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+
+
 def fold(c: Column) -> Column:
-    """Lower case without accents; the ellipsis becomes three dots."""
-    return F.lower(F.translate(F.replace(c, F.lit("…"), F.lit("...")), ACCENTED, PLAIN))
+    """Lower case without accents and ligatures; the ellipsis becomes three dots."""
+    for a, b in LIGATURES.items():
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return fold_word(F.replace(c, F.lit("…"), F.lit("...")))
+
+
+def fold_word(c: Column) -> Column:
+    """``fold`` of a word of the letters of LETTERS."""
+    return F.lower(F.translate(c, ACCENTED, PLAIN))
 
 
 def strip(c: Column) -> Column:
@@ -107,8 +118,6 @@ def join_hyphens(c: Column) -> Column:
     return F.regexp_replace(kept, rf"(\p{{L}}){hyphen}[ \t]*\n[ \t]*(\p{{L}})", "$1$2")
 
 
-#: Ligatures and what they stand for (fixed values).
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 LEAST_LETTERS = 0.4
 
 

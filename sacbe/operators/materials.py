@@ -52,15 +52,19 @@ def concepts(sentences: DataFrame, most: int = DEFAULT_COUNT["glossary"]) -> tup
     seen = uses.groupBy("libro", "clave").agg(F.count("*").alias("n"), F.bool_or("explica").alias("alguna"))
     fit = keys.join(seen, ["libro", "clave"], "left").filter("nivel < 2 or (n >= 2 and alguna)")
     place = F.row_number().over(Window.partitionBy("libro").orderBy("nivel", "lugar", "clave"))
-    top = fit.withColumn("puesto", place).filter(F.col("puesto") <= most)
+    top = materialize(fit.withColumn("puesto", place).filter(F.col("puesto") <= most), "top")
     shown = F.when(F.col("termino").rlike(r"^\p{Lu}"), F.col("termino")).otherwise(F.lower("termino"))
     got = top.select("libro", "puesto", "clave", shown.alias("termino"), (F.col("nivel") < 2).alias("es_definicion"), F.col("texto").alias("definicion"), "pagina", F.greatest(F.coalesce("n", F.lit(0)), F.col("veces")).cast("int").alias("veces"))
-    return got, uses.join(top.select("libro", "clave", "puesto"), ["libro", "clave"]).select("libro", "puesto", "orden", "pagina", "texto", "explica", "de_tema")
+    return got, materialize(uses.join(top.select("libro", "clave", "puesto"), ["libro", "clave"]).select("libro", "puesto", "orden", "pagina", "texto", "explica", "de_tema"), "chosen")
 
 
 def with_contexts(got: DataFrame, uses: DataFrame) -> DataFrame:
-    """Concepts with ``contextos`` (array of orden, pagina, texto) and a chosen context as definition where there is none."""
+    """Concepts with ``contextos`` (array of orden, pagina, texto) and a chosen context as definition where there is none.
+
+    The uses of a concept are ranked in one matrix; those of more than MATRIX_SENTENCES by joins.
+    """
     rated = uses.withColumn("prior", prior(F.col("texto")))
+    schema = "libro bigint, puesto int, mejor string, su_pagina int, contextos array<struct<orden:int,pagina:int,texto:string>>"
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("orden")
@@ -72,11 +76,34 @@ def with_contexts(got: DataFrame, uses: DataFrame) -> DataFrame:
         picks = tell.iloc[central(list(tell["texto"]), list(tell["prior"]), None, CONTEXTS)]
         return pd.DataFrame({"libro": [x["libro"].iloc[0]], "puesto": [x["puesto"].iloc[0]], "mejor": [one["texto"]], "su_pagina": [one["pagina"]], "contextos": [[{"orden": int(o), "pagina": int(p), "texto": t} for o, p, t in zip(picks["orden"], picks["pagina"], picks["texto"])]]})
 
-    chosen = rated.groupBy("libro", "puesto").applyInPandas(run, "libro bigint, puesto int, mejor string, su_pagina int, contextos array<struct<orden:int,pagina:int,texto:string>>")
-    j = got.join(chosen, ["libro", "puesto"], "left")
+    key = ["libro", "puesto"]
+    many = materialize(uses.groupBy(*key).agg(F.count("*").alias("n"), F.bool_or("explica").alias("alguna"), F.bool_or(F.col("explica") & F.col("de_tema")).alias("tema")).filter(F.col("n") > MATRIX_SENTENCES), "many")
+    if many.isEmpty():
+        chosen = rated.groupBy(*key).applyInPandas(run, schema)
+    else:
+        chosen = rated.join(many, key, "left_anti").groupBy(*key).applyInPandas(run, schema).unionByName(_contexts_by_joins(rated, many))
+    j = got.join(chosen, key, "left")
     return j.select("libro", "puesto", "termino", "es_definicion", F.coalesce("definicion", "mejor").alias("definicion"), F.coalesce("pagina", "su_pagina").alias("pagina"), "veces", "contextos")
 
 
+def _contexts_by_joins(rated: DataFrame, many: DataFrame) -> DataFrame:
+    """What ``with_contexts`` chooses for the concepts of ``many``, too many uses for a matrix."""
+    own = rated.join(many.select("libro", "puesto", "alguna", "tema"), ["libro", "puesto"])
+    tell = own.filter(F.col("explica") | ~F.col("alguna"))
+    pool = tell.filter(F.col("de_tema") | ~F.col("tema"))
+
+    def picks(some: DataFrame, count: int) -> DataFrame:
+        group = F.xxhash64("libro", "puesto")  # a group takes the place of a book
+        rows = materialize(some.select(group.alias("libro"), F.col("libro").alias("de"), "puesto", "orden", "pagina", "texto", "prior"), "group")
+        scored = sentence_scores(rows.select("libro", "orden", "texto")).join(rows.select("libro", "orden", "prior"), ["libro", "orden"])
+        got = mmr_by_joins(rows, materialize(scored.select("libro", "orden", (F.col("puntos") * F.col("prior")).alias("relevancia")), "relevance"), count)
+        return rows.join(got, ["libro", "orden"], "left_semi").drop("libro").withColumnRenamed("de", "libro")
+
+    best = picks(pool, 1).select("libro", "puesto", F.col("texto").alias("mejor"), F.col("pagina").alias("su_pagina"))
+    context = picks(tell, CONTEXTS).groupBy("libro", "puesto").agg(F.array_sort(F.collect_list(F.struct("orden", "pagina", "texto"))).alias("contextos"))
+    return best.join(context, ["libro", "puesto"])
+
+
 def glossary(sentences: DataFrame, most: int = DEFAULT_COUNT["glossary"]) -> DataFrame:
     got, uses = concepts(sentences, most)
     return with_contexts(got, uses)
@@ -135,6 +162,7 @@ def _cloze(uses, used: set) -> dict | None:
     return fit[central([u["texto"] for u in fit], [u["prior"] for u in fit], None, 1)[0]] if fit else None
 
 
+# The wording of questions and cards (here and below) is fixed.
 def _question(row) -> str:
     if not row["es_definicion"]:
         return f"¿Qué dice el libro sobre {row['termino']}?"
@@ -191,9 +219,8 @@ def quiz(sentences: DataFrame, pages: DataFrame, most: int = DEFAULT_COUNT["quiz
     rows = materialize(_book_rows(sentences, max(3 * most, 12)), "concepts")
     needed = rows.select("libro", F.explode("usos").alias("u")).select("libro", "u.pagina").distinct()
     around = pages.join(needed, ["libro", "pagina"], "left_semi").groupBy("libro", "pagina").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("texto", F.lit("")).alias("t")))), lambda x: x["t"]), " ").alias("alrededor"))
-    terms = rows.select("libro", F.col("termino").alias("otro"))
-    # which concepts a page names is found by join, so that no page text goes to the per-book step
-    there = around.join(terms, "libro").filter(contains_term(F.col("alrededor"), F.col("otro"))).groupBy("libro", "pagina").agg(F.collect_set("otro").alias("nombra"))
+    # which concepts a page names is found by joins on first words, so that no page text goes to the per-book step
+    there = sentences_with(around.select("libro", F.lit(0).alias("orden"), "pagina", F.col("alrededor").alias("texto")), rows.select("libro", "termino")).groupBy("libro", "pagina").agg(F.collect_set("termino").alias("nombra"))
     per_book = there.groupBy("libro").agg(F.map_from_entries(F.collect_list(F.struct("pagina", "nombra"))).alias("paginas"))
     full = rows.join(per_book, "libro", "left")
 

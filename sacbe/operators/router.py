@@ -7,10 +7,13 @@ classified, in Arrow batches against the broadcast model, whose size is bounded
 from __future__ import annotations
 
 import json
+import os
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 import numpy as np
 import pandas as pd
@@ -23,7 +26,9 @@ from sacbe.operators.readability import FEATURES, features
 TRAINING_ROWS, VOCABULARY = 3000, 30_000
 #: Below this probability the label is ``otro`` and the explained class is kept beside it.
 UNSURE, MOST_FREQUENT, TOP = 0.35, 0.85, 8
-STRENGTH, STEPS = 1.0, 150
+#: Inverse strength of the penalty; most steps, and the gradient at which fitting has settled.
+STRENGTH, STEPS, SETTLED = 1.0, 2000, 1e-4
+CURRENT = "current.json"
 _TOKEN = re.compile(r"\w\w+")
 
 
@@ -44,6 +49,7 @@ class Router:
     weights: np.ndarray  # (terms + numeric features, classes)
     bias: np.ndarray
     demo: bool = True
+    trained_at: str | None = None
 
     def rows(self, texts: list, numbers: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
         """Sparse TF-IDF rows of unit length, and standardized, clipped numeric rows of unit length."""
@@ -71,13 +77,34 @@ class Router:
 
     def save(self, path: str) -> None:
         order = sorted(self.terms, key=self.terms.get)
-        np.savez_compressed(path, weights=self.weights, bias=self.bias, idf=self.idf, mean=self.mean, scale=self.scale, meta=np.array(json.dumps({"classes": self.classes, "terms": order, "demo": self.demo})))
+        np.savez_compressed(path, weights=self.weights, bias=self.bias, idf=self.idf, mean=self.mean, scale=self.scale, meta=np.array(json.dumps({"classes": self.classes, "terms": order, "demo": self.demo, "trained_at": self.trained_at})))
 
     @staticmethod
     def load(path: str) -> Router:
         x = np.load(path)
         meta = json.loads(str(x["meta"]))
-        return Router(meta["classes"], {t: i for i, t in enumerate(meta["terms"])}, x["idf"], x["mean"], x["scale"], x["weights"], x["bias"], meta.get("demo", True))
+        return Router(meta["classes"], {t: i for i, t in enumerate(meta["terms"])}, x["idf"], x["mean"], x["scale"], x["weights"], x["bias"], meta.get("demo", True), meta.get("trained_at"))
+
+
+def publish(model: Router, folder: str) -> str:
+    """Store a model under a new name in a folder and make it the current one in a single step; a failure before that leaves the old one."""
+    os.makedirs(folder, exist_ok=True)
+    name = f"router-{uuid.uuid4().hex}.npz"
+    model.save(os.path.join(folder, name))
+    draft = os.path.join(folder, f".{name}.json")
+    with open(draft, "w", encoding="utf-8") as f:
+        json.dump({"model": name, "classes": model.classes, "trained_at": model.trained_at, "demo": model.demo}, f)
+    os.replace(draft, os.path.join(folder, CURRENT))
+    return name
+
+
+def current(folder: str) -> Router | None:
+    """The current model of a folder, None if there is none."""
+    path = os.path.join(folder, CURRENT)
+    if not os.path.exists(path):
+        return None
+    with open(path, encoding="utf-8") as f:
+        return Router.load(os.path.join(folder, json.load(f)["model"]))
 
 
 def fit(texts: list[str], labels: list[str], numbers: np.ndarray, demo: bool = False) -> Router:
@@ -123,11 +150,14 @@ def fit(texts: list[str], labels: list[str], numbers: np.ndarray, demo: bool = F
         if len(flat):
             grad[flat_s[starts]] = np.add.reduceat(g[row_s] * value_s[:, None], starts, axis=0)
         grad += penalty * v
+        if max(np.abs(grad).max(), np.abs(g.sum(axis=0)).max()) < SETTLED * weight.sum():
+            break
         new, newb = v - rate * grad, vb - rate * g.sum(axis=0)
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, vb = new + (t - 1) / t2 * (new - w), newb + (t - 1) / t2 * (newb - b)
         w, b, t = new, newb, t2
     model.weights, model.bias = w, b
+    model.trained_at = datetime.now(timezone.utc).isoformat(timespec="seconds")
     return model
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sacbe.functions.text import PIECE_EDGE, STUDY_WORD, count, fold, text, tokens
 from sacbe.operators.pages import without_headers
+from sacbe.storage import spread
 
 FEWEST, MOST = 6, 60
 LEGIBLE, LEGIBLE_WORDS = 0.85, 0.5
@@ -123,9 +124,7 @@ def sentences(pages: DataFrame, headers: bool = True) -> DataFrame:
     within a book: pages are numbered by running sums over the book's pages (a narrow table of counts).
     """
     own = without_headers(pages) if headers else pages
-    # Pages are few bytes but much work: without a number of partitions they would be merged into a few tasks.
-    spark = own.sparkSession
-    own = own.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "libro", "pagina", "pos")
+    own = spread(own, "libro", "pagina", "pos")
     found = usable(pieces(own)).withColumn("clave", fold(F.col("texto")))
     first = found.groupBy("libro", "clave").agg(F.min(F.struct("pagina", "pos", "trozo", "texto")).alias("m")).select("libro", "m.*")
     per_page = first.groupBy("libro", "pagina", "pos").agg(F.count("*").alias("n"))

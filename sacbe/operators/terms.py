@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sacbe.functions.text import STUDY_WORD, contains_term, fold, words
+from sacbe.functions.text import STUDY_WORD, contains_term, fold, fold_word, words
 from sacbe.functions.vocabulary import LABEL_WORDS, STOP_STUDY
 
 LONGEST, LEAST_TIMES, RANKED, KEPT, ALIKE = 3, 2, 180, 60, 0.4
@@ -15,7 +15,7 @@ SAME_SENTENCE = 0.05
 def study_tokens(c: Column) -> Column:
     """Folded words; stop words and words under three letters are empty, so that neighbours stay neighbours."""
     stop = F.array(*[F.lit(w) for w in sorted(set(STOP_STUDY))])
-    return F.transform(F.transform(words(c, STUDY_WORD), fold), lambda t: F.when((F.length(t) < 3) | F.array_contains(stop, t), "").otherwise(t))
+    return F.transform(F.transform(words(c, STUDY_WORD), fold_word), lambda t: F.when((F.length(t) < 3) | F.array_contains(stop, t), "").otherwise(t))
 
 
 def ngrams(sentences: DataFrame) -> DataFrame:

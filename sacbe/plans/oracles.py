@@ -1,6 +1,6 @@
 """SQL for a second engine that gives the same rows as the queries of the registry."""
 
-from sacbe.functions.text import ACCENTED, PLAIN
+from sacbe.functions.text import ACCENTED, LIGATURES, PLAIN
 from sacbe.functions.vocabulary import LABEL_WORDS, LEVEL_NAMES, LEXICON, STOP_ENGLISH, STOP_SPANISH, STOP_STUDY, SUBJECT_NAMES, SUBJECTS
 
 W = "[a-záéíóúüñA-ZÁÉÍÓÚÜÑ]+"
@@ -18,7 +18,9 @@ def quoted(words) -> str:
 
 
 def fold(c: str) -> str:
-    return f"lower(translate(replace({c}, '…', '...'), '{ACCENTED}', '{PLAIN}'))"
+    for a, b in {**LIGATURES, "…": "..."}.items():
+        c = f"replace({c}, '{a}', '{b}')"
+    return f"lower(translate({c}, '{ACCENTED}', '{PLAIN}'))"
 
 
 def case(c: str, names: dict) -> str:
@@ -241,8 +243,8 @@ mf AS (SELECT libro, clave, forma, row_number() OVER (PARTITION BY libro, clave
 ky AS (SELECT libro, CASE WHEN fuerte THEN 0 ELSE 1 END AS nivel, orden AS lugar, clave, termino FROM dg WHERE k = 1 UNION ALL SELECT kk.libro, 2, puesto, kk.clave, forma FROM kk JOIN mf ON kk.libro = mf.libro AND kk.clave = mf.clave AND mf.k = 1 WHERE (kk.libro, kk.clave) NOT IN (SELECT (libro, clave) FROM dg WHERE k = 1)),
 pr AS (SELECT libro, orden, texto, {PRED} FROM se),
 us2 AS (SELECT ky.libro, ky.clave, count(*) AS n, bool_or({EXPLAINS}) AS alguna FROM ky JOIN pr ON ky.libro = pr.libro AND {names('texto', 'termino')} GROUP BY ALL),
-ft AS (SELECT ky.*, row_number() OVER (PARTITION BY ky.libro ORDER BY nivel, lugar, ky.clave) AS puesto FROM ky LEFT JOIN us2 USING (libro, clave) WHERE nivel < 2 OR (n >= 2 AND alguna)),
-co AS (SELECT libro, puesto, CASE WHEN regexp_matches(termino, '^\p{{Lu}}') THEN termino ELSE lower(termino) END AS termino FROM ft WHERE puesto <= 12)"""
+ft AS (SELECT ky.*, n, row_number() OVER (PARTITION BY ky.libro ORDER BY nivel, lugar, ky.clave) AS puesto FROM ky LEFT JOIN us2 USING (libro, clave) WHERE nivel < 2 OR (n >= 2 AND alguna)),
+co AS (SELECT libro, puesto, clave, nivel < 2 AS es_definicion, greatest(coalesce(n, 0), coalesce(nz.veces, 1))::INT AS veces, CASE WHEN regexp_matches(termino, '^\p{{Lu}}') THEN termino ELSE lower(termino) END AS termino FROM ft LEFT JOIN (SELECT * FROM nc WHERE veces >= 2) nz USING (libro, clave) WHERE puesto <= 12)"""
 )
 
 ORACLES = {
@@ -290,6 +292,14 @@ SELECT fila_id, palabras, CASE WHEN materia IS NULL OR materia NOT IN ({quoted(S
     "cer_pages": f"WITH {CER} SELECT pagina, caracteres, errores, round(errores::DOUBLE / caracteres, 9) AS cer FROM c",
     "cer_order_free": f"WITH {CER} SELECT pagina, errores_sin_orden FROM c",
     "cer_summary": f"WITH {CER} SELECT count(*) AS paginas, round(sum(errores)::DOUBLE / sum(caracteres) FILTER (caracteres > 0), 9) AS cer_global, round(sum(errores_sin_orden)::DOUBLE / sum(caracteres) FILTER (caracteres > 0), 9) AS cer_sin_orden, round(median(errores::DOUBLE / nullif(caracteres, 0)), 9) AS cer_mediana, round(avg(confianza), 9) AS confianza_media, round(avg(segundos), 9) AS segundos_por_pagina FROM c",
+    "concepts": CONCEPTS + " SELECT libro, puesto::INT AS puesto, clave, termino, es_definicion, veces FROM co",
+    # Power iteration over the links of each book; every node has a link of no weight to itself, so that none is lost.
+    "textrank": SENTENCES.replace("WITH ", "WITH RECURSIVE ", 1) + f""", {WEIGHTS}, sp AS (SELECT p.libro, p.orden AS a, q.orden AS b, sum(p.peso * q.peso) AS w FROM tw p JOIN tw q ON p.libro = q.libro AND p.termino = q.termino AND p.orden <> q.orden GROUP BY ALL HAVING sum(p.peso * q.peso) >= 0.05::DOUBLE),
+nd AS (SELECT se.libro, se.orden, count(*) OVER (PARTITION BY se.libro) AS n, z FROM se LEFT JOIN (SELECT libro, a, sum(w) AS z FROM sp GROUP BY ALL) t ON se.libro = t.libro AND se.orden = t.a),
+ed AS (SELECT nd.libro, nd.orden AS a, sp.b, w / z AS p FROM sp JOIN nd ON sp.libro = nd.libro AND sp.a = nd.orden UNION ALL SELECT libro, orden, orden, 0 FROM nd),
+r AS (SELECT libro, orden, 0 AS k, 1::DOUBLE / n AS s FROM nd UNION ALL
+  SELECT ed.libro, ed.b, v.k + 1, 0.15::DOUBLE / max(v.n) + 0.85::DOUBLE * (sum(v.s * ed.p) + max(v.l) / max(v.n)) FROM (SELECT r.*, nd.n, sum(CASE WHEN z IS NULL THEN s ELSE 0 END) OVER (PARTITION BY r.libro) AS l FROM r JOIN nd ON r.libro = nd.libro AND r.orden = nd.orden WHERE k < 60) v JOIN ed ON ed.libro = v.libro AND ed.a = v.orden GROUP BY ed.libro, ed.b, v.k)
+SELECT libro, orden, round(s, 9) AS puntos FROM r WHERE k = 60""",
     "term_coverage": CONCEPTS + f" SELECT se.libro, se.orden, count(DISTINCT termino)::INT AS cuantos FROM se JOIN co ON se.libro = co.libro AND {names('texto', 'termino')} GROUP BY ALL",
     "extracted_text": r"""WITH q AS (SELECT DISTINCT reconocida_id, regexp_replace(coalesce(texto, ''), '([\p{L}\p{M}\p{N}_])-\s*\n\s*([\p{L}\p{M}\p{N}_])', '\1\2', 'g') AS x FROM paginas_reconocidas),
 l AS (SELECT reconocida_id, string_split(x, chr(10)) AS a FROM q),

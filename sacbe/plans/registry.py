@@ -168,6 +168,7 @@ QUERIES = {
     "tfidf_weights": lambda s, d: terms.tfidf(book_sentences(s, d)).select("libro", "orden", "termino", F.round("peso", 6).alias("peso")),
     "sentence_similarity": lambda s, d: terms.similar_sentences(materialize(terms.tfidf(book_sentences(s, d)), "weights")).select("libro", "a", "b", F.round("similitud", 6).alias("similitud")),
     "term_coverage": lambda s, d: (lambda x: materials.term_coverage(x, materials.concepts(x)[0]))(study_sentences(s, d)),
+    "concepts": lambda s, d: materials.concepts(study_sentences(s, d))[0].select("libro", "puesto", "clave", "termino", "es_definicion", "veces"),
     "definition_match": lambda s, d: definitions.definitions(book_sentences(s, d)),
     "first_definition": lambda s, d: (lambda x: definitions.first_definitions(definitions.definitions(x), terms.without_overlaps(terms.ranked_candidates(terms.ngram_counts(terms.ngrams(x))))))(book_sentences(s, d)),
     "timeline_dates": lambda s, d: timeline.events(book_sentences(s, d)),
@@ -196,7 +197,7 @@ QUERIES = {
     "recogniser_hook": q_recognised,
     "stream_windows": q_stream,
     # without SQL: iterative, greedy or learned
-    "textrank": lambda s, d: ranking.sentence_scores(book_sentences(s, d)),
+    "textrank": lambda s, d: ranking.sentence_scores(book_sentences(s, d)).select("libro", "orden", F.round("puntos", 9).alias("puntos")),
     "mmr_summary": lambda s, d: materials.summary(book_sentences(s, d)),
     "glossary": lambda s, d: materials.glossary(study_sentences(s, d)),
     "flashcards": lambda s, d: materials.flashcards(study_sentences(s, d)),

@@ -74,3 +74,24 @@ def recognise(pages: DataFrame, recogniser: Callable[[str, int], tuple[str, floa
 def write_metrics(df: DataFrame, path: str) -> None:
     """A full snapshot of metrics as JSON lines, in place of the one before."""
     df.write.mode("overwrite").json(path)
+
+
+#: Settings of recognition: default and least value (fixed values).
+SETTINGS = {"dpi": (300, 72), "workers": (1, 1), "most_pages": (MOST_PAGES, 1), "most_megabytes": (MOST_BYTES // 1024**2, 1), "expires_s": (1800, 1)}
+
+
+def recognition_settings(given: dict[str, str | int | None]) -> dict[str, int]:
+    """Every setting of SETTINGS, as given or by default; an error names what is no whole number, too small or unknown."""
+    if unknown := sorted(set(given) - set(SETTINGS)):
+        raise ValueError(f"unknown settings: {', '.join(unknown)}")
+    out = {}
+    for name, (default, least) in SETTINGS.items():
+        raw = str(given.get(name) if given.get(name) is not None else "").strip()
+        try:
+            value = int(raw) if raw else default
+        except ValueError:
+            raise ValueError(f"{name} must be a whole number, not {raw!r}") from None
+        if value < least:
+            raise ValueError(f"{name} must be at least {least}, not {value}")
+        out[name] = value
+    return out

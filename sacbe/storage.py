@@ -80,3 +80,15 @@ def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     kept(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, if its expected size fills fewer.
+
+    For rows that are few bytes but much work. Larger tables are left as they are read.
+    """
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    share = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(wanted, *keys) if size < share * wanted else df

@@ -1,3 +1,7 @@
+import math
+import random
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -142,7 +146,20 @@ def events(spark):
 
 def test_job_states(spark):
     got = {r["trabajo"]: (r["estado"], r["hechas"], r["tardias"]) for r in jobs.job_status(events(spark)).collect()}
-    assert got == {"a": ("error", 1, 1), "b": ("pendiente", 0, 0), "c": ("cancelado", 0, 0)}
+    assert got == {"a": ("error", 1, 1), "b": ("pendiente", 0, 0), "c": ("error", 0, 0)}
+
+
+def test_finished_jobs(spark):
+    t = "2024-01-01 00:00:{:02d}"
+    rows = [(1, "d", None, "created", t.format(0)), (2, "d", 3, "page_done", t.format(1)), (3, "d", 2, "page_done", t.format(2)), (4, "d", None, "cancelled", t.format(9)), (5, "e", 1, "page_done", t.format(1)), (6, "e", 2, "page_failed", t.format(1)), (7, "f", None, "started", t.format(1)), (8, "g", None, "created", t.format(1))]
+    own = spark.createDataFrame(rows, "evento_id bigint, trabajo string, pagina int, evento string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    status = jobs.job_status(own)
+    got = {r["trabajo"]: (r["estado"], r["hechas"], r["total"], r["error"]) for r in status.collect()}
+    assert got == {"d": ("listo", 2, 2, None), "e": ("error", 1, 2, "pagina 2"), "f": ("procesando", 0, 0, None), "g": ("pendiente", 0, 0, None)}
+    assert [tuple(r) for r in jobs.ordered_pages(own, status).collect()] == [("d", "2,3")]
+    asked = spark.createDataFrame([("d", 3), ("g", 0), ("e", 2), ("f", 1)], "trabajo string, total bigint")
+    got = {r["trabajo"]: (r["estado"], r["error"]) for r in jobs.job_status(own, asked).collect()}
+    assert got == {"d": ("error", "cancelado"), "e": ("error", "pagina 2"), "f": ("procesando", None), "g": ("listo", None)}
 
 
 def test_stream_gives_the_marks_of_the_batch(spark, tmp_path):
@@ -189,3 +206,72 @@ def test_cross_validation_refits_per_fold(spark):
     want = [1, 1, 1 - 1 / size]
     assert got["pliegues"] == 3 and abs(got["media"] - np.mean(want)) < 1e-9 and abs(got["desviacion"] - np.std(want)) < 1e-9
     assert tuple(evaluation.cross_validation(df.filter("id < 5"), "id", "texto", "materia").first()) == (0, None, None)
+
+
+def test_models_are_published_in_one_step(spark, tmp_path):
+    texts = [f"la suma del número {k} es par" for k in range(12)] + [f"la planta y el río {k} son verdes" for k in range(12)]
+    labels = ["m"] * 12 + ["n"] * 12
+    model = router.fit(texts, labels, np.zeros((24, len(router.FEATURES))))
+    assert router.current(str(tmp_path / "none")) is None
+    first = router.publish(model, str(tmp_path))
+    model.demo = True
+    assert router.publish(model, str(tmp_path)) != first
+    got = router.current(str(tmp_path))
+    assert got.classes == ["m", "n"] and got.demo and got.trained_at == model.trained_at is not None
+    x = model.rows(texts, np.zeros((24, len(router.FEATURES))))
+    assert np.allclose(got.probabilities(*x), model.probabilities(*x)) and (model.probabilities(*x).argmax(axis=1) == np.repeat([0, 1], 12)).all()
+
+
+def test_a_class_of_one_row_is_not_stratified(spark):
+    df = spark.createDataFrame([(k, "a" if k else "b") for k in range(100)], "id bigint, clase string")
+    got = corpus.stratified_split(df, "id", "clase")
+    assert got.count() == 100 and got.filter("parte = 'prueba'").count() == 25
+    with pytest.raises(ValueError):
+        corpus.enough_classes(df.filter("clase = 'a'"), "clase")
+    with pytest.raises(ValueError):
+        corpus.required(df.limit(0), "manifest")
+
+
+def slow_central(texts, prior, count):
+    """TextRank and picks by plain loops over words."""
+    words = [[w for w in re.findall(r"(?<![a-z0-9_])[a-z]{3,}(?![a-z0-9_])", ranking.fold(t)) if w not in ranking._STOP] for t in texts]
+    n = len(texts)
+    rows = []
+    for own in words:
+        row = {w: (1 + math.log(own.count(w))) * (math.log((1 + n) / (1 + sum(w in x for x in words))) + 1) for w in set(own)}
+        size = math.sqrt(sum(v * v for v in row.values())) or 1.0
+        rows.append({w: v / size for w, v in row.items()})
+    sim = [[sum(v * y.get(w, 0.0) for w, v in x.items()) for y in rows] for x in rows]
+    link = [[sim[i][j] if i != j and sim[i][j] >= 0.05 else 0.0 for j in range(n)] for i in range(n)]
+    score = [1 / n] * n
+    for _ in range(60):
+        loose = sum(score[i] for i in range(n) if not sum(link[i]))
+        score = [0.15 / n + 0.85 * (sum(score[i] * link[i][j] / sum(link[i]) for i in range(n) if sum(link[i])) + loose / n) for j in range(n)]
+    score = [a * b for a, b in zip(score, prior)]
+    top, out = max(score) or 1.0, []
+    while len(out) < min(count, n):
+        value = {i: 0.7 * score[i] / top - 0.3 * max([sim[i][j] for j in out], default=0.0) for i in range(n) if i not in out}
+        out.append(min(value, key=lambda i: (-round(value[i], 12), i)))
+    return sorted(out)
+
+
+def test_central_sentences_equal_plain_loops():
+    r = random.Random(8)
+    vocabulary = [f"pal{c}{d}" for c in "abcdefgh" for d in "xyz"]
+    for _ in range(25):
+        texts = [" ".join(r.choice(vocabulary) for _ in range(r.randint(0, 9))) for _ in range(r.randint(1, 14))]
+        prior = [r.choice([0.02, 0.4, 1.0]) for _ in texts]
+        assert ranking.central(texts, prior, None, 4) == slow_central(texts, prior, 4)
+
+
+def test_contexts_of_frequent_terms_come_from_all_uses(spark, monkeypatch):
+    r = random.Random(5)
+    words = [f"tema{c}{d}" for c in "abcdef" for d in "uvw"]
+    rows = [(1, p, k, k // 5, f"El agua {' '.join(r.choice(words) for _ in range(6))} sigue {k}.", r.random() < 0.7, r.random() < 0.4) for p in (1, 2) for k in range(30 if p == 1 else 4)]
+    uses = spark.createDataFrame(rows, "libro bigint, puesto int, orden int, pagina int, texto string, explica boolean, de_tema boolean")
+    got = spark.createDataFrame([(1, p, "agua", "agua", False, None, None, 3) for p in (1, 2)], "libro bigint, puesto int, clave string, termino string, es_definicion boolean, definicion string, pagina int, veces int")
+    want = sorted(map(tuple, materials.with_contexts(got, uses).collect()))
+    monkeypatch.setattr(materials, "MATRIX_SENTENCES", 10)
+    assert sorted(map(tuple, materials.with_contexts(got, uses).collect())) == want
+    monkeypatch.setattr(ranking, "MATRIX_SENTENCES", 10)
+    assert sorted(map(tuple, materials.with_contexts(got, uses).collect())) == want

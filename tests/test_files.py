@@ -60,3 +60,10 @@ def test_skew_is_found(angle):
     found = image.skew(image.binarize(turned))
     assert abs(found - angle) <= 0.5
     assert image.skew(np.full((50, 50), 255, np.uint8)) == 0.0
+
+
+def test_settings_are_checked():
+    assert files.recognition_settings({"dpi": "150", "workers": None})["dpi"] == 150 and files.recognition_settings({})["most_pages"] == 600
+    for bad in ({"dpi": "x"}, {"dpi": 10}, {"nada": 1}):
+        with pytest.raises(ValueError):
+            files.recognition_settings(bad)

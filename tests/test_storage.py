@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from sacbe import storage
 
 
@@ -22,3 +24,27 @@ class Session:
 
 def test_the_folder_the_cluster_names_is_used():
     assert storage.shared_folder(Session) == "hdfs://shared/checkpoints"
+
+
+class Cluster(Session):
+    class conf:
+        @staticmethod
+        def get(key, default):
+            return default
+
+    class sparkContext:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+
+def test_a_cluster_must_name_its_folder():
+    with pytest.raises(RuntimeError):
+        storage.shared_folder(Cluster)
+
+
+def test_small_tables_are_spread(spark):
+    df = spark.range(10).coalesce(1)
+    assert storage.spread(df, "id").rdd.getNumPartitions() >= 4

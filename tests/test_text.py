@@ -108,3 +108,9 @@ def test_roman(spark):
 def test_counts_of_any_text(spark, texts):
     got = column(spark, texts, tx.syllable_count)
     assert got == [sum(slow_syllables(w) for w in re.findall("[a-záéíóúüñA-ZÁÉÍÓÚÜÑ]+", t)) for t in texts]
+
+
+def test_marks_set_apart_and_ligatures(spark):
+    apart = "nin\u0303o canción ﬁn"
+    assert column(spark, [apart], tx.fold) == ["nino cancion fin"]
+    assert column(spark, [apart, "x"], tx.composed) == ["niño canción ﬁn", "x"]
