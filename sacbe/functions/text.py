@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,6 +29,11 @@ def text(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that it uses several times, computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern))
 
@@ -85,9 +91,14 @@ def roman(c: Column) -> Column:
     return F.when(F.exists(value, lambda v: v.isNull()) | (total == 0), None).otherwise(total)
 
 
+def contains_folded(sentence: Column, term: Column) -> Column:
+    """Whether a folded sentence holds a folded term as whole words."""
+    return F.coalesce(F.regexp_like(sentence, F.concat(F.lit(r"(?<![a-z0-9])\Q"), F.replace(term, F.lit("\\E"), F.lit("")), F.lit(r"\E(?![a-z0-9])"))), F.lit(False))
+
+
 def contains_term(sentence: Column, term: Column) -> Column:
     """Whether a sentence holds a term as whole words, case and accents aside."""
-    return F.coalesce(F.regexp_like(fold(sentence), F.concat(F.lit(r"(?<![a-z0-9])\Q"), F.replace(fold(term), F.lit("\\E"), F.lit("")), F.lit(r"\E(?![a-z0-9])"))), F.lit(False))
+    return contains_folded(fold(sentence), fold(term))
 
 
 _FAMILIES = ["aáàâäãå", "eéèêë", "iíìîï", "oóòôöõ", "uúùûü", "nñ", "cç", "yýÿ"]

@@ -11,7 +11,7 @@ from sacbe.operators.sentences import is_capitals, is_dialogue, is_personal, is_
 from sacbe.operators.terms import study_tokens
 
 _ARTICLE = "(?:el |la |los |las |un |una |unos |unas )?"
-# The verbs and participles that announce a definition.
+# The verbs and participles that announce a definition, and the words that weaken or confirm it.
 VERB = rf"(?iu)^{_ARTICLE}([^,;:()]{{2,45}}?)\s+(es|son|era|eran|consiste en|significa|quiere decir|se define como|se denomina|se llama|se refiere a|se conoce como|se entiende por|comprende|abarca)\s+(\S.{{15,}})$"
 NAMED = rf"(?iu)^(.{{15,}}?)\b(?:se (?:llama|denomina|conoce como)|llamad[oa]s?|denominad[oa]s?|conocid[oa]s? como)\s+{_ARTICLE}([^,;:().]{{2,45}})\.?$"
 COLON = r"(?u)^([^:]{2,45}):\s+(\S.{15,})$"
@@ -56,7 +56,8 @@ def definition(c: Column) -> Column:
 
 def definitions(sentences: DataFrame) -> DataFrame:
     """libro, orden, pagina, clave, termino, fuerte, texto of every defining sentence."""
-    d = sentences.withColumn("_d", definition(F.col("texto"))).filter("_d is not null")
+    # an exploded array of none or one: the patterns run once, not again in a filter
+    d = sentences.select("libro", "orden", "pagina", "texto", F.explode(F.filter(F.array(definition(F.col("texto"))), lambda x: x.isNotNull())).alias("_d"))
     key = F.array_join(F.filter(study_tokens(F.col("_d.termino")), lambda t: t != ""), " ")
     return d.select("libro", "orden", "pagina", key.alias("clave"), "_d.termino", "_d.fuerte", "texto").filter("clave <> ''")
 

@@ -22,8 +22,10 @@ from sacbe.storage import materialize
 DAMPING, ROUNDS, NOVELTY = 0.85, 60, 0.7
 FULL_LENGTH, CONTENT = 14, 4
 PER_TERM = 0.25
-#: Books of more sentences are ranked by joins instead of one matrix per book.
-MATRIX_SENTENCES = 3000
+#: Books of more sentences are ranked by joins instead of one matrix per book (200 MB at most).
+MATRIX_SENTENCES = 5000
+#: Rounds of ranks by joins between two writes.
+AT_ONCE = 10
 _STOP = frozenset(STOP_STUDY)
 _TERM = re.compile(r"(?<![a-z0-9_])[a-z]{3,}(?![a-z0-9_])")
 
@@ -45,17 +47,18 @@ def vectors(texts: list[str]) -> np.ndarray:
     return out / np.where(size > 0, size, 1)
 
 
-def textrank(similarity: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+def textrank(similarity: np.ndarray, rounds: int = ROUNDS, overwrite: bool = False) -> np.ndarray:
     """Scores after some rounds of power iteration; weak links don't count, sentences without links vote for all alike."""
     n = len(similarity)
-    w = np.where(similarity < SAME_SENTENCE, 0.0, similarity)
+    w = similarity if overwrite else similarity.copy()
+    w[w < SAME_SENTENCE] = 0.0
     np.fill_diagonal(w, 0.0)
     total = w.sum(axis=1)
     linked = total > 0
-    w[linked] /= total[linked, None]
+    share = np.where(linked, total, 1.0)
     score = np.full(n, 1.0 / n) if n else np.zeros(0)
-    for _ in range(rounds if n else 0):
-        score = (1 - DAMPING) / n + DAMPING * (score[linked] @ w[linked] + score[~linked].sum() / n)
+    for _ in range(rounds if n else 0):  # links go both ways: w is its own transpose
+        score = (1 - DAMPING) / n + DAMPING * (w @ (score / share) + score[~linked].sum() / n)
     return score
 
 
@@ -99,8 +102,8 @@ def mmr_by_joins(sentences: DataFrame, relevance: DataFrame, count: int) -> Data
 
 def central(texts: list[str], prior: list[float], coverage: list[int] | None, count: int) -> list[int]:
     """Positions of the most representative texts, in their order."""
-    if not texts:
-        return []
+    if len(texts) <= count:
+        return list(range(len(texts)))
     v = vectors(texts)
     sim = v @ v.T
     score = textrank(sim) * np.array(prior)
@@ -119,21 +122,31 @@ def prior(c: Column) -> Column:
 def textrank_by_joins(sentences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """libro, orden, puntos by joins over the links alone, for books too long for a matrix.
 
-    A round uses the scores twice, so each is written to the shared folder: the plan would double otherwise.
+    Links go both ways, so a sentence without links gets votes from such sentences only: all of them in a book
+    have the same score, which follows from the number of rounds. A round is one join and one aggregation of
+    the linked sentences; scores are written to the shared folder every AT_ONCE rounds.
     """
     links = similar_sentences(tfidf(sentences))
     both = links.select("libro", "a", "b", "similitud").unionByName(links.select("libro", F.col("b").alias("a"), F.col("a").alias("b"), "similitud"))
+    both = materialize(both, "links")
     total = both.groupBy("libro", "a").agg(F.sum("similitud").alias("z"))
-    step = materialize(both.join(total, ["libro", "a"]).select("libro", "a", "b", (F.col("similitud") / F.col("z")).alias("p")), "links")
-    size = sentences.groupBy("libro").agg(F.count("*").alias("n"))
-    nodes = materialize(sentences.select("libro", "orden").join(size, "libro").join(total.select("libro", F.col("a").alias("orden"), F.lit(True).alias("con")), ["libro", "orden"], "left").select("libro", "orden", "n", F.coalesce("con", F.lit(False)).alias("con")), "nodes")
-    score = nodes.select("libro", "orden", (1 / F.col("n")).alias("s"))
-    for _ in range(rounds):
-        given = score.withColumnRenamed("orden", "a").join(step, ["libro", "a"]).groupBy("libro", F.col("b").alias("orden")).agg(F.sum(F.col("s") * F.col("p")).alias("g"))
-        loose = score.join(nodes.filter(~F.col("con")).select("libro", "orden"), ["libro", "orden"], "left_semi").groupBy("libro").agg(F.sum("s").alias("l"))
-        new = nodes.join(given, ["libro", "orden"], "left").join(loose, "libro", "left")
-        score = materialize(new.select("libro", "orden", ((1 - DAMPING) / F.col("n") + DAMPING * (F.coalesce("g", F.lit(0.0)) + F.coalesce("l", F.lit(0.0)) / F.col("n"))).alias("s")), "scores")
-    return score.select("libro", "orden", F.col("s").alias("puntos"))
+    size = sentences.groupBy("libro").agg(F.count("*").alias("n")).join(total.groupBy("libro").agg(F.count("*").alias("c")), "libro", "left")
+    size = materialize(size.select("libro", "n", (F.col("n") - F.coalesce("c", F.lit(0))).alias("m")), "sizes")
+    step = materialize(both.join(total, ["libro", "a"]).select("libro", "a", "b", (F.col("similitud") / F.col("z")).alias("p")).repartition("libro", "a"), "steps")
+
+    def alone(k: int) -> Column:
+        """The score of a sentence without links after k rounds."""
+        rate = DAMPING * F.col("m") / F.col("n")
+        return (1 - DAMPING) / F.col("n") * (1 - F.pow(rate, F.lit(k))) / (1 - rate) + F.pow(rate, F.lit(k)) / F.col("n")
+
+    score = total.join(size, "libro").select("libro", F.col("a").alias("orden"), "n", "m", (1 / F.col("n")).alias("s"))
+    for k in range(rounds):
+        given = score.withColumnRenamed("orden", "a").join(step, ["libro", "a"]).groupBy("libro", F.col("b").alias("orden")).agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum(F.col("s") * F.col("p")).alias("g"))
+        score = given.select("libro", "orden", "n", "m", ((1 - DAMPING) / F.col("n") + DAMPING * (F.col("g") + F.col("m") * alone(k) / F.col("n"))).alias("s"))
+        if k % AT_ONCE == AT_ONCE - 1:
+            score = materialize(score, "scores")
+    own = sentences.select("libro", "orden").join(size, "libro").join(score.select("libro", "orden", "s"), ["libro", "orden"], "left")
+    return own.select("libro", "orden", F.coalesce("s", alone(rounds)).alias("puntos"))
 
 
 def sentence_scores(sentences: DataFrame) -> DataFrame:
@@ -147,7 +160,7 @@ def sentence_scores(sentences: DataFrame) -> DataFrame:
     def run(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("orden")
         v = vectors(list(x["texto"]))
-        return pd.DataFrame({"libro": x["libro"].to_numpy(), "orden": x["orden"].to_numpy(), "puntos": textrank(v @ v.T)})
+        return pd.DataFrame({"libro": x["libro"].to_numpy(), "orden": x["orden"].to_numpy(), "puntos": textrank(v @ v.T, overwrite=True)})
 
     out = small.select("libro", "orden", "texto").groupBy("libro").applyInPandas(run, "libro bigint, orden int, puntos double")
     if size.filter(F.col("n") > MATRIX_SENTENCES).isEmpty():

@@ -11,6 +11,7 @@ from sacbe.functions.vocabulary import LEXICON, STOP_ENGLISH, STOP_SPANISH
 #: Bands of the score: the calibrated cuts and the classic ones (fixed values).
 CUTS, CLASSIC_CUTS = (83.0, 60.0), (90.0, 75.0)
 SEGMENT = 100
+# What a heading begins with, and signs of mathematics.
 _HEADING = r"(?imu)^\s*(cap[íi]tulo|unidad|lecci[óo]n|tema|bloque|secci[óo]n)\s+(\d+|[ivxlcdm]+|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve|diez)(?![\p{L}\p{N}_])"
 _MATH = r"[+\-×÷=<>≤≥±%°√∑πΔ/*^]"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sacbe.functions.text import PIECE_EDGE, STUDY_WORD, count, fold, text, tokens
+from sacbe.functions.text import PIECE_EDGE, STUDY_WORD, count, fold, let, text, tokens
 from sacbe.operators.pages import without_headers
 from sacbe.storage import spread
 
@@ -63,10 +63,11 @@ def _is_title_word(w: Column) -> Column:
 
 def without_title(c: Column) -> Column:
     """A sentence without the words in capitals before it, if there are at least two."""
-    w = tokens(c)
-    first = F.array_position(F.transform(w, _is_title_word), False).cast("int")
-    k = F.when(first == 0, F.size(w)).otherwise(first - 1)
-    return F.when(k >= 2, F.array_join(F.slice(w, k + 1, F.greatest(F.size(w) - k, F.lit(0))), " ")).otherwise(c)
+    def rest(w: Column) -> Column:
+        first = F.array_position(F.transform(w, _is_title_word), False).cast("int")
+        return let(F.when(first == 0, F.size(w)).otherwise(first - 1), lambda k: F.when(k >= 2, F.array_join(F.slice(w, k + 1, F.greatest(F.size(w) - k, F.lit(0))), " ")))
+
+    return F.coalesce(let(tokens(c), rest), c)
 
 
 def study_words(c: Column) -> Column:
@@ -98,16 +99,22 @@ def explains(c: Column) -> Column:
 def is_legible(c: Column) -> Column:
     """Enough of the pieces are words or numbers, and enough of them words."""
     parts = F.filter(F.transform(tokens(c), lambda x: F.regexp_replace(x, r"(?U)^\W+|\W+$", "")), lambda x: x != "")
-    word = F.filter(parts, lambda x: x.rlike(r"^\p{L}+(?:[-'’]\p{L}+)*$") & F.when(F.length(x) == 1, F.lower(x).isin("a", "e", "o", "u", "y")).otherwise(x.rlike(r"(?iu)[aeiouáéíóúüy]")))
-    number = F.filter(parts, lambda x: x.rlike(r"^(?U)\d+(?:[.,]\d+)*%?$"))
-    n = F.size(parts)
-    return (n > 0) & (F.size(word) + F.size(number) >= LEGIBLE * n) & (F.size(word) >= LEGIBLE_WORDS * n)
+
+    def enough(p: Column) -> Column:
+        word = F.size(F.filter(p, lambda x: x.rlike(r"^\p{L}+(?:[-'’]\p{L}+)*$") & F.when(F.length(x) == 1, F.lower(x).isin("a", "e", "o", "u", "y")).otherwise(x.rlike(r"(?iu)[aeiouáéíóúüy]"))))
+        number = F.size(F.filter(p, lambda x: x.rlike(r"^(?U)\d+(?:[.,]\d+)*%?$")))
+        return let(word, lambda w: (F.size(p) > 0) & (w + number >= LEGIBLE * F.size(p)) & (w >= LEGIBLE_WORDS * F.size(p)))
+
+    return let(parts, enough)
 
 
 def pieces(pages: DataFrame) -> DataFrame:
-    """libro, pagina, pos, trozo, texto: cleaned pieces of each page, empty ones too."""
+    """libro, pagina, pos, trozo, texto: cleaned pieces of each page, empty ones too.
+
+    Pieces are cleaned before they become rows, so that no later filter cleans them again.
+    """
     cut = F.regexp_replace(text("texto"), SECTION_LABEL, "\n")
-    return pages.select("libro", "pagina", "pos", F.posexplode(split_pieces(cut)).alias("trozo", "t")).select("libro", "pagina", "pos", "trozo", piece_text(F.col("t")).alias("texto"))
+    return pages.select("libro", "pagina", "pos", F.posexplode(F.transform(split_pieces(cut), piece_text)).alias("trozo", "texto"))
 
 
 def usable(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sacbe.functions.text import STUDY_WORD, contains_term, fold, fold_word, words
+from sacbe.functions.text import STUDY_WORD, contains_folded, fold, fold_word, words
 from sacbe.functions.vocabulary import LABEL_WORDS, STOP_STUDY
 
 LONGEST, LEAST_TIMES, RANKED, KEPT, ALIKE = 3, 2, 180, 60, 0.4
@@ -86,8 +86,7 @@ def sentences_with(sentences: DataFrame, terms: DataFrame, term: str = "termino"
 
     Terms meet sentences on their first word, so a book's terms and sentences aren't paired blindly.
     """
-    head = F.regexp_extract(fold(F.col(term)), "[a-z0-9]+", 0)
-    t = terms.withColumn("_h", head)
-    heads = F.array_distinct(F.regexp_extract_all(fold(F.col("texto")), F.lit("[a-z0-9]+"), F.lit(0)))
-    s = sentences.select("libro", "orden", "pagina", "texto", F.explode(heads).alias("_h"))
-    return s.join(t, ["libro", "_h"]).filter(contains_term(F.col("texto"), F.col(term))).drop("_h")
+    t = terms.withColumn("_t", fold(F.col(term))).withColumn("_h", F.regexp_extract("_t", "[a-z0-9]+", 0))
+    s = sentences.select("libro", "orden", "pagina", "texto", fold(F.col("texto")).alias("_f"))
+    s = s.select("*", F.explode(F.array_distinct(F.regexp_extract_all("_f", F.lit("[a-z0-9]+"), F.lit(0)))).alias("_h"))
+    return s.join(t, ["libro", "_h"]).filter(F.contains("_f", "_t") & contains_folded(F.col("_f"), F.col("_t"))).drop("_h", "_f", "_t")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sacbe.functions.text import roman
 
 MOST_EVENTS, MOST_DATES = 14, 2
+# How dates are written.
 BEFORE_CHRIST = r"(?iu)(?<![\p{L}\p{N}_])(\d{1,4})\s*a\.?\s*(?:de\s*)?C(?![\p{L}\p{N}_])"
 YEAR = r"(?<![\d.,])(1\d{3}|20\d{2})(?![\d.,])"
 CENTURY = r"(?iu)(?<![\p{L}\p{N}_])siglos?\s+([IVXLC]{1,6})(?![\p{L}\p{N}_])"
@@ -23,7 +24,7 @@ def dates(c: Column) -> Column:
 
 def events(sentences: DataFrame) -> DataFrame:
     """libro, orden, pagina, texto, valor, fecha: the earliest date of each sentence with one or two different dates."""
-    d = sentences.withColumn("_d", dates(F.col("texto")))
+    d = sentences.select("libro", "orden", "pagina", "texto", F.explode(F.array(dates(F.col("texto")))).alias("_d"))  # so the patterns run once
     n = F.size(F.array_distinct(F.transform("_d", lambda x: x["valor"])))
     first = F.array_min(F.col("_d"))
     return d.filter(n.between(1, MOST_DATES)).select("libro", "orden", "pagina", "texto", first["valor"].alias("valor"), first["fecha"].alias("fecha"))
