@@ -448,7 +448,7 @@ def paragraph_asks(text: str | None, v: Vocabulary) -> set[tuple[str, str]]:
             else:
                 out.add(("forma", f"{a}-{b}"))
             own = [cut + own[0], *own[1:]]
-        cut = own.pop().rstrip(HYPHENS) if _HYPHEN.search(x) else None
+        cut = own.pop().rstrip(HYPHENS) if own[-1][-1] in _HYPHEN_SET and _HYPHEN.search(x) else None
         tokens += own
     wrong = set(v.wrong(tokens))
     for k, t in enumerate(tokens):
@@ -501,8 +501,7 @@ def repaired(text: str | None, furniture_lines: set[int], v: Vocabulary) -> tupl
         elif blank and paragraphs[-1]:
             paragraphs.append([])
         blank = False
-        m = _HYPHEN.search(x)
-        if m:
+        if tokens[-1][-1] in _HYPHEN_SET and _HYPHEN.search(x):
             open_word = tokens[-1].rstrip(HYPHENS)
             tokens = tokens[:-1]
         paragraphs[-1] += tokens
