@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sacbe.functions.text import STUDY_WORD, count, fold, strip
+from sacbe.functions.text import STUDY_WORD, count, fold, let, strip
 from sacbe.functions.vocabulary import LABEL_WORDS
 from sacbe.operators.sentences import is_capitals, is_dialogue, is_personal, is_task
 from sacbe.operators.terms import study_tokens
@@ -40,6 +40,8 @@ def definition(c: Column) -> Column:
     got = []
     for pattern, term_at, rest_at in ((VERB, 1, 3), (NAMED, 2, 1), (COLON, 1, 2)):
         hit = s.rlike(pattern)
+        if pattern is NAMED:  # looked for at every letter, so only where a stem of its verbs is
+            hit = (F.lower(s).contains("llama") | F.lower(s).contains("denom") | F.lower(s).contains("conoc")) & hit
         term = F.regexp_replace(F.regexp_extract(s, pattern, term_at), "^[ \"«»']+|[ \"«»']+$", "")
         rest = strip(F.regexp_extract(s, pattern, rest_at))
         ok = hit & _sound(term, rest)
@@ -51,7 +53,7 @@ def definition(c: Column) -> Column:
         if pattern is COLON:
             ok = ok & ~_is_list(rest) & ~fold(term).isin(*LABEL_WORDS)
         got.append(F.when(ok, F.struct(term.alias("termino"), strong.alias("fuerte"))))
-    return F.when(~(is_dialogue(c) | is_personal(c) | is_task(c)), F.coalesce(*got))
+    return let(F.coalesce(*got), lambda x: F.when(x.isNotNull() & ~(is_dialogue(c) | is_personal(c) | is_task(c)), x))
 
 
 def definitions(sentences: DataFrame) -> DataFrame:

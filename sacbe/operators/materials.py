@@ -10,15 +10,16 @@ import random
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sacbe.functions.text import STUDY_WORD, contains_term, cut_at_word, hide_term, tokens, words
 from sacbe.operators.definitions import definitions, first_definitions
 from sacbe.operators.pages import DEFAULT_COUNT
-from sacbe.operators.ranking import MATRIX_SENTENCES, central, fold, mmr, mmr_by_joins, prior, sentence_scores, vectors
+from sacbe.operators.ranking import MATRIX_SENTENCES, central, content_words, fold, mmr, mmr_by_joins, prior, rows_of, sentence_scores, vectors
 from sacbe.operators.sentences import explains
-from sacbe.operators.terms import LEAST_TIMES, modal_forms, ngram_counts, ngrams, ranked_candidates, sentences_with, without_overlaps
+from sacbe.operators.terms import LEAST_TIMES, form_counts, most_frequent, ngrams, ranked_candidates, sentences_with, without_overlaps
 from sacbe.storage import materialize
 
 CONTEXTS, OPENING, CLOZE_WORDS, OPTIONS = 4, 6, 32, 4
@@ -28,11 +29,11 @@ SUMMARY_TERMS = 12
 
 def concept_keys(sentences: DataFrame) -> DataFrame:
     """libro, nivel (0 strong definition, 1 weak, 2 frequent term), lugar, clave, termino, veces, and the definition's texto and pagina."""
-    grams = ngrams(sentences)
-    counts = materialize(ngram_counts(grams).filter(F.col("veces") >= LEAST_TIMES), "counts")
+    seen = materialize(form_counts(ngrams(sentences)), "forms")
+    counts = materialize(seen.groupBy("libro", "clave").agg(F.sum("n").cast("int").alias("veces")).filter(F.col("veces") >= LEAST_TIMES), "counts")
     kept = materialize(without_overlaps(ranked_candidates(counts)), "kept")
-    defined = first_definitions(definitions(sentences), kept)
-    forms = modal_forms(grams.join(kept.select("libro", "clave"), ["libro", "clave"], "left_semi"))
+    defined = materialize(first_definitions(definitions(sentences), kept), "defined")
+    forms = most_frequent(seen.join(kept.select("libro", "clave"), ["libro", "clave"], "left_semi"))
     a = defined.select("libro", F.when(F.col("fuerte"), 0).otherwise(1).alias("nivel"), F.col("orden").alias("lugar"), "clave", "termino", "texto", "pagina")
     b = kept.join(forms, ["libro", "clave"]).join(defined.select("libro", "clave"), ["libro", "clave"], "left_anti")
     b = b.select("libro", F.lit(2).alias("nivel"), F.col("puesto").alias("lugar"), "clave", F.col("forma").alias("termino"), F.lit(None).cast("string").alias("texto"), F.lit(None).cast("int").alias("pagina"))
@@ -45,21 +46,33 @@ def concepts(sentences: DataFrame, most: int = DEFAULT_COUNT["glossary"]) -> tup
     concepts: libro, puesto, termino, es_definicion, definicion, pagina, veces (definicion null for frequent
     terms until a context is chosen); uses: libro, puesto, orden, pagina, texto, explica, de_tema.
     """
+    got, named = named_concepts(sentences, most)
+    return got, with_texts(sentences, named)
+
+
+def named_concepts(sentences: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(concepts, named): as ``concepts``, with each use as libro, orden, puesto, dicho (the term before it is shown), explica, without its text."""
     keys = materialize(concept_keys(sentences), "keys")
-    uses = sentences_with(sentences, keys.select("libro", "nivel", "lugar", "clave", "termino"))
-    opening = F.array_join(F.slice(words(F.col("texto"), STUDY_WORD), 1, OPENING), " ")
-    uses = materialize(uses.withColumn("explica", explains(F.col("texto"))).withColumn("de_tema", contains_term(opening, F.col("termino"))), "uses")
+    said = sentences.withColumn("explica", explains(F.col("texto")))
+    uses = materialize(sentences_with(said, keys.select("libro", "clave", "termino")).select("libro", "orden", "clave", "explica"), "uses")
     seen = uses.groupBy("libro", "clave").agg(F.count("*").alias("n"), F.bool_or("explica").alias("alguna"))
     fit = keys.join(seen, ["libro", "clave"], "left").filter("nivel < 2 or (n >= 2 and alguna)")
     place = F.row_number().over(Window.partitionBy("libro").orderBy("nivel", "lugar", "clave"))
     top = materialize(fit.withColumn("puesto", place).filter(F.col("puesto") <= most), "top")
     shown = F.when(F.col("termino").rlike(r"^\p{Lu}"), F.col("termino")).otherwise(F.lower("termino"))
     got = top.select("libro", "puesto", "clave", shown.alias("termino"), (F.col("nivel") < 2).alias("es_definicion"), F.col("texto").alias("definicion"), "pagina", F.greatest(F.coalesce("n", F.lit(0)), F.col("veces")).cast("int").alias("veces"))
-    return got, materialize(uses.join(top.select("libro", "clave", "puesto"), ["libro", "clave"]).select("libro", "puesto", "orden", "pagina", "texto", "explica", "de_tema"), "chosen")
+    return got, materialize(uses.join(top.select("libro", "clave", "puesto", F.col("termino").alias("dicho")), ["libro", "clave"]).select("libro", "orden", "puesto", "dicho", "explica"), "named")
+
+
+def with_texts(sentences: DataFrame, named: DataFrame) -> DataFrame:
+    """Uses of concepts with the page and text of their sentence, and whether it opens with the term."""
+    opening = F.array_join(F.slice(words(F.col("texto"), STUDY_WORD), 1, OPENING), " ")
+    own = named.join(sentences.select("libro", "orden", "pagina", "texto"), ["libro", "orden"]).withColumn("de_tema", contains_term(opening, F.col("dicho")))
+    return materialize(own.select("libro", "puesto", "orden", "pagina", "texto", "explica", "de_tema"), "chosen")
 
 
-def with_contexts(got: DataFrame, uses: DataFrame) -> DataFrame:
-    """Concepts with ``contextos`` (array of orden, pagina, texto) and a chosen context as definition where there is none.
+def with_contexts(got: DataFrame, uses: DataFrame, count: int = CONTEXTS) -> DataFrame:
+    """Concepts with ``contextos`` (array of orden, pagina, texto; none if ``count`` is 0) and a chosen context as definition where there is none.
 
     The uses of a concept are ranked in one matrix; those of more than MATRIX_SENTENCES by joins.
     """
@@ -73,7 +86,7 @@ def with_contexts(got: DataFrame, uses: DataFrame) -> DataFrame:
         pool = next(t for t in tiers if len(t))
         one = pool.iloc[central(list(pool["texto"]), list(pool["prior"]), None, 1)[0]]
         tell = tell if len(tell) else x
-        picks = tell.iloc[central(list(tell["texto"]), list(tell["prior"]), None, CONTEXTS)]
+        picks = tell.iloc[central(list(tell["texto"]), list(tell["prior"]), None, count) if count else []]
         return pd.DataFrame({"libro": [x["libro"].iloc[0]], "puesto": [x["puesto"].iloc[0]], "mejor": [one["texto"]], "su_pagina": [one["pagina"]], "contextos": [[{"orden": int(o), "pagina": int(p), "texto": t} for o, p, t in zip(picks["orden"], picks["pagina"], picks["texto"])]]})
 
     key = ["libro", "puesto"]
@@ -81,12 +94,12 @@ def with_contexts(got: DataFrame, uses: DataFrame) -> DataFrame:
     if many.isEmpty():
         chosen = rated.groupBy(*key).applyInPandas(run, schema)
     else:
-        chosen = rated.join(many, key, "left_anti").groupBy(*key).applyInPandas(run, schema).unionByName(_contexts_by_joins(rated, many))
+        chosen = rated.join(many, key, "left_anti").groupBy(*key).applyInPandas(run, schema).unionByName(_contexts_by_joins(rated, many, count))
     j = got.join(chosen, key, "left")
     return j.select("libro", "puesto", "termino", "es_definicion", F.coalesce("definicion", "mejor").alias("definicion"), F.coalesce("pagina", "su_pagina").alias("pagina"), "veces", "contextos")
 
 
-def _contexts_by_joins(rated: DataFrame, many: DataFrame) -> DataFrame:
+def _contexts_by_joins(rated: DataFrame, many: DataFrame, most: int) -> DataFrame:
     """What ``with_contexts`` chooses for the concepts of ``many``, too many uses for a matrix."""
     own = rated.join(many.select("libro", "puesto", "alguna", "tema"), ["libro", "puesto"])
     tell = own.filter(F.col("explica") | ~F.col("alguna"))
@@ -100,7 +113,9 @@ def _contexts_by_joins(rated: DataFrame, many: DataFrame) -> DataFrame:
         return rows.join(got, ["libro", "orden"], "left_semi").drop("libro").withColumnRenamed("de", "libro")
 
     best = picks(pool, 1).select("libro", "puesto", F.col("texto").alias("mejor"), F.col("pagina").alias("su_pagina"))
-    context = picks(tell, CONTEXTS).groupBy("libro", "puesto").agg(F.array_sort(F.collect_list(F.struct("orden", "pagina", "texto"))).alias("contextos"))
+    if not most:
+        return best.withColumn("contextos", F.array().cast("array<struct<orden:int,pagina:int,texto:string>>"))
+    context = picks(tell, most).groupBy("libro", "puesto").agg(F.array_sort(F.collect_list(F.struct("orden", "pagina", "texto"))).alias("contextos"))
     return best.join(context, ["libro", "puesto"])
 
 
@@ -198,68 +213,91 @@ def nearest(similarity, k: int, options: list[str]) -> list[str]:
     return [o for o in dict.fromkeys(options[i] for i in order) if o != options[k]]
 
 
-def assemble(question: str, right: str, others: list[str]) -> tuple[list[str], int] | None:
-    """Options in an order fixed by the question, and the place of the right one; None if too few differ."""
+def differing(right: str, others: list[str]) -> list[str] | None:
+    """The right option and the first others that differ; None if too few do."""
     kept = {" ".join(right.casefold().split()): right}
     for o in others:
         if len(kept) < OPTIONS:
             kept.setdefault(" ".join(o.casefold().split()), o)
-    if len(kept) < OPTIONS:
-        return None
-    options = list(kept.values())
+    return list(kept.values()) if len(kept) == OPTIONS else None
+
+
+def shuffled(question: str, options: list[str]) -> tuple[list[str], int]:
+    """Options in an order fixed by the question, and the place of the first one, which is right."""
+    right, options = options[0], list(options)
     random.Random(sum(map(ord, question))).shuffle(options)
     return options, options.index(right)
 
 
+def assemble(question: str, right: str, others: list[str]) -> tuple[list[str], int] | None:
+    """Options in an order fixed by the question, and the place of the right one; None if too few differ."""
+    kept = differing(right, others)
+    return shuffled(question, kept) if kept else None
+
+
 def quiz(sentences: DataFrame, pages: DataFrame, most: int = DEFAULT_COUNT["quiz"]) -> DataFrame:
     """libro, puesto, pregunta, opciones, correcta (from 0), pagina; none for books of fewer than four concepts.
 
     A distractor may not stand on the page of the gap: that page's text comes along with each use.
     """
-    rows = materialize(_book_rows(sentences, max(3 * most, 12)), "concepts")
-    needed = rows.select("libro", F.explode("usos").alias("u")).select("libro", "u.pagina").distinct()
-    around = pages.join(needed, ["libro", "pagina"], "left_semi").groupBy("libro", "pagina").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("texto", F.lit("")).alias("t")))), lambda x: x["t"]), " ").alias("alrededor"))
-    # which concepts a page names is found by joins on first words, so that no page text goes to the per-book step
-    there = sentences_with(around.select("libro", F.lit(0).alias("orden"), "pagina", F.col("alrededor").alias("texto")), rows.select("libro", "termino")).groupBy("libro", "pagina").agg(F.collect_set("termino").alias("nombra"))
-    per_book = there.groupBy("libro").agg(F.map_from_entries(F.collect_list(F.struct("pagina", "nombra"))).alias("paginas"))
-    full = rows.join(per_book, "libro", "left")
+    got, named = named_concepts(sentences, max(3 * most, 12))
+    # what a concept is said to be is asked only where a definition is: it is a distractor of that definition
+    defining = materialize(got.filter("es_definicion").select("libro").distinct(), "defining")
+    told = with_contexts(got.join(defining, "libro", "left_semi"), with_texts(sentences, named.join(defining, "libro", "left_semi")), 0).drop("veces", "contextos")
+    rows = materialize(told.unionByName(got.join(defining, "libro", "left_anti").select(told.columns)).withColumn("descripcion", cut_at_word(hide_term(F.col("definicion"), F.col("termino")))).drop("definicion"), "concepts")
+    by_sentence = named.groupBy("libro", "orden").agg(F.collect_list("puesto").alias("puestos")).join(sentences.select("libro", "orden", "pagina", "texto"), ["libro", "orden"])
+    uses = materialize(by_sentence.withColumn("prior", prior(F.col("texto"))).withColumn("n", F.size(tokens(F.col("texto")))), "said")
+    needed = uses.select("libro", "pagina").distinct()
+    around = pages.join(needed, ["libro", "pagina"], "left_semi").groupBy("libro", "pagina").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("texto", F.lit("")).alias("t")))), lambda x: x["t"]), " ").alias("texto"))
+    # which concepts a page names is found by joins, so that no page text goes to the per-book step
+    there = sentences_with(around, rows.select("libro", "puesto", "termino")).groupBy("libro", "puesto").agg(F.collect_set("pagina").alias("paginas"))
+    full = rows.join(there, ["libro", "puesto"], "left")
+
+    kinds = pa.schema([("libro", pa.int64()), ("puesto", pa.int32()), ("termino", pa.string()), ("frase", pa.string()), ("opciones", pa.list_(pa.string())), ("pagina", pa.int32())])
 
     def holds(text: str, term: str) -> bool:
         return re.search(rf"(?<![a-z0-9]){re.escape(fold(term))}(?![a-z0-9])", fold(text)) is not None
 
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("puesto").reset_index(drop=True)
+    def pick(x: pa.Table, said: pa.Table) -> pa.Table:
+        """Questions of a book: the term, the sentence of a gap, the options with the right one first."""
         out: list[tuple] = []
         if len(x) >= OPTIONS:
-            names, told = list(x["termino"]), list(x["descripcion"].fillna(""))
-            v = vectors([" ".join(u["texto"] for u in (uses if uses is not None else [])[:8]) or t for uses, t in zip(x["usos"], names)])
+            c = x.sort_by("puesto").to_pydict()
+            places, names, told, defined, at = c["puesto"], c["termino"], [d or "" for d in c["descripcion"]], c["es_definicion"], c["pagina"]
+            on = [set(p or ()) for p in c["paginas"]]
+            own: dict[int, list[dict]] = {p: [] for p in places}
+            for u in said.sort_by("orden").to_pylist():
+                for p in u["puestos"]:
+                    own[p].append(u)
+            v = rows_of([[w for u in own[p][:8] for w in content_words(u["texto"])] if own[p] else content_words(t) for p, t in zip(places, names)])
             sim = v @ v.T
-            on_page = x["paginas"].iloc[0] or {}
-            on_page = dict(on_page)
             used: set = set()
-            for k, r in x.iterrows():
+            for k, p in enumerate(places):
                 if len(out) >= most:
                     break
-                if r["es_definicion"]:
-                    q = f"¿Cuál de estas afirmaciones describe «{r['termino']}»?"
-                    made = assemble(q, told[k], [d for d in nearest(sim, k, told) if not holds(d, r["termino"])])
-                    if made and q not in used:
-                        used.add(q)
-                        out.append((q, *made, r["pagina"]))
+                if defined[k]:
+                    kept = differing(told[k], [d for d in nearest(sim, k, told) if not holds(d, names[k])])
+                    if kept and ("", names[k]) not in used:
+                        used.add(("", names[k]))
+                        out.append((names[k], None, kept, at[k]))
                         continue
-                u = _cloze(r["usos"], used)
+                u = _cloze(own[p], used)
                 if u is None:
                     continue
                 used.add(u["texto"])
-                q = f"¿Qué palabra completa la frase? «{u['hueco']}»"
-                near = on_page.get(u["pagina"])
-                near = set() if near is None else set(near)
-                made = assemble(q, r["termino"], [d for d in nearest(sim, k, names) if d not in near])
-                if made:
-                    out.append((q, *made, u["pagina"]))
-        got = pd.DataFrame(out, columns=["pregunta", "opciones", "correcta", "pagina"])
-        got.insert(0, "puesto", range(1, len(got) + 1))
-        got.insert(0, "libro", x["libro"].iloc[0])
-        return got
-
-    return full.groupBy("libro").applyInPandas(run, "libro bigint, puesto int, pregunta string, opciones array<string>, correcta int, pagina int")
+                near = {names[i] for i in range(len(names)) if u["pagina"] in on[i]}
+                kept = differing(names[k], [d for d in nearest(sim, k, names) if d not in near])
+                if kept:
+                    out.append((names[k], u["texto"], kept, u["pagina"]))
+        book = x["libro"][0].as_py() if out else None
+        return pa.Table.from_pylist([dict(zip(kinds.names, (book, k, *o))) for k, o in enumerate(out, 1)], kinds)
+
+    def order(batches):
+        for x in batches:
+            made = [shuffled(q, list(o)) for q, o in zip(x["pregunta"], x["opciones"])]
+            yield pd.DataFrame({"libro": x["libro"], "puesto": x["puesto"], "pregunta": x["pregunta"], "opciones": [o for o, _ in made], "correcta": [c for _, c in made], "pagina": x["pagina"]})
+
+    picked = full.groupBy("libro").cogroup(uses.groupBy("libro")).applyInArrow(pick, "libro bigint, puesto int, termino string, frase string, opciones array<string>, pagina int")
+    gap = F.concat(F.lit("¿Qué palabra completa la frase? «"), hide_term(F.col("frase"), F.col("termino")), F.lit("»"))
+    asked = F.when(F.col("frase").isNull(), F.concat(F.lit("¿Cuál de estas afirmaciones describe «"), "termino", F.lit("»?"))).otherwise(gap)
+    return picked.select("libro", "puesto", asked.alias("pregunta"), "opciones", "pagina").mapInPandas(order, "libro bigint, puesto int, pregunta string, opciones array<string>, correcta int, pagina int")

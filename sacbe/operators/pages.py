@@ -67,7 +67,7 @@ def repeated_border(df: DataFrame, last: bool = False) -> DataFrame:
 
 def _without(df: DataFrame, phrases: DataFrame, last: bool) -> DataFrame:
     w = tokens(text("texto"))
-    j = df.join(phrases.select("libro", F.split("frase", " ").alias("_q")), "libro", "left").withColumn("_w", F.reverse(w) if last else w)
+    j = df.join(phrases.select("libro", F.split("frase", " ").alias("_q")), "libro", "left").withColumn("_w", F.when(F.col("_q").isNotNull(), F.reverse(w) if last else w))
     at = F.filter(F.sequence(F.lit(1), F.size("_w")), lambda i: ~is_folio(F.get("_w", i - 1)))
     j = j.withColumn("_at", F.when(F.size("_w") > 0, at).otherwise(F.array().cast("array<int>")))
     k = F.size("_q")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -31,18 +31,31 @@ _TERM = re.compile(r"(?<![a-z0-9_])[a-z]{3,}(?![a-z0-9_])")
 
 
 def fold(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
+    if text.isascii():
+        return text.lower()
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if c < "\u0300" or not unicodedata.combining(c)).lower()
+
+
+@lru_cache(4096)
+def content_words(text: str) -> tuple[str, ...]:
+    return tuple(t for t in _TERM.findall(fold(text)) if t not in _STOP)
 
 
 def vectors(texts: list[str]) -> np.ndarray:
     """TF-IDF rows of unit length, sublinear counts, smooth idf; no columns if no text has a content word."""
-    counts = [Counter(t for t in _TERM.findall(fold(x)) if t not in _STOP) for x in texts]
+    return rows_of([content_words(x) for x in texts])
+
+
+def rows_of(texts: list) -> np.ndarray:
+    """``vectors`` of texts given by their content words."""
+    counts = [Counter(x) for x in texts]
     df = Counter(t for c in counts for t in c)
     place = {t: k for k, t in enumerate(sorted(df))}
     out = np.zeros((len(texts), len(place)))
+    tf = {n: 1 + np.log(n) for n in {n for c in counts for n in c.values()}}
+    idf = {k: np.log((1 + len(texts)) / (1 + k)) + 1 for k in set(df.values())}
     for i, c in enumerate(counts):
-        for t, n in c.items():
-            out[i, place[t]] = (1 + np.log(n)) * (np.log((1 + len(texts)) / (1 + df[t])) + 1)
+        out[i, [place[t] for t in c]] = [tf[n] * idf[df[t]] for t, n in c.items()]
     size = np.sqrt((out**2).sum(axis=1, keepdims=True))
     return out / np.where(size > 0, size, 1)
 
@@ -57,8 +70,10 @@ def textrank(similarity: np.ndarray, rounds: int = ROUNDS, overwrite: bool = Fal
     linked = total > 0
     share = np.where(linked, total, 1.0)
     score = np.full(n, 1.0 / n) if n else np.zeros(0)
+    loose = np.flatnonzero(~linked)
     for _ in range(rounds if n else 0):  # links go both ways: w is its own transpose
-        score = (1 - DAMPING) / n + DAMPING * (w @ (score / share) + score[~linked].sum() / n)
+        given = w @ (score / share)
+        score = (1 - DAMPING) / n + DAMPING * (given + score[loose].sum() / n if len(loose) else given)
     return score
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sacbe.functions.text import PIECE_EDGE, STUDY_WORD, count, fold, let, text, tokens
+from sacbe.functions.text import LETTERS, PIECE_EDGE, STUDY_WORD, count, fold, let, text, tokens
 from sacbe.operators.pages import without_headers
 from sacbe.storage import spread
 
@@ -27,6 +27,8 @@ TASK = (
 )
 TASK_WE = r"(?U)^[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+(?:amos|emos|imos)\b|\b\w+(?:aremos|eremos|iremos)\b"
 STANDARD = r"(?U)\(\s*[A-Z]{1,3}\s*\d+\s*\)|^Est[aá]ndar\s+\d|\b[Ee]l maestro o (?:la )?maestra\b"
+#: A word of at least two plain letters, one a vowel, with at most one mark after it.
+PLAIN_WORD = f"^(?=[{LETTERS}]{{2}})[{LETTERS}]*[aeiouyáéíóúüAEIOUYÁÉÍÓÚÜ][{LETTERS}]*[.,;:!?]?$"
 WORKSHEET = r"(?iU)\b(?:palabras clave|materiales|instrucciones|procedimiento|hip[oó]tesis)\s*:"
 
 
@@ -36,8 +38,7 @@ def split_pieces(c: Column) -> Column:
         return F.regexp_replace(x, f"^[{PIECE_EDGE}]+|[{PIECE_EDGE}]+$", "")
 
     def follows(x: Column) -> Column:
-        lead = F.regexp_replace(x, r"^(?U)\s+", "")
-        return lead.rlike(r"^[\-–—]") & edge(x).rlike(r"^\p{Ll}")
+        return x.rlike(r"^(?U)\s*[\-–—]") & edge(x).rlike(r"^\p{Ll}")
 
     def add(done: Column, x: Column) -> Column:
         glued = F.concat(F.regexp_replace(F.element_at(done, -1), r"(?U)\s+$", ""), F.lit(" "), F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
@@ -67,7 +68,11 @@ def without_title(c: Column) -> Column:
         first = F.array_position(F.transform(w, _is_title_word), False).cast("int")
         return let(F.when(first == 0, F.size(w)).otherwise(first - 1), lambda k: F.when(k >= 2, F.array_join(F.slice(w, k + 1, F.greatest(F.size(w) - k, F.lit(0))), " ")))
 
-    return F.coalesce(let(tokens(c), rest), c)
+    def titled(w: Column) -> Column:
+        """Nothing is computed of the other words unless the first two are in capitals."""
+        return F.when((F.size(w) >= 2) & _is_title_word(F.get(w, 0)) & _is_title_word(F.get(w, 1)), rest(w))
+
+    return F.coalesce(let(tokens(c), titled), c)
 
 
 def study_words(c: Column) -> Column:
@@ -98,14 +103,19 @@ def explains(c: Column) -> Column:
 
 def is_legible(c: Column) -> Column:
     """Enough of the pieces are words or numbers, and enough of them words."""
-    parts = F.filter(F.transform(tokens(c), lambda x: F.regexp_replace(x, r"(?U)^\W+|\W+$", "")), lambda x: x != "")
+    def kind(x: Column) -> Column:
+        """w: a word, n: a number, x: anything else; empty without a letter or digit."""
+        word = x.rlike(r"^\p{L}+(?:[-'’]\p{L}+)*$") & F.when(F.length(x) == 1, F.lower(x).isin("a", "e", "o", "u", "y")).otherwise(x.rlike(r"(?iu)[aeiouáéíóúüy]"))
+        return F.when(x == "", "").when(word, "w").when(x.rlike(r"^(?U)\d+(?:[.,]\d+)*%?$"), "n").otherwise("x")
+
+    # most words are seen to be words by one plain pattern
+    kinds = F.transform(tokens(c), lambda x: F.when(x.rlike(PLAIN_WORD), "w").otherwise(let(F.regexp_replace(x, r"(?U)^\W+|\W+$", ""), kind)))
 
-    def enough(p: Column) -> Column:
-        word = F.size(F.filter(p, lambda x: x.rlike(r"^\p{L}+(?:[-'’]\p{L}+)*$") & F.when(F.length(x) == 1, F.lower(x).isin("a", "e", "o", "u", "y")).otherwise(x.rlike(r"(?iu)[aeiouáéíóúüy]"))))
-        number = F.size(F.filter(p, lambda x: x.rlike(r"^(?U)\d+(?:[.,]\d+)*%?$")))
-        return let(word, lambda w: (F.size(p) > 0) & (w + number >= LEGIBLE * F.size(p)) & (w >= LEGIBLE_WORDS * F.size(p)))
+    def enough(k: Column) -> Column:
+        n, word = F.length(k), F.length(F.replace(k, F.lit("w"), F.lit("")))
+        return let(F.struct(n.alias("n"), (n - word).alias("w"), (n - F.length(F.replace(k, F.lit("n"), F.lit("")))).alias("d")), lambda s: (s["n"] > 0) & (s["w"] + s["d"] >= LEGIBLE * s["n"]) & (s["w"] >= LEGIBLE_WORDS * s["n"]))
 
-    return let(parts, enough)
+    return let(F.array_join(kinds, ""), enough)
 
 
 def pieces(pages: DataFrame) -> DataFrame:
@@ -119,8 +129,7 @@ def pieces(pages: DataFrame) -> DataFrame:
 
 def usable(df: DataFrame) -> DataFrame:
     """Pieces that can be sentences: 6 to 60 words, no more digits than words, legible."""
-    n = study_words(F.col("texto"))
-    return df.filter(n.between(FEWEST, MOST) & (count(F.col("texto"), r"(?U)\d") <= n)).filter(is_legible(F.col("texto")))
+    return df.filter(let(study_words(F.col("texto")), lambda n: n.between(FEWEST, MOST) & (count(F.col("texto"), r"(?U)\d") <= n))).filter(is_legible(F.col("texto")))
 
 
 def sentences(pages: DataFrame, headers: bool = True) -> DataFrame:

@@ -100,6 +100,35 @@ def test_materials_of_a_small_book(spark):
     assert len(points) == 3 and [p["orden"] for p in points] == sorted(p["orden"] for p in points)
 
 
+def test_quiz_asks_contexts_only_beside_definitions(spark, monkeypatch):
+    text = [" ".join(story()[k : k + 3]) for k in range(0, 18, 3)]
+    defines = "La fotosíntesis se define como el proceso por el cual las plantas fabrican su propio alimento."
+    df = spark.createDataFrame([(b, k + 1, 0, t + f" {defines}" * (b == 8 and k == 2), None) for b in (7, 8) for k, t in enumerate(text)], PAGE)
+    s = sentences.sentences(df, headers=False).cache()
+    asked, real = [], materials.with_contexts
+
+    def noted(got, uses, *more):
+        asked.append({r["libro"] for r in uses.select("libro").distinct().collect()})
+        return real(got, uses, *more)
+
+    monkeypatch.setattr(materials, "with_contexts", noted)
+    questions = materials.quiz(s, df, 3).collect()
+    assert asked == [{8}]
+    assert {q["libro"] for q in questions} == {7, 8}
+    q = next(q for q in questions if q["pregunta"] == "¿Cuál de estas afirmaciones describe «fotosíntesis»?")
+    assert (q["libro"], q["pagina"], q["opciones"][q["correcta"]]) == (8, 3, defines.replace("fotosíntesis", "_____"))
+    assert len(set(q["opciones"])) == 4 and all(o for o in q["opciones"])
+
+
+def test_terms_meet_sentences_beside_them_or_by_first_words(spark, monkeypatch):
+    s = spark.createDataFrame([(1, 0, 1, "El río Lempa cruza El Salvador."), (1, 1, 1, "Los ríos no son el río, dijo."), (2, 0, 1, "La (luna) llena brilla."), (3, 0, 1, "Nada.")], "libro bigint, orden int, pagina int, texto string")
+    t = spark.createDataFrame([(1, "río", 1), (1, "el río", 2), (1, "Salvador", 3), (1, "salva", 4), (1, "—", 5), (2, "(luna)", 1), (4, "nada", 1)], "libro bigint, termino string, puesto int")
+    want = [(1, 0, "Salvador"), (1, 0, "el río"), (1, 0, "río"), (1, 1, "el río"), (1, 1, "río"), (2, 0, "(luna)")]
+    for most in (300, 1, 0):
+        monkeypatch.setattr(terms, "PAIRED", most)
+        assert sorted((r["libro"], r["orden"], r["termino"]) for r in terms.sentences_with(s, t).collect()) == want
+
+
 def test_options_are_shuffled_the_same_way():
     assert materials.assemble("¿x?", "a", ["b", "A ", "c", "d"]) == materials.assemble("¿x?", "a", ["b", "c", "d"])
     assert materials.assemble("¿x?", "a", ["A", " a", "b"]) is None
